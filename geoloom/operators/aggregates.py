@@ -268,8 +268,8 @@ def weighted_sums(df: DataFrame, src: Keys, dst: Keys) -> DataFrame:
     return df.agg(*aggs)
 
 
-def rigid_align(df: DataFrame, src: Keys, dst: Keys) -> dict:
-    """Best rotation, scale and translation from ``src`` to ``dst`` points (one pass).
+def rigid_align(df: DataFrame, src: Keys, dst: Keys, scaled: bool = True) -> dict:
+    """Best rotation, scale (1 unless ``scaled``) and translation from ``src`` to ``dst`` points (one pass).
 
     Only a few sums reach the driver; the 3x3 decomposition is done there.
     """
@@ -286,7 +286,7 @@ def rigid_align(df: DataFrame, src: Keys, dst: Keys) -> dict:
     u, sig, vt = np.linalg.svd(cross.T)
     fix = np.diag([1.0] * (len(src) - 1) + [float(np.sign(np.linalg.det(u @ vt)))])
     rot = u @ fix @ vt
-    scale = float((sig * np.diag(fix)).sum() / var) if var > 0 else 1.0
+    scale = float((sig * np.diag(fix)).sum() / var) if scaled and var > 0 else 1.0
     return {"n": n, "rot": rot, "scale": scale, "move": mb - scale * rot @ ma}
 
 
