@@ -60,12 +60,12 @@ def graph_components(spark, sf):
 
 @query(
     "graph_components_orders",
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, -1 - l_orderkey AS o FROM lineitem WHERE l_quantity = 1), "
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, -1 - l_orderkey AS o FROM lineitem), "
     "nodes AS (SELECT p AS id FROM e UNION SELECT o FROM e), lnk AS (SELECT p AS s, o AS d FROM e UNION ALL SELECT o, p FROM e), " + REACH + "SELECT id, lab AS comp FROM reach",
 )
 def graph_components_orders(spark, sf):
-    """Parts linked through orders of a single piece."""
-    e = table(spark, sf, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("p"), (-1 - F.col("l_orderkey")).alias("o"))
+    """Parts linked through common orders."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p"), (-1 - F.col("l_orderkey")).alias("o"))
     return graph.components(e, "p", "o")
 
 
@@ -77,12 +77,14 @@ def set_cover_greedy(spark, sf):
 
 @query(
     "set_intersect_except",
-    "SELECT user_id, 'shared' AS kind FROM (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60 INTERSECT SELECT user_id FROM events WHERE event_type = 'error' AND value > 60) "
-    "UNION ALL SELECT user_id, 'only_first' FROM (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 60)",
+    "WITH e AS (SELECT user_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type FROM events), "
+    "a AS (SELECT user_id, day FROM e WHERE event_type = 'purchase'), b AS (SELECT user_id, day FROM e WHERE event_type = 'error') "
+    "SELECT user_id, day, 'shared' AS kind FROM (FROM a INTERSECT FROM b) UNION ALL SELECT user_id, day, 'only_first' FROM (FROM a EXCEPT FROM b)",
 )
 def set_intersect_except(spark, sf):
-    e = table(spark, sf, "events").where("value > 60")
-    a, b = (e.where(F.col("event_type") == t).select("user_id") for t in ("purchase", "error"))
+    """Days on which a user has both kinds of events, or only the first."""
+    e = B.events(spark, sf).select("user_id", F.expr("t div 86400000000").alias("day"), "event_type")
+    a, b = (e.where(F.col("event_type") == t).select("user_id", "day") for t in ("purchase", "error"))
     shared = a.intersect(b).withColumn("kind", F.lit("shared"))
     return shared.unionByName(a.subtract(b).withColumn("kind", F.lit("only_first")))
 

@@ -407,12 +407,12 @@ OUT = "SELECT vid, round(x, 11) + 0.0 AS x, round(y, 11) + 0.0 AS y, round(z, 11
 
 @query(
     "mesh_smooth_taubin",
-    TOPO + ", " + ", ".join([_step("vert", "s1", 0.33, True), _step("s1", "s2", -0.331, True), _step("s2", "s3", 0.33, True), _step("s3", "s4", -0.331, True)]) + OUT + "s4",
+    TOPO + ", " + ", ".join([_step("vert", "s1", 0.33, True), _step("s1", "s2", -0.331, True), _step("s2", "s3", 0.33, True), _step("s3", "s4", -0.331, True)]) + OUT.replace("11", "6") + "s4",
 )
 def mesh_smooth_taubin(spark, sf):
     v, f = _mesh(spark, sf)
     out = S.smooth(v.select("vid", "x", "y", "z"), f, S.TAUBIN, 2)
-    return out.select("vid", *[rnd(c, 11).alias(c) for c in "xyz"])
+    return out.select("vid", *[rnd(c).alias(c) for c in "xyz"])
 
 
 @query(
