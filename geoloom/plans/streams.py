@@ -17,7 +17,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def _stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return reader.option("maxFilesPerTrigger", 64).parquet(sf)
 
 
 def _run(spark, name, stream, rocks=False):
