@@ -23,18 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every vertex of ``edges``; comp is the lowest id of its component.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each edge set is rewritten
-    so that vertices hang from ever lower ids; it stops when a round changes nothing.
+    so that vertices hang from ever lower ids; it stops when only stars are left.
     """
     links = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not _all_stars(links):
         links = checkpoint(_small_star(_large_star(links)))
-        state = links.agg(
-            F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("g")
-        ).first()
-        if state == before:
-            break
-        before = state
     # every remaining edge is (vertex, root); roots are lowest ids
     return (
         links.select(F.col("u").alias("id"), F.col("v").alias("comp"))
@@ -44,6 +37,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Every vertex hangs from one lower vertex, and that one hangs from nothing."""
+    n = links.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u"), F.count_if(F.col("u") < F.col("v")).alias("up")).first()
+    if n["n"] != n["u"] or n["up"]:
+        return False
+    return links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def _lowest(directed: DataFrame) -> DataFrame:
     return directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
@@ -53,7 +54,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     flip = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
     full = links.unionByName(flip)
     out = full.join(_lowest(full), "u").where(F.col("v") > F.col("u"))
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

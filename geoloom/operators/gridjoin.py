@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.session import spread
+
 MIN_LEVEL, MAX_LEVEL = -12, 40
 HOT_SHARE = 1024  # a cell is hot above 1/HOT_SHARE of a side: at most 1024 hot cells
 SALT_MIN_ROWS = 5_000_000
@@ -55,14 +57,10 @@ def _spread(df: DataFrame, bounds, tag: str, own: list[int], other: list[int]) -
     )
     out = df.withColumn("_m", F.explode(wanted))
     for i, (lo, hi, cell) in enumerate(bounds):
-        out = out.withColumn(
-            f"_c{i}",
-            F.explode(
-                F.sequence(
-                    _cell_of(F.col(lo), cell, F.col("_m")), _cell_of(F.col(hi), cell, F.col("_m"))
-                )
-            ),
-        )
+        first = f"_f{tag}{i}"
+        out = out.withColumn(first, _cell_of(F.col(lo), cell, F.col("_m")))
+        last = _cell_of(F.col(hi), cell, F.col("_m"))
+        out = out.withColumn(f"_c{i}", F.explode(F.sequence(F.col(first), last)))
     return out
 
 
@@ -109,10 +107,19 @@ def salted_join(
 
 
 def _side(df: DataFrame, bounds, tag: str):
+    """Rows with a level, their count, the levels in use (at most 53) and the overall bounds."""
     df = df.dropna(subset=sorted({c for lo, hi, _ in bounds for c in (lo, hi)}))
     df = df.withColumn(f"_lv_{tag}", _level(bounds))
-    got = df.agg(F.count("*").alias("n"), F.collect_set(f"_lv_{tag}").alias("lv")).first()
-    return df, got["n"], sorted(got["lv"])  # at most 53 levels
+    ends = [f for lo, hi, _ in bounds for f in (F.min(lo), F.max(hi))]
+    got = df.agg(F.count("*"), F.collect_set(f"_lv_{tag}"), *ends).first()
+    return df, got[0], sorted(got[1]), got[2:]
+
+
+def _within(df: DataFrame, bounds, ends) -> DataFrame:
+    """Only rows that reach into the overall bounds of the other side."""
+    for i, (lo, hi, _) in enumerate(bounds):
+        df = df.where((F.col(hi) >= F.lit(ends[2 * i])) & (F.col(lo) <= F.lit(ends[2 * i + 1])))
+    return df
 
 
 def box_join(
@@ -120,34 +127,47 @@ def box_join(
     right: DataFrame,
     axes: Sequence[Axis],
     predicate: Column | None = None,
+    equal: Sequence[tuple[str, str]] = (),
     salt_min_rows: int = SALT_MIN_ROWS,
 ) -> DataFrame:
     """Inner join of all pairs whose closed boxes meet and that pass ``predicate``.
 
+    ``equal`` names (left, right) columns that must agree; they join the cell as keys.
     Column names of both sides must differ.  Rows with a null bound never match.
     """
     lb = [(a.llo, a.lhi, a.cell) for a in axes]
     rb = [(a.rlo, a.rhi, a.cell) for a in axes]
     lcols, rcols = left.columns, right.columns
-    left, ln, llv = _side(left, lb, "l")
-    right, rn, rlv = _side(right, rb, "r")
+    right, rn, rlv, rends = _side(right, rb, "r")
+    if rn:
+        left = _within(left, lb, rends)
+    left, ln, llv, lends = _side(left, lb, "l")
     if not ln or not rn:
         return left.select(*lcols).join(right.select(*rcols), F.lit(False))
+    right = _within(right, rb, lends)
     keys = ["_m", *[f"_c{i}" for i in range(len(axes))]]
-    ls = _spread(left, lb, "l", llv, rlv)
-    rs = _spread(right, rb, "r", rlv, llv)
+    ls = _spread(spread(left), lb, "l", llv, rlv)
+    rs = _spread(spread(right), rb, "r", rlv, llv)
+    for i, (lc, rc) in enumerate(equal):
+        ls, rs = ls.withColumn(f"_e{i}", F.col(lc)), rs.withColumn(f"_e{i}", F.col(rc))
+    keys += [f"_e{i}" for i in range(len(equal))]
     pairs = salted_join(ls, rs, keys, (ln, rn), salt_min_rows)
     keep = [F.col("_m") == F.greatest("_lv_l", "_lv_r")]
     for i, a in enumerate(axes):
+        # the cell of the low corner of the intersection is the larger of the two first cells
+        keep.append(F.greatest(f"_fl{i}", f"_fr{i}") == F.col(f"_c{i}"))
+    for a in axes:
         keep.append((F.col(a.llo) <= F.col(a.rhi)) & (F.col(a.rlo) <= F.col(a.lhi)))
-        corner = F.greatest(F.col(a.llo), F.col(a.rlo))
-        keep.append(_cell_of(corner, a.cell, F.col("_m")) == F.col(f"_c{i}"))
     if predicate is not None:
         keep.append(predicate)
     return pairs.where(reduce(Column.__and__, keep)).select(*lcols, *rcols)
 
 
+def typical_extents(df: DataFrame, *bounds: tuple[str, str]) -> list[float]:
+    """Median box extent per axis, as cell width for :class:`Axis` (one pass)."""
+    got = df.agg(*[F.percentile_approx((F.col(hi) - F.col(lo)).cast("double"), 0.5, 1000) for lo, hi in bounds]).first()
+    return [float(e) if e and e > 0 else 1.0 for e in got]
+
+
 def typical_extent(df: DataFrame, lo: str, hi: str) -> float:
-    """Median box extent on one axis, as cell width for :class:`Axis`."""
-    e = df.agg(F.percentile_approx(F.col(hi) - F.col(lo), 0.5, 1000)).first()[0]
-    return float(e) if e and e > 0 else 1.0
+    return typical_extents(df, (lo, hi))[0]

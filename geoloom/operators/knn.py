@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.gridjoin import salted_join
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, spread
 
 GROW = 4.0
 FULL_CELL = 4096
@@ -80,7 +80,7 @@ def knn_points(
     rest, rest_rows = q, bq["n"]
     while rest_rows:
         last = size >= top
-        near = rest
+        near = spread(rest)
         for i, c in enumerate(_cells([F.col(c) for c in qaxis], size)):
             near = near.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", c + F.col(f"_s{i}"))
         near = near.drop(*[f"_s{i}" for i in range(dim)])
@@ -184,7 +184,7 @@ def knn_vectors(
             pdf["_far"] = np.sqrt(d2[np.arange(len(pdf)), cell])
             yield pdf
 
-    placed = data.select(F.col(did).alias("_nid"), F.col(dvec).cast("array<double>").alias("_v")).mapInPandas(
+    placed = spread(data).select(F.col(did).alias("_nid"), F.col(dvec).cast("array<double>").alias("_v")).mapInPandas(
         place, f"_nid {d_type}, _v array<double>, _cell int, _far double"
     )
     placed = checkpoint(placed)
@@ -224,7 +224,7 @@ def knn_vectors(
             pdf["_cells"] = [live[row].astype("int32").tolist() for row in keep]
             yield pdf
 
-    routed = queries.select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v")).mapInPandas(
+    routed = spread(queries).select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v")).mapInPandas(
         route, f"_qid {q_type}, _v array<double>, _cells array<int>"
     )
     routed = checkpoint(routed)

@@ -42,5 +42,19 @@ def range_partitions(df: DataFrame) -> int:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     top = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(cores, min(top, size // TARGET_BYTES + 1))
+    return max(cores, min(top, planned_bytes(df) // TARGET_BYTES + 1))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of a DataFrame."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before it is blown up into many rows.
+
+    An input below 128 MB per core has fewer file splits than cores and would run in a
+    few tasks; larger inputs bring enough splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < cores * TARGET_BYTES else df
