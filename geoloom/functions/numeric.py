@@ -180,7 +180,7 @@ def radial_project(p: Sequence[Column], f: Column, k1: float, k2: float) -> list
     return [d * x, d * y]
 
 
-def radial_undistort(u: Column, v: Column, f: Column, k1: float, k2: float, steps: int = 12) -> list[Column]:
+def radial_undistort(u: Column, v: Column, f: Column, k1: float, k2: float, steps: int = 8) -> list[Column]:
     """Undistorted image place, by Newton steps on the radius."""
     rd = F.sqrt(u * u + v * v) / f
 

@@ -103,6 +103,10 @@ def salted_join(
         theirs = theirs.join(hot, keys, "left").withColumn(f"_salt_{tag}", every).drop(f"_ns_{tag}")
         ls, rs = (mine, theirs) if tag == "l" else (theirs, mine)
         on.append(f"_salt_{tag}")
+    if max(rows) < SALT_MIN_ROWS:
+        # few bytes but much pair work: AQE would merge such partitions into one or two tasks
+        n = 4 * ls.sparkSession.sparkContext.defaultParallelism
+        ls, rs = ls.repartition(n, *on), rs.repartition(n, *on)
     return ls.join(rs, on)
 
 

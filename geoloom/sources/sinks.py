@@ -16,6 +16,10 @@ def write_oriented_points(faces: DataFrame, verts: DataFrame, normals: DataFrame
 
 
 def write_mesh(verts: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh_id") -> None:
-    """Merged mesh by mesh id with all columns; a merged mesh keeps unknown properties."""
-    verts.write.partitionBy(mesh).parquet(f"{path}/vertices")
-    faces.write.partitionBy(mesh).parquet(f"{path}/faces")
+    """Merged mesh by mesh id with all columns; a merged mesh keeps unknown properties.
+
+    The rebalance hint gathers small meshes into few files and splits a mesh that holds
+    most of the rows over several tasks.
+    """
+    verts.hint("rebalance", mesh).write.partitionBy(mesh).parquet(f"{path}/vertices")
+    faces.hint("rebalance", mesh).write.partitionBy(mesh).parquet(f"{path}/faces")
