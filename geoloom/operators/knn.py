@@ -121,16 +121,22 @@ def _matrix(col: pd.Series) -> np.ndarray:
 def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Squared distance ("l2") or negative dot product ("dot"), all rows of a by b."""
     out = np.empty((len(a), len(b)))
-    for lo in range(0, len(a), 64):
-        part = a[lo : lo + 64]
+    step = _rows_at_once(b)
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
         if metric == "dot":
-            out[lo : lo + 64] = -(part @ b.T)
+            out[lo : lo + step] = -(part @ b.T)
         else:
             diff = part[:, None, :] - b[None, :, :]
-            out[lo : lo + 64] = (diff * diff).sum(axis=2)
+            out[lo : lo + step] = (diff * diff).sum(axis=2)
     return out
 
 
+def _rows_at_once(b: np.ndarray) -> int:
+    """Rows to compare with ``b`` in one step, about 32 MB of differences."""
+    return max(1, (1 << 22) // max(1, b.size))
+
+
 def _bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str):
     """Lowest and highest possible distance from each query to the rows of each cell."""
     if metric == "dot":
@@ -154,7 +160,7 @@ def knn_vectors(
     exclude_same_id: bool = False,
     eps: float = 0.0,
     max_visited: int | None = None,
-    block_rows: int = 512,
+    block_rows: int | None = None,
     max_pivots: int = 512,
     count_in_range: bool = False,
 ) -> DataFrame:
@@ -169,6 +175,10 @@ def knn_vectors(
     n = data.count()
     if n < k + int(exclude_same_id):
         raise ValueError(f"k={k} needs more rows than the {n} available")
+    if block_rows is None:
+        # large blocks copy less data between tasks, small ones keep all cores busy
+        cores = data.sparkSession.sparkContext.defaultParallelism
+        block_rows = int(min(8192, max(512, n // (4 * cores))))
     n_pivots = int(min(max_pivots, max(1, -(-n // block_rows))))
     picked = data.select(did, dvec).orderBy(F.xxhash64(did), did).limit(n_pivots).collect()
     pivots = np.array([r[dvec] for r in picked], dtype=np.float64)  # at most max_pivots rows
@@ -253,10 +263,13 @@ def knn_vectors(
         cols = {"_qid": [], "_nid": [], "_val": [], "_in": []}
         if len(left) and len(right):
             right = right.sort_values("_nid", kind="stable")
-            nids = right["_nid"].to_numpy()
-            val = _distance(_matrix(left["_v"]), _matrix(right["_v"]), metric)
-            for i, one in enumerate(left["_qid"].to_numpy()):
-                row = val[i]
+            nids, qids = right["_nid"].to_numpy(), left["_qid"].to_numpy()
+            mine, theirs = _matrix(left["_v"]), _matrix(right["_v"])
+            step = _rows_at_once(theirs)
+            for i, one in enumerate(qids):
+                if i % step == 0:
+                    val = _distance(mine[i : i + step], theirs, metric)
+                row = val[i % step]
                 ok = np.ones(len(row), dtype=bool)
                 if max_value is not None:
                     ok &= row <= max_value

@@ -195,10 +195,20 @@ def agg_plane_fit(spark, sf):
     )
 
 
-@query("agg_plane_ransac")
+@query(
+    "agg_plane_ransac",
+    f"WITH {LP}, s AS (SELECT x, y, z, ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lp), "
+    "t AS (SELECT a.i // 3 AS try, a.x, a.y, a.z, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz "
+    "FROM s a JOIN s b ON b.i = a.i + 1 JOIN s c ON c.i = a.i + 2 WHERE a.i % 3 = 0 AND a.i < 48), "
+    "n AS (SELECT *, uy * vz - uz * vy AS a, uz * vx - ux * vz AS b, ux * vy - uy * vx AS c FROM t), "
+    "u AS (SELECT try, a / l AS nx, b / l AS ny, c / l AS nz, -(a * x + b * y + c * z) / l AS d0 FROM (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM n) WHERE l > 0), "
+    "k AS (SELECT try, nx, ny, nz, d0, COUNT(*) FILTER (abs(nx * x + ny * y + nz * z + d0) <= 1.5) AS inliers, COUNT(*) AS n FROM u, lp GROUP BY ALL) "
+    "SELECT round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz, round(d0, 5) + 0.0 AS d0, inliers, n FROM k ORDER BY inliers DESC, try LIMIT 1",
+)
 def agg_plane_ransac(spark, sf):
     pts = _line_points(spark, sf)
-    return agg.ransac_plane(pts, XYZ, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 16, 1.5)
+    out = agg.ransac_plane(pts, XYZ, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 16, 1.5)
+    return out.select(rnd("nx").alias("nx"), rnd("ny").alias("ny"), rnd("nz").alias("nz"), rnd("d0", 5).alias("d0"), "inliers", "n")
 
 
 @query(

@@ -51,12 +51,13 @@ def src_mosaic_cells(spark, sf):
     cells = B.pixels(spark, sf).select(
         F.concat_ws(" ", *[v.cast("string") for v in (c * 10, c * 10 + 10, r * 5, r * 5 + 5, F.lit(0), n, c, r)], F.when(n != 13, name)).alias("value")
     )
-    head = spark.range(1).select(F.lit("0 640 0 320 0 99 64 64 total").alias("value"), F.lit(0).alias("o"))
+    cells = cells.select("value", F.pmod(F.hash("value"), F.lit(4)).alias("f"), F.lit(1).alias("o"))
+    head = spark.range(4).select(F.lit("0 640 0 320 0 99 64 64 total").alias("value"), F.col("id").cast("int").alias("f"), F.lit(0).alias("o"))
     path = _place(spark, "mosaic")
-    # one file: the first line has a meaning
-    head.unionByName(cells.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    # several manifests: in each the first line has a meaning
+    head.unionByName(cells).repartition("f").sortWithinPartitions("f", "o").drop("o").write.partitionBy("f").text(path)
     good, extent, bad = text.read_mosaic_cells(spark, path)
-    extra = extent.select("cols", "rows").join(F.broadcast(bad.agg(F.count("*").alias("n_bad"))))  # one row each
+    extra = extent.select("cols", "rows").distinct().join(F.broadcast(bad.agg(F.count("*").alias("n_bad"))))  # one row each
     return good.join(F.broadcast(extra)).select("col", "row", "xmin", "xmax", "ymin", "file", "cols", "rows", "n_bad")
 
 

@@ -11,8 +11,12 @@ from geoloom.plans.registry import micros, query
 from geoloom.session import checkpoint_root
 from geoloom.streaming import oplog
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# keyed processors need this state store
+KEYED = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+# sessions of a hot cell are merged inside each task before the shuffle
+LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
 def _stream(spark, sf):
@@ -21,15 +25,17 @@ def _stream(spark, sf):
     return reader.option("maxFilesPerTrigger", 64).parquet(sf)
 
 
-def _run(spark, name, stream, rocks=False):
-    """Run with the state store that keyed processors need, then restore the setting."""
-    before = spark.conf.get(PROVIDER)
+def _run(spark, name, stream, conf=None):
+    """Run with the given settings, then restore them."""
+    conf = conf or {}
+    before = {k: spark.conf.get(k) for k in conf}
     try:
-        if rocks:
-            spark.conf.set(PROVIDER, ROCKS)
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         return oplog.run_to_table(stream, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 # users are objects, purchases are queries; an error deletes the object, other events move it
@@ -54,7 +60,7 @@ def stream_oplog_state(spark, sf):
         F.when(is_q, y + 15).otherwise(y + 6).alias("y2"),
     )
     salts = max(8, spark.sparkContext.defaultParallelism)
-    return _run(spark, "oplog", oplog.live_set_answers(log, salts), rocks=True)
+    return _run(spark, "oplog", oplog.live_set_answers(log, salts), KEYED)
 
 
 @query(
@@ -69,7 +75,7 @@ def stream_versions(spark, sf):
         micros("ts").alias("t"),
         "value",
     )
-    return _run(spark, "versions", oplog.closed_versions(log), rocks=True)
+    return _run(spark, "versions", oplog.closed_versions(log), KEYED)
 
 
 def _timed(spark, sf):
@@ -114,5 +120,5 @@ def stream_cell_sliding(spark, sf):
     "SELECT MIN(t) AS start_us, MAX(t) + 3600000000 AS end_us, cell, COUNT(*) AS n FROM k, m GROUP BY cell, sid, wm HAVING MAX(t) + 3600000000 <= wm",
 )
 def stream_cell_sessions(spark, sf):
-    out = _run(spark, "sessions", oplog.cell_sessions(_timed(spark, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"))
+    out = _run(spark, "sessions", oplog.cell_sessions(_timed(spark, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"), LOCAL_SESSIONS)
     return out.select(_us("start").alias("start_us"), _us("end").alias("end_us"), "cell", "n")
