@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from geoloom.functions import geom as G
 from geoloom.operators.knn import knn_points
 from geoloom.operators.ordering import running_sums
+from geoloom.session import with_scalars
 
 Keys = Sequence[str]
 
@@ -46,7 +47,7 @@ def bounding_sphere(df: DataFrame, axes: Keys) -> DataFrame:
     )
     centre = ends.select(F.array_max(pairs).alias("p")).select("p.cx", "p.cy", "p.cz")
     gap = G.sub([x, y, z], G.cols("cx", "cy", "cz"))
-    far = df.join(F.broadcast(centre)).groupBy("cx", "cy", "cz").agg(F.sqrt(F.max(G.dot(gap, gap))).alias("radius"))
+    far = with_scalars(df, centre).groupBy("cx", "cy", "cz").agg(F.sqrt(F.max(G.dot(gap, gap))).alias("radius"))
     return far
 
 
@@ -95,7 +96,7 @@ def quantile(df: DataFrame, keys: Keys, value: str, q: float, name: str) -> Data
     """
     ranked = _value_counts(df, keys, value)
     totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    on = ranked.join(totals, list(keys)) if keys else ranked.join(F.broadcast(totals))
+    on = ranked.join(totals, list(keys)) if keys else with_scalars(ranked, totals)
     at = (F.col("_all") - 1) * F.lit(q)
     lo, hi = F.floor(at), F.ceil(at)
     has = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_n"))
@@ -146,7 +147,7 @@ def moments(df: DataFrame, keys: Keys, axes: Keys, weight: Column | None = None)
     """
     w = weight if weight is not None else F.lit(1.0)
     shift = df.agg(*[F.avg(a).alias(f"_o{a}") for a in axes])
-    src = df.withColumn("_w", w).join(F.broadcast(shift))  # one row
+    src = with_scalars(df.withColumn("_w", w), shift)
     rel = {a: F.col(a) - F.col(f"_o{a}") for a in axes}
     sums = [F.count("*").alias("n"), F.sum("_w").alias("weight")]
     sums += [F.first(f"_o{a}").alias(f"_o{a}") for a in axes]
@@ -315,14 +316,14 @@ def normalise_variance(df: DataFrame, axes: Keys) -> DataFrame:
     first = df.agg(*[F.avg(a).alias(f"_m{a}") for a in axes], *[F.var_pop(a).alias(f"_v{a}") for a in axes])
     total = sum((F.col(f"_v{a}") for a in axes), start=F.lit(0.0))
     scale = first.select(*[f"_m{a}" for a in axes], F.when(total > 0, 1 / F.sqrt(total)).otherwise(1.0).alias("_k"))
-    j = df.join(F.broadcast(scale))  # one row
+    j = with_scalars(df, scale)
     return j.select(*[c for c in df.columns if c not in axes], *[((F.col(a) - F.col(f"_m{a}")) * F.col("_k")).alias(a) for a in axes])
 
 
 def rotate_to_axes(df: DataFrame, axes: Keys) -> DataFrame:
     """Express the points in their principal axes (largest spread first)."""
     p = principal_axes(df, [], axes).select("axes", "mx", "my", "mz")
-    j = df.join(F.broadcast(p))  # one row
+    j = with_scalars(df, p)
     rel = G.sub([F.col(a) for a in axes], G.cols("mx", "my", "mz"))
     return j.select(
         *[c for c in df.columns if c not in axes],

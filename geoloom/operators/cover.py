@@ -20,12 +20,13 @@ def greedy_cover(pairs: DataFrame, set_col: str, item_col: str) -> DataFrame:
     taken: DataFrame | None = None
     while not open_.isEmpty():
         gain = open_.groupBy("s").agg(F.count("*").alias("gain"))
-        rated = checkpoint(open_.join(gain, "s"))
-        best = rated.groupBy("i").agg(F.max(F.struct("gain", (-F.col("s")).alias("neg"))).alias("b"))
-        wins = best.groupBy((-F.col("b.neg")).alias("s"), F.col("b.gain").alias("gain")).agg(F.count("*").alias("won"))
-        pick = checkpoint(wins.where("won = gain").select("s", "gain"))
+        top = open_.join(gain, "s").groupBy("i").agg(F.max(F.struct("gain", (-F.col("s")).alias("neg"))).alias("b"))
+        best = checkpoint(top.select("i", (-F.col("b.neg")).alias("s"), F.col("b.gain").alias("gain")))
+        won = best.groupBy("s", "gain").agg(F.count("*").alias("won"))
+        pick = checkpoint(won.where("won = gain").select("s", "gain"))
         taken = pick if taken is None else taken.unionByName(pick)
-        covered = rated.join(pick.select("s"), "s", "left_semi").select("i").distinct()
+        # a picked set is the best one of all its open items, so they are found without the pairs
+        covered = best.join(pick.select("s"), "s", "left_semi").select("i")
         open_ = checkpoint(open_.join(covered, "i", "left_anti"))
     if taken is None:
         return open_.select(F.lit(0).cast("bigint").alias("pick"), F.col("s").alias(set_col), F.lit(0).cast("bigint").alias("gain"))

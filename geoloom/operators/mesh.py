@@ -17,7 +17,7 @@ from geoloom.operators.filters import face_points
 from geoloom.operators.graph import components, label_all
 from geoloom.operators.gridjoin import Axis, box_join
 from geoloom.operators.ordering import row_numbers, running_sums
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, with_scalars
 
 CORNERS = ("v0", "v1", "v2")
 
@@ -304,7 +304,7 @@ def drop_long_edges(faces: DataFrame, verts: DataFrame, limit: float | None = No
     if limit is None:
         lens = edge_lengths(faces, verts).select(F.sqrt("l2").alias("len"))
         cut = aggregates.quantile(lens, [], "len", quantile, "_cut")
-        tri = tri.join(F.broadcast(cut))  # one row
+        tri = with_scalars(tri, cut)
         return tri.where(F.sqrt(longest_side2()) <= F.col("_cut")).select(*faces.columns)
     return tri.where(F.sqrt(longest_side2()) <= F.lit(limit)).select(*faces.columns)
 
@@ -315,7 +315,7 @@ def drop_slivers(faces: DataFrame, verts: DataFrame, factor: float = 4.0, cos2:
     A face goes when some side reaches ``factor`` feature sizes and the squared cosine of
     its smallest angle reaches ``cos2``.
     """
-    tri = face_points(faces, verts).join(F.broadcast(feature_size(faces, verts)))  # one row
+    tri = with_scalars(face_points(faces, verts), feature_size(faces, verts))
     a, b, c = corner_vectors()
     s = [G.dot(g, g) for g in (G.sub(b, a), G.sub(c, b), G.sub(a, c))]
     low = F.least(*s)
@@ -339,7 +339,7 @@ def drop_small_components(
         size = lambda src: G.magnitude([F.max(c) - F.min(c) for c in "xyz"])
         whole = v.agg(size(v).alias("_all"))
         per = v.groupBy("comp").agg(size(v).alias("_diag"))
-        keep = per.join(F.broadcast(whole)).where(F.col("_diag") >= F.col("_all") * share).select("comp")
+        keep = with_scalars(per, whole).where(F.col("_diag") >= F.col("_all") * share).select("comp")
     else:
         per = faces.join(comp.withColumnRenamed("vid", "v0"), "v0").groupBy("comp").agg(F.count("*").alias("_n"))
         keep = per.where(F.col("_n") >= min_faces).select("comp")

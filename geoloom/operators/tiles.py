@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, with_scalars
 
 
 def drape(points: DataFrame, pid: str, x: str, y: str, grid: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def raster_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 def stretch_channels(df: DataFrame, channels: list[str]) -> DataFrame:
     """Stretch channels to 0..255 by their global range, rounded."""
     span = df.agg(*[f(c).alias(f"_{n}{c}") for c in channels for n, f in (("lo", F.min), ("hi", F.max))])
-    j = df.join(F.broadcast(span))  # one row
+    j = with_scalars(df, span)
     out = [
         F.round((F.col(c) - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * 255.0).cast("int").alias(c)
         for c in channels

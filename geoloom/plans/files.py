@@ -12,7 +12,7 @@ from geoloom.operators.filters import face_points
 from geoloom.plans import bindings as B
 from geoloom.plans.bindings import with_sql
 from geoloom.plans.registry import query, rnd, table
-from geoloom.session import checkpoint_root
+from geoloom.session import checkpoint_root, with_scalars
 from geoloom.sources import sinks, text
 
 
@@ -57,8 +57,9 @@ def src_mosaic_cells(spark, sf):
     # several manifests: in each the first line has a meaning
     head.unionByName(cells).repartition("f").sortWithinPartitions("f", "o").drop("o").write.partitionBy("f").text(path)
     good, extent, bad = text.read_mosaic_cells(spark, path)
-    extra = extent.select("cols", "rows").distinct().join(F.broadcast(bad.agg(F.count("*").alias("n_bad"))))  # one row each
-    return good.join(F.broadcast(extra)).select("col", "row", "xmin", "xmax", "ymin", "file", "cols", "rows", "n_bad")
+    grid = extent.agg(F.max("cols").alias("cols"), F.max("rows").alias("rows"))
+    out = with_scalars(with_scalars(good, grid), bad.agg(F.count("*").alias("n_bad")))
+    return out.select("col", "row", "xmin", "xmax", "ymin", "file", "cols", "rows", "n_bad")
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.session import with_scalars
+
 
 def fields(c: str = "value") -> Column:
     """Words of a line, split at spaces, tabs and newlines."""
@@ -48,7 +50,7 @@ def read_mosaic_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     heads = _first_lines(lines)
     head_words = heads.withColumn("w", fields())
     extents = head_words.select("_path", *_typed(F.col("w"), names[:6]), F.col("w")[6].cast("int").alias("cols"), F.col("w")[7].cast("int").alias("rows"))
-    body = split.where(F.size("w") == 9).join(F.broadcast(heads.select("_path", "_at")), ["_path", "_at"], "left_anti")
+    body = split.where(F.size("w") == 9).join(heads.select("_path", "_at"), ["_path", "_at"], "left_anti")
     cells = body.select(*_typed(F.col("w"), names)).where("file <> 'null'")
     return cells, extents, bad
 
@@ -80,7 +82,7 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     rows = words.where(~key.startswith("ORIGIN_")).select(*_typed(F.col("w"), POSE_COLUMNS))
     pose = F.array("x", "y", "z", "phi", "theta", "psi").alias("pose")
     rest = [n for n, _ in POSE_COLUMNS if n not in ("x", "y", "z", "phi", "theta", "psi", "overlap")]
-    return rows.join(F.broadcast(origin)).select(  # one row
+    return with_scalars(rows, origin).select(
         *rest, pose, (F.col("overlap") != 0).alias("overlap"), "origin_latitude", "origin_longitude"
     )
 
