@@ -37,20 +37,24 @@ def knn_points(
     k: int,
     max_dist: float | None = None,
     exclude_same_id: bool = False,
+    accept: Column | None = None,
+    carry: tuple[Sequence[str], Sequence[str]] = ((), ()),
 ) -> DataFrame:
     """k nearest data points per query point: (qid, nid, d2, rank), ties by id.
 
     With ``max_dist`` only points strictly closer count and a query may have fewer
-    rows (or none).  Ids must be unique on their side.
+    rows (or none).  ``accept`` is a test on the ``carry`` columns (of queries, of data)
+    that a neighbour must pass.  Ids must be unique on their side.
     """
     dim = len(qaxes)
-    q = queries.select(F.col(qid).alias("_qid"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(qaxes)])
-    d = data.select(F.col(did).alias("_nid"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(daxes)])
+    qcarry, dcarry = ([*c] for c in carry)
+    q = queries.select(F.col(qid).alias("_qid"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(qaxes)], *qcarry)
+    d = data.select(F.col(did).alias("_nid"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(daxes)], *dcarry)
     daxis = [f"_d{i}" for i in range(dim)]
     qaxis = [f"_q{i}" for i in range(dim)]
-    q, d = q.dropna(), d.dropna()
-    # copies of one position: the k (+1) lowest ids are enough, the rest can never win
-    copies = Window.partitionBy(*daxis).orderBy("_nid")
+    q, d = q.dropna(subset=["_qid", *qaxis]), d.dropna(subset=["_nid", *daxis])
+    # copies of one position (and carried values): the k (+1) lowest ids are enough
+    copies = Window.partitionBy(*daxis, *dcarry).orderBy("_nid")
     d = d.withColumn("_copy", F.row_number().over(copies))
     d = checkpoint(d.where(F.col("_copy") <= k + int(exclude_same_id)).drop("_copy"))
     b = d.agg(F.count("*").alias("n"), *[f(c) for c in daxis for f in (F.min, F.max)]).first()
@@ -85,7 +89,10 @@ def knn_points(
             near = near.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", c + F.col(f"_s{i}"))
         near = near.drop(*[f"_s{i}" for i in range(dim)])
         cells = d.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(_cells([F.col(c) for c in daxis], size))])
-        cand = salted_join(near, cells, keys, (rest_rows * 3**dim, b["n"])).select("_qid", "_nid", d2.alias("_d2"))
+        cand = salted_join(near, cells, keys, (rest_rows * 3**dim, b["n"]))
+        if accept is not None:
+            cand = cand.where(accept)
+        cand = cand.select("_qid", "_nid", d2.alias("_d2"))
         if exclude_same_id:
             cand = cand.where(F.col("_qid") != F.col("_nid"))
         if max_dist is not None:
@@ -318,16 +325,23 @@ def knn_vectors(
 
 
 def nearest_boxes(
-    boxes: DataFrame, lows: Sequence[str], highs: Sequence[str], point: Sequence[float], k: int
+    boxes: DataFrame,
+    lows: Sequence[str],
+    highs: Sequence[str],
+    point: Sequence[float],
+    k: int,
+    distance: Column | None = None,
 ) -> DataFrame:
-    """k nearest boxes to one point with every tie at the k-th distance.
+    """k nearest boxes to one point with every tie at the k-th distance (column d2).
+
+    ``distance`` replaces the squared distance to the box by any other expression.
 
     The k-th distance comes from a bounded top-k; the second pass is a filter, so no
     global window is needed.
     """
     gap = [F.greatest(F.col(lo) - F.lit(p), F.lit(p) - F.col(hi), F.lit(0.0)) for lo, hi, p in zip(lows, highs, point)]
     d2 = sum((g * g for g in gap), start=F.lit(0.0))
-    with_d = boxes.withColumn("d2", d2)
+    with_d = boxes.withColumn("d2", d2 if distance is None else distance)
     kth = [r[0] for r in with_d.select("d2").orderBy("d2").limit(k).collect()]  # k numbers
     if not kth:
         return with_d.limit(0)

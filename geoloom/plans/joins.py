@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import cameras, joins, patches, temporal
 from geoloom.operators.filters import window_filter
-from geoloom.operators.graph import drop_small_groups
 from geoloom.operators.gridjoin import Axis, box_join
 from geoloom.operators.knn import nearest_boxes
 from geoloom.plans import bindings as B
@@ -351,9 +350,7 @@ def patch_neighbors(spark, sf):
     "SELECT id FROM reach WHERE lab IN (SELECT lab FROM reach GROUP BY lab HAVING COUNT(*) >= 5)",
 )
 def patch_group_filter(spark, sf):
-    pts = _patches(spark, sf)
-    links = patches.patch_neighbours(pts, "id", 1.1, 0.33, 1.7)
-    return drop_small_groups(pts.select("id"), "id", links, "a", "b", 5)
+    return patches.drop_small_patch_groups(_patches(spark, sf), "id", 1.1, 0.33, 1.7, 5).select("id")
 
 
 CAMV = (

@@ -155,3 +155,35 @@ def test_moving_points_against_steps(spark):
             steps = [t1 + (t2 - t1) * s / 400 for s in range(401)]
             if any(xl <= ax + vx * (t - t0) <= xh and yl <= ay + vy * (t - t0) <= yh for t in steps):
                 assert (i, j) in got
+
+
+def test_neighbour_predicate_and_own_distance(spark):
+    rng = np.random.default_rng(9)
+    q, d = rng.uniform(0, 10, (20, 2)), rng.uniform(0, 10, (150, 2))
+    d[:50] = d[0]
+    qd = spark.createDataFrame([(i, float(a), float(b), i % 3) for i, (a, b) in enumerate(q)], "q long, x double, y double, qk int")
+    dd = spark.createDataFrame([(i, float(a), float(b), i % 3) for i, (a, b) in enumerate(d)], "d long, u double, v double, dk int")
+    out = knn_points(qd, dd, "q", ["x", "y"], "d", ["u", "v"], 3, accept=F.col("qk") != F.col("dk"), carry=(["qk"], ["dk"]))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.q, {})[r["rank"]] = r.nid
+    for i, p in enumerate(q):
+        d2 = ((p - d) ** 2).sum(axis=1)
+        want = [j for j in np.lexsort((np.arange(150), d2)) if j % 3 != i % 3][:3]
+        assert [got[i][n] for n in (1, 2, 3)] == want
+    from geoloom.operators.knn import nearest_boxes
+
+    b = spark.createDataFrame([(1, 0.0, 1.0), (2, 5.0, 6.0), (3, 9.0, 9.5), (4, -3.0, -2.0)], "id int, lo double, hi double")
+    near = nearest_boxes(b, ["lo"], ["hi"], [3.0], 1)
+    assert {r.id for r in near.collect()} == {1, 2}
+    far = nearest_boxes(b, ["lo"], ["hi"], [3.0], 1, distance=-F.col("hi"))
+    assert [r.id for r in far.collect()] == [3]
+
+
+def test_patch_groups_count_copies(spark):
+    from geoloom.operators.patches import drop_small_patch_groups
+
+    rows = [(i, 0.0, 0.0, 0.0) for i in range(6)] + [(10, 50.0, 0.0, 0.0), (11, 50.5, 0.0, 0.0), (12, 90.0, 0.0, 0.0)]
+    p = spark.createDataFrame([(*r, 0.0, 0.0, 1.0, 1.0) for r in rows], "id long, x double, y double, z double, nx double, ny double, nz double, scale double")
+    got = {r.id for r in drop_small_patch_groups(p, "id", 1.0, 0.3, 1.0, 2).collect()}
+    assert got == {0, 1, 2, 3, 4, 5, 10, 11}
