@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.plans.bindings import with_sql
 from geoloom.plans.registry import micros, query
-from geoloom.session import checkpoint_root
+from geoloom.session import checkpoint_root, range_partitions
 from geoloom.streaming import oplog
 
 # keyed processors need this state store
@@ -25,9 +25,10 @@ def _stream(spark, sf):
     return reader.option("maxFilesPerTrigger", 64).parquet(sf)
 
 
-def _run(spark, name, stream, conf=None):
-    """Run with the given settings, then restore them."""
-    conf = conf or {}
+def _run(spark, sf, name, stream, conf=None):
+    """Run with state partitions sized to the data and the given settings, then restore them."""
+    parts = range_partitions(spark.read.parquet(f"{sf}/events.parquet"))
+    conf = {"spark.sql.shuffle.partitions": str(parts), **(conf or {})}
     before = {k: spark.conf.get(k) for k in conf}
     try:
         for k, v in conf.items():
@@ -60,7 +61,7 @@ def stream_oplog_state(spark, sf):
         F.when(is_q, y + 15).otherwise(y + 6).alias("y2"),
     )
     salts = max(8, spark.sparkContext.defaultParallelism)
-    return _run(spark, "oplog", oplog.live_set_answers(log, salts), KEYED)
+    return _run(spark, sf, "oplog", oplog.live_set_answers(log, salts), KEYED)
 
 
 @query(
@@ -75,7 +76,7 @@ def stream_versions(spark, sf):
         micros("ts").alias("t"),
         "value",
     )
-    return _run(spark, "versions", oplog.closed_versions(log), KEYED)
+    return _run(spark, sf, "versions", oplog.closed_versions(log), KEYED)
 
 
 def _timed(spark, sf):
@@ -98,7 +99,7 @@ WIN = with_sql("ev") + ", m AS (SELECT MAX(t) - 7200000000 AS wm FROM ev) "
 )
 def stream_cell_windows(spark, sf):
     ev = _timed(spark, sf)
-    out = _run(spark, "windows", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", None, "2 hours", "event_id"))
+    out = _run(spark, sf, "windows", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", None, "2 hours", "event_id"))
     return out.select(_us("start").alias("start_us"), "cell", "n", F.round("total", 4).alias("total"))
 
 
@@ -109,7 +110,7 @@ def stream_cell_windows(spark, sf):
 )
 def stream_cell_sliding(spark, sf):
     ev = _timed(spark, sf)
-    out = _run(spark, "sliding", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", "3 hours", "2 hours", "event_id"))
+    out = _run(spark, sf, "sliding", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", "3 hours", "2 hours", "event_id"))
     return out.select(_us("start").alias("start_us"), "cell", "n", F.round("total", 4).alias("total"))
 
 
@@ -120,5 +121,5 @@ def stream_cell_sliding(spark, sf):
     "SELECT MIN(t) AS start_us, MAX(t) + 3600000000 AS end_us, cell, COUNT(*) AS n FROM k, m GROUP BY cell, sid, wm HAVING MAX(t) + 3600000000 <= wm",
 )
 def stream_cell_sessions(spark, sf):
-    out = _run(spark, "sessions", oplog.cell_sessions(_timed(spark, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"), LOCAL_SESSIONS)
+    out = _run(spark, sf, "sessions", oplog.cell_sessions(_timed(spark, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"), LOCAL_SESSIONS)
     return out.select(_us("start").alias("start_us"), _us("end").alias("end_us"), "cell", "n")
