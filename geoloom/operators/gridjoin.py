@@ -105,7 +105,7 @@ def salted_join(
         on.append(f"_salt_{tag}")
     if max(rows) < SALT_MIN_ROWS:
         # few bytes but much pair work: AQE would merge such partitions into one or two tasks
-        n = 4 * ls.sparkSession.sparkContext.defaultParallelism
+        n = 2 * ls.sparkSession.sparkContext.defaultParallelism
         ls, rs = ls.repartition(n, *on), rs.repartition(n, *on)
     return ls.join(rs, on)
 
