@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, packing, quality, simhash
+from geoloom.llm import bpe, chunks, langid, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,19 @@ def op9_packing(spark, sf_dir):
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op3_pii")
+def op3_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_langid")
+def op4_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+@query("op8_chunks")
+def op8_chunks(spark, sf_dir):
+    return chunks.edited_likeness(table(spark, sf_dir, "documents"))
