@@ -229,7 +229,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = checkpoint(fps.join(comp, "fp"))
     lowest = label.groupBy("comp").agg(F.min("id").alias("component_id"))
     linked = label.join(lowest, "comp").select("fp", "component_id")
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    # written, so that the join below shuffles both sides itself and can split a fingerprint with very many copies
+    named = checkpoint(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
     return own.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """One row of each near-duplicate component, all columns: a row with the lowest id.
+
+    Of rows that repeat this id one stays.  Rows with a null id go if an id of their component is
+    known; of the others, one of each fingerprint stays.
+    """
+    label = checkpoint(near_duplicates(docs, id_col, text_col, width))
+    first = label.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
+    first = checkpoint(first)
+    kept = docs.join(first.select(id_col), id_col, "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    lone = label.where("component_id is null").select("fingerprint").distinct()
+    if lone.isEmpty():
+        return kept
+    unnamed = docs.where(F.col(id_col).isNull()).withColumn("_h", F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    prints = fingerprints(unnamed, "_h", text_col, width).distinct().withColumnsRenamed({"id": "_h", "fp": "_fp"})
+    prints = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
+    extra = unnamed.join(prints.select("_h", "_fp"), "_h").dropDuplicates(["_fp"]).select(docs.columns)
+    return kept.unionByName(extra)
