@@ -119,9 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Trees from at most ``rows`` labelled documents; without labels every document gets 0.5."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    # at most `rows` ids of 8 bytes; the condition on text columns keeps other documents out of the scan's output
+    # at most `rows` ids and labels are sent to all executors
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")
-    table = statistics(picked, "id", "t").join(F.broadcast(known), "id").orderBy("id", *STATS).toPandas()
+    table = statistics(picked, "id", "t").join(F.broadcast(known), "id").toPandas().sort_values(["id", *STATS])
     s = {k: table[k].to_numpy(np.int64) for k in STATS + MORE}
     good = ~base_failed(s)
     return train(features(s)[good], table["y"].to_numpy(float)[good], MONOTONE)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, chat, chunks, langid, packing, pii, quality, simhash
+from geoloom.llm import bpe, chat, chunks, html, langid, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,8 @@ TRICKY = """
 def op2_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_chats(rows.unionByName(spark.sql(TRICKY))))
+
+
+@query("op5_html")
+def op5_html(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages"))
