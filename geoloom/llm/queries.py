@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, chat, chunks, html, langid, packing, pii, quality, simhash
+from geoloom.llm import bpe, chat, chunks, html, langid, packing, pii, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(
+    "op1_substring",
+    r"""
+    WITH d AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w
+      FROM documents
+    ), windows AS (
+      SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+    ), again AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM again
+    ), words AS (
+      SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+    ), kept AS (
+      SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.j) AS text, count(*) AS n
+      FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.j = gone.j GROUP BY words.doc_id
+    )
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
+def op1_substring(spark, sf_dir):
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
