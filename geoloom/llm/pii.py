@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import slices
+from geoloom.llm.columns import unused
 from geoloom.session import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
@@ -249,29 +250,32 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
     Base spans are found next to the text; learned ones are joined to their rows by id and text
     hash, and only if there are any.
     """
-    found = checkpoint(_scan(docs.withColumn("_h", F.xxhash64(text_col)), id_col, text_col, "_h"))
+    h, own = unused(docs, "_h"), unused(docs, "_more")
+    found = checkpoint(_scan(docs.withColumn(h, F.xxhash64(text_col)), id_col, text_col, h))
     known = checkpoint(learn(found, **learning))
-    rows = docs.withColumn("_h", F.xxhash64(text_col))
+    rows = docs.withColumn(h, F.xxhash64(text_col))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     if known.isEmpty():
-        rows = rows.withColumn("_more", none)
+        rows = rows.withColumn(own, none)
     else:
         more = (
             found.select("id", "row", F.explode("seen").alias("m")).where("m.k < 0").select("id", "row", "m.s", "m.e", "m.instance")
-            .join(known, "instance").groupBy(F.col("id").alias("_id"), F.col("row").alias("_h"))
-            .agg(F.collect_set(F.struct("s", F.col("kind").alias("k"), "e")).alias("_more"))
+            .join(known, "instance").groupBy("id", "row")
+            .agg(F.collect_set(F.struct("s", F.col("kind").alias("k"), "e")).alias("more"))
         )
-        same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (rows["_h"] == more["_h"])
-        rows = rows.join(more, same, "left").drop(more["_h"], "_id").withColumn("_more", F.coalesce("_more", none))
+        same = rows[id_col].cast("long").eqNullSafe(more["id"]) & (rows[h] == more["row"])
+        rows = rows.join(more, same, "left").select(*[rows[c] for c in docs.columns], F.coalesce(more["more"], none).alias(own))
+
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 out = []
-                for text, more_ in zip(part.column(text_col).to_pylist(), part.column("_more").to_pylist()):
+                for text, more_ in zip(part.column(text_col).to_pylist(), part.column(own).to_pylist()):
                     spans = [{"s": a, "k": k, "e": b} for a, k, b in base_spans(text or "")] + more_
                     out.append(masked(text, sorted(spans, key=lambda x: (x["s"], x["k"]))))
                 at = part.schema.get_field_index(text_col)
-                yield part.set_column(at, text_col, pa.array(out, pa.string())).select(docs.columns)
+                yield part.set_column(at, text_col, pa.array(out, pa.string())).select(names)
 
-    return rows.drop("_h").mapInArrow(run, docs.schema)
+    return rows.select(*docs.columns, own).mapInArrow(run, docs.schema)

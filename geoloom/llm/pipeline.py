@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import quality, simhash
+from geoloom.llm import packing, pii, quality, simhash, substring
+from geoloom.llm.queries import tokenizer_path
 from geoloom.session import checkpoint_root
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as its texts now are."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +28,27 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_first(docs)
 
 
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 35 words or more that stand elsewhere as well."""
+    return _counted(substring.remove_repeats(docs))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return _counted(pii.mask(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, each with its sequence and place."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("near-duplicate removal", near_duplicate_stage),
+    ("repeated passage removal", substring_stage),
+    ("personal data", pii_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import slices
+from geoloom.llm.columns import unused
 from geoloom.operators.graph import components
 from geoloom.session import checkpoint
 
@@ -251,8 +252,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lone = label.where("component_id is null").select("fingerprint").distinct()
     if lone.isEmpty():
         return kept
-    unnamed = docs.where(F.col(id_col).isNull()).withColumn("_h", F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    prints = fingerprints(unnamed, "_h", text_col, width).distinct().withColumnsRenamed({"id": "_h", "fp": "_fp"})
-    prints = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
-    extra = unnamed.join(prints.select("_h", "_fp"), "_h").dropDuplicates(["_fp"]).select(docs.columns)
+    h, fp = unused(docs, "_h"), unused(docs, "_fp")
+    unnamed = docs.where(F.col(id_col).isNull()).withColumn(h, F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    prints = fingerprints(unnamed, h, text_col, width).distinct()
+    prints = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
+    extra = unnamed.join(prints.select(F.col("id").alias(h), F.col("fp").alias(fp)), h).dropDuplicates([fp]).select(docs.columns)
     return kept.unionByName(extra)

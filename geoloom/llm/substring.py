@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import MIX_A, Words, buffers, gram_hashes, hashes, mix, slices, split
+from geoloom.llm.columns import unused
 from geoloom.llm.fm import FMIndex
 from geoloom.session import checkpoint
 
@@ -110,10 +112,21 @@ def _wanted(docs: DataFrame, width: int) -> DataFrame:
     return checkpoint(pairs.groupBy("rid").agg(F.collect_set(F.struct("key", "crowded")).alias("keys")))
 
 
-def _pieces(part: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+@dataclass(frozen=True)
+class _Names:
+    """Columns of the dealt rows; helpers have names that the input does not use."""
+
+    text: str
+    rid: str
+    hash: str
+    keys: str
+    ranges: str
+
+
+def _pieces(part: pa.RecordBatch, names: _Names, width: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(row, first word, shard key, words) of the segments of wanted anchors, crowded ones by window."""
-    segs = Segments(split(*buffers(part.column("t"))), width)
-    lists = part.column("keys")
+    segs = Segments(split(*buffers(part.column(names.text))), width)
+    lists = part.column(names.keys)
     flat = lists.flatten()
     key = flat.field("key").to_numpy().view(np.uint64)
     crowded = flat.field("crowded").to_numpy(zero_copy_only=False)
@@ -139,14 +152,14 @@ def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
-def _segments(rows: DataFrame, width: int, shards: int) -> DataFrame:
+def _segments(rows: DataFrame, names: _Names, width: int, shards: int) -> DataFrame:
     """(shard, sid, words, n) of the segments to index; equal ones of a batch are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list] = {}
-            for part in slices(batch, "t"):
-                for _, _, anchor, words in _pieces(part, width):
+            for part in slices(batch, names.text):
+                for _, _, anchor, words in _pieces(part, names, width):
                     found.setdefault(_digest(words), [anchor % shards, words, 0])[2] += 1
             columns = [[v[0] for v in found.values()], list(found), [v[1] for v in found.values()], [v[2] for v in found.values()]]
             kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
@@ -155,19 +168,19 @@ def _segments(rows: DataFrame, width: int, shards: int) -> DataFrame:
     return rows.mapInArrow(run, "shard int, sid binary, words binary, n long")
 
 
-def _occurrences(rows: DataFrame, width: int) -> DataFrame:
+def _occurrences(rows: DataFrame, names: _Names, width: int) -> DataFrame:
     """(sid, rid, h, place): where the segments stand; h tells texts with the same id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
-                found = [(row, place, _digest(words)) for row, place, _, words in _pieces(part, width)]
+            for part in slices(batch, names.text):
+                found = [(row, place, _digest(words)) for row, place, _, words in _pieces(part, names, width)]
                 row = np.array([f[0] for f in found], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f[2] for f in found], pa.binary()),
-                        pa.array(part.column("rid").to_numpy()[row]),
-                        pa.array(part.column("h").to_numpy()[row]),
+                        pa.array(part.column(names.rid).to_numpy()[row]),
+                        pa.array(part.column(names.hash).to_numpy()[row]),
                         pa.array([f[1] for f in found], pa.int32()),
                     ],
                     ["sid", "rid", "h", "place"],
@@ -232,33 +245,35 @@ def _cut(text: str | None, ranges: list[dict]) -> tuple[list[bytes], int]:
 _PLACES = "array<struct<h:bigint,a:int,b:int>>"
 
 
-def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_words: int) -> DataFrame:
-    """``docs`` with ``_rid`` and ``_places``: ranges of repeated words by text hash.
+def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_words: int) -> tuple[DataFrame, str]:
+    """``docs`` with a column of the ranges of repeated words of each row, and its name.
 
-    The texts are shuffled once, by row id; the plan uses that exchange three times.
+    The texts are shuffled once, by row id.  All three uses of that exchange ask for the same columns,
+    so that the plan can share it.
     """
+    names = _Names(text_col, *(unused(docs, c) for c in ("_rid", "_hash", "_keys", "_ranges")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # null ids are spread by text; ids need not differ, as ranges also name the text
-    own = docs.withColumn("_rid", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)))
+    own = docs.withColumn(names.rid, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)))
     size = own.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    wanted = _wanted(own.select(F.col("_rid").alias("rid"), text.alias("t")), width)
+    wanted = _wanted(own.select(F.col(names.rid).alias("rid"), text.alias("t")), width)
     many = wanted.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
     shards = int(max(cores, many * SEGMENT_WORDS // shard_words + 1))
-    tasks = int(max(cores, size // TASK_BYTES + 1))
-    dealt = own.repartition(tasks, "_rid")
-    rows = dealt.join(wanted.withColumnRenamed("rid", "_rid").repartition(tasks, "_rid"), "_rid")
-    rows = rows.select(F.col("_rid").alias("rid"), F.xxhash64(text).alias("h"), text.alias("t"), "keys")
+    # with fewer partitions than the session's the joins would deal the texts out again
+    tasks = int(max(cores, size // TASK_BYTES + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = own.repartition(tasks, names.rid)
+    keys = wanted.withColumnsRenamed({"rid": names.rid, "keys": names.keys}).repartition(tasks, names.rid)
+    rows = dealt.join(keys, names.rid).withColumn(names.hash, F.xxhash64(text))
     found = (
-        _segments(rows, width, shards).repartition(shards, "shard").sortWithinPartitions("shard", "sid")
+        _segments(rows, names, width, shards).repartition(shards, "shard").sortWithinPartitions("shard", "sid")
         .mapInArrow(lambda batches: _shards(batches, width), "sid binary, ranges array<struct<a:int,b:int>>")
     )
-    places = _occurrences(rows, width).join(found, "sid").select(F.col("rid").alias("_rid"), "h", "place", F.explode("ranges").alias("r"))
-    by_doc = places.repartition(tasks, "_rid").groupBy("_rid").agg(
-        F.collect_set(F.struct("h", (F.col("place") + F.col("r.a")).alias("a"), (F.col("place") + F.col("r.b")).alias("b"))).alias("_places")
-    )
-    mine = F.filter(F.coalesce("_places", F.array().cast(_PLACES)), lambda x: x["h"] == F.xxhash64(text))
-    return dealt.join(by_doc, "_rid", "left").withColumn("_places", mine)
+    places = _occurrences(rows, names, width).join(found, "sid").select(F.col("rid").alias(names.rid), "h", "place", F.explode("ranges").alias("r"))
+    one = F.struct("h", (F.col("place") + F.col("r.a")).alias("a"), (F.col("place") + F.col("r.b")).alias("b"))
+    by_doc = places.repartition(tasks, names.rid).groupBy(names.rid).agg(F.collect_set(one).alias(names.ranges))
+    mine = F.filter(F.coalesce(names.ranges, F.array().cast(_PLACES)), lambda x: x["h"] == F.xxhash64(text))
+    return dealt.join(by_doc, names.rid, "left").withColumn(names.ranges, mine), names.ranges
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -269,16 +284,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     makes all its windows repeated.  Null and short texts have no window and stay.
     """
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 out = []
-                for old, ranges in zip(part.column(text_col).to_pylist(), part.column("_places").to_pylist()):
+                for old, ranges in zip(part.column(text_col).to_pylist(), part.column(ranges_col).to_pylist()):
                     out.append(b" ".join(_cut(old, ranges)[0]).decode() if ranges else old)
                 at = part.schema.get_field_index(text_col)
-                yield part.set_column(at, text_col, pa.array(out, pa.string())).select(docs.columns)
+                yield part.set_column(at, text_col, pa.array(out, pa.string())).select(names)
 
-    return _with_ranges(docs, text_col, id_col, width, shard_words).mapInArrow(run, docs.schema)
+    marked, ranges_col = _with_ranges(docs, text_col, id_col, width, shard_words)
+    return marked.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -292,7 +310,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for text, ranges in zip(part.column("text").to_pylist(), part.column("_places").to_pylist()):
+                for text, ranges in zip(part.column("text").to_pylist(), part.column(ranges_col).to_pylist()):
                     kept, removed = _cut(text, ranges)
                     rows.append((len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
                 kinds = [pa.int64(), pa.int64(), pa.string()]
@@ -300,5 +318,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = _with_ranges(rows, "text", "id", width, shard_words).select("id", "text", "_places")
+    marked, ranges_col = _with_ranges(rows, "text", "id", width, shard_words)
+    marked = marked.select("id", "text", ranges_col)
     return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
