@@ -251,7 +251,9 @@ def judge(wrapper: list[Node], pages: int) -> dict[str, bool]:
         for n, p, link in able:
             text[p] += n.chars
             links[p] += n.chars * link
-        chosen = [(n, p, link) for n, p, link in able if p[: len(best)] == best and (n.text is None or pages == 1) and links[p] <= text[p] / 2]
+        # a container without varying text is part of the frame, and so is one that is mostly links
+        lively = {p for _, p, _ in varies if links[p] <= text[p] / 2}
+        chosen = [x for x in able if x[1][: len(best)] == best and x[1] in lively]
     for n, _, _ in chosen:
         n.keep = True
     verdict: dict[str, bool] = {}
