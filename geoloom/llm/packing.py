@@ -45,19 +45,18 @@ def _encoder(tokenizer: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Token pieces of every document as unpacked sequences of one member each."""
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "t"):
                 rows: list[tuple] = []
-                for doc, text in zip(part.column("id").to_pylist(), part.column("t").to_pylist()):
-                    ids = memoryview(encode(text or "") + end)
-                    n = len(ids) // 4
-                    rows += [
-                        (doc, k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), 0) for k, s in enumerate(range(0, n, length))
-                    ]
+                ids, begin = encode(part.column("t"))
+                for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+                    own = np.concatenate([ids[a:b], end])
+                    n = len(own)
+                    rows += [(doc, k, s, min(length, n - s), zlib.crc32(own[s : s + length]), 0) for k, s in enumerate(range(0, n, length))]
                 columns = zip(*rows)
                 members = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEMBER_TYPE)], fields=list(MEMBER_TYPE))
                 yield _bins(np.arange(len(rows) + 1), members, np.zeros(len(rows), bool), np.arange(len(rows)))
