@@ -4,17 +4,17 @@ The index holds the Burrows-Wheeler transform as a wavelet matrix: one bit vecto
 word numbers, with counts per 64 bits.  Backward search maps an interval of suffixes to that of the
 pattern with one more word in front.  Matching statistics shorten a match that cannot be extended
 to the next shorter one that can, by the common-prefix lengths of neighbouring suffixes (Ohlebusch,
-Gog and Kuegel, 2010).  Suffixes are sorted by their first 64 words, which is enough for patterns
-of up to 63 words.
+Gog and Kuegel, 2010).  Suffixes are sorted by their first 48 words, which is enough for patterns
+of up to 48 words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words by which suffixes are sorted, as doublings of one word.
-DOUBLINGS = 6
-LONGEST = (1 << DOUBLINGS) - 1
+#: Words by which suffixes are sorted: three at first, then twice as many in each round.
+STEPS = (3, 6, 12, 24, 48)
+LONGEST = STEPS[-1]
 
 
 class WaveletMatrix:
@@ -57,41 +57,51 @@ class FMIndex:
     def __init__(self, text: np.ndarray, count: int):
         n = len(text)
         self.size = n
-        ranks = [text.astype(np.int64)]
-        for k in range(DOUBLINGS):
-            last = ranks[-1]
-            after = np.full(n, -1, np.int64)
-            after[: max(0, n - (1 << k))] = last[1 << k :]
-            key = last * (n + count + 1) + after + 1
-            order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-            ranks.append(new)
-        suffixes = np.argsort(ranks[-1], kind="stable")
+        after = np.concatenate([text, np.full(LONGEST, -1)]) + 1
+        if count < 1 << 20:
+            key = (after[:n] << 42) | (after[1 : n + 1] << 21) | after[2 : n + 2]
+        else:
+            two = after[:n] * (count + 1) + after[1 : n + 1]
+            key = np.unique(two, return_inverse=True)[1] * (count + 1) + after[2 : n + 2]
+        ranks = {}
+        for step in STEPS:
+            order = np.argsort(key)
+            ordered = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+            ranks[step] = rank
+            key = rank * (n + 1)
+            key[: max(0, n - step)] += rank[step:] + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=count))))[:-1]
-        self.matrix = WaveletMatrix(text[suffixes - 1], count)
-        self.common = self._common(suffixes, ranks)
+        self.matrix = WaveletMatrix(text[order - 1], count)
+        self.common = self._common(order, ranks, text)
         self.borders: dict[int, np.ndarray] = {}
 
-    def _common(self, suffixes: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-        """Common prefix length of each suffix with the one before it, at most 64; -1 at both ends."""
+    def _common(self, suffixes: np.ndarray, ranks: dict[int, np.ndarray], text: np.ndarray) -> np.ndarray:
+        """Common prefix length of each suffix with the one before it, at most 48; -1 at both ends."""
         a, b = suffixes[:-1], suffixes[1:]
-        same = np.where(ranks[-1][a] == ranks[-1][b], 1 << DOUBLINGS, 0)
-        open_ = same == 0
-        for k in range(DOUBLINGS - 1, -1, -1):
+        full = ranks[LONGEST][a] == ranks[LONGEST][b]
+        at = np.flatnonzero(~full)
+        a, b = a[at], b[at]
+        same = np.zeros(len(at), np.int64)
+        for step, rank in [*sorted(ranks.items(), reverse=True)[1:], (1, text), (1, text)]:
             i, j = a + same, b + same
-            inside = open_ & (i < self.size) & (j < self.size)
-            eq = np.zeros(len(a), bool)
-            eq[inside] = ranks[k][i[inside]] == ranks[k][j[inside]]
-            same = same + (eq << k)
-        return np.concatenate(([-1], same, [-1])).astype(np.int8)
+            inside = (i < self.size) & (j < self.size)
+            equal = inside & (rank[np.where(inside, i, 0)] == rank[np.where(inside, j, 0)])
+            same += step * equal
+        out = np.full(self.size + 1, LONGEST, np.int8)
+        out[at + 1] = same
+        out[[0, -1]] = -1
+        return out
 
     def widen(self, low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of all suffixes that share ``depth`` words with those of the given intervals."""
         if depth not in self.borders:
             self.borders[depth] = np.flatnonzero(self.common < depth).astype(np.int32)
         at = self.borders[depth]
-        return at[np.searchsorted(at, low, "right") - 1].astype(np.int64), at[np.searchsorted(at, high, "left")].astype(np.int64)
+        first = np.searchsorted(at, low.astype(np.int32), "right") - 1  # of the same type, or all of ``at`` is cast
+        last = np.searchsorted(at, high.astype(np.int32), "left")
+        return at[first].astype(np.int64), at[last].astype(np.int64)
 
     def extend(self, low: np.ndarray, high: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search."""
@@ -108,6 +118,10 @@ class FMIndex:
         if not 0 < limit <= LONGEST:
             raise ValueError("limit is out of range")
         out = np.zeros(len(patterns), np.int8)
+        # where the suffixes that share limit - 1 words begin and end, as every full match asks for it
+        border, place = self.common < limit - 1, np.arange(self.size + 1)
+        before = np.maximum.accumulate(np.where(border, place, 0))
+        after = np.minimum.accumulate(np.where(border, place, self.size)[::-1])[::-1]
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         low, high = np.zeros(len(size), np.int64), np.full(len(size), self.size)
@@ -118,7 +132,7 @@ class FMIndex:
             word = patterns[place]
             full = np.flatnonzero(depth[:lanes] == limit)
             if len(full):
-                low[full], high[full] = self.widen(low[full], high[full], limit - 1)
+                low[full], high[full] = before[low[full]], after[high[full]]
                 depth[full] = limit - 1
             todo = np.arange(lanes)
             while len(todo):

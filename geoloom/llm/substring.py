@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import MIX_A, Words, buffers, gram_hashes, hashes, mix, slices, split
+from geoloom.llm.arrow_text import MIX_A, SPACE, Words, buffers, gram_hashes, hashes, mix, runs, slices, split
 from geoloom.llm.columns import unused
 from geoloom.llm.fm import FMIndex
 from geoloom.session import checkpoint
@@ -31,7 +32,7 @@ from geoloom.session import checkpoint
 WIDTH = 35
 GROUP_WORDS = 8
 #: Words that a shard is meant to index.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 1_500_000
 SEGMENT_WORDS = 50  # of a usual segment
 #: Text per partition where documents are dealt by id.
 TASK_BYTES = 24 << 20
@@ -79,12 +80,14 @@ class Segments:
         total = np.concatenate(([np.uint64(0)], np.cumsum(self.hashes * power[:-1], dtype=np.uint64)))
         return mix((total[self.first + self.count + self.width - 1] - total[self.first]) * inverse[self.first])
 
-    def content(self, k: int, shift: int = 0, windows: int | None = None) -> bytes:
-        """The words of segment k, or of some of its windows, with single spaces."""
-        a = self.first[k] + shift
-        b = a + (self.count[k] if windows is None else windows) + self.width - 1
-        raw = self.words.data[self.words.start[a] : self.words.end[b - 1]]
-        return b" ".join(raw.tobytes().split())
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words, each followed by a space, and where each begins."""
+        w = self.words
+        size = w.end - w.start
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int((size + 1).sum()), 32, np.uint8)
+        out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = w.data[~SPACE[w.data]]
+        return out.tobytes(), np.concatenate((begin, [len(out)]))
 
 
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
@@ -131,104 +134,120 @@ def _pieces(part: pa.RecordBatch, names: _Names, width: int) -> Iterator[tuple[i
     key = flat.field("key").to_numpy().view(np.uint64)
     crowded = flat.field("crowded").to_numpy(zero_copy_only=False)
     of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    wanted = {(r, k): c for r, k, c in zip(of.tolist(), key.tolist(), crowded.tolist())}
-    base = segs.words.first
-    grams: np.ndarray | None = None
-    for k, (row, anchor) in enumerate(zip(segs.text.tolist(), segs.key.tolist())):
-        split_ = wanted.get((row, anchor))
-        if split_ is None:
-            continue
-        place = int(segs.first[k] - base[row])
+    named = lambda row, anchor: mix(anchor ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    own, wanted = named(segs.text, segs.key), named(of, key)
+    by_window = np.isin(own, wanted[crowded])
+    grams = gram_hashes(segs.hashes, width) if by_window.any() else None
+    raw, begin = segs.spaced()
+    picked = np.flatnonzero(np.isin(own, wanted))
+    first, count = segs.first[picked], segs.count[picked]
+    place = first - segs.words.first[segs.text[picked]]
+    ends = begin[first + count + width - 1] - 1
+    rows = zip(segs.text[picked].tolist(), place.tolist(), segs.key[picked].tolist(), begin[first].tolist(), ends.tolist(), by_window[picked].tolist(), first.tolist(), count.tolist())
+    for row, at, anchor, x, y, split_, word, windows in rows:
         if not split_:
-            yield row, place, anchor, segs.content(k)
+            yield row, at, anchor, raw[x:y]
             continue
-        if grams is None:
-            grams = gram_hashes(segs.hashes, width)
-        for w in range(int(segs.count[k])):
-            yield row, place + w, int(grams[segs.first[k] + w]), segs.content(k, w, 1)
+        for w in range(word, word + windows):
+            yield row, at + w - word, int(grams[w]), raw[begin[w] : begin[w + width] - 1]
 
 
 def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
-def _segments(rows: DataFrame, names: _Names, width: int, shards: int) -> DataFrame:
-    """(shard, sid, words, n) of the segments to index; equal ones of a batch are sent once."""
+_ROWS = "shard int, sid binary, words binary, n long, rid long, h long, a int, b int"
+_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_FOUND = "rid long, h long, a int, b int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            for part in slices(batch, names.text):
-                for _, _, anchor, words in _pieces(part, names, width):
-                    found.setdefault(_digest(words), [anchor % shards, words, 0])[2] += 1
-            columns = [[v[0] for v in found.values()], list(found), [v[1] for v in found.values()], [v[2] for v in found.values()]]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "sid", "words", "n"])
 
-    return rows.mapInArrow(run, "shard int, sid binary, words binary, n long")
+def _batch(kinds: list[pa.DataType], schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split(" ")[0] for c in schema.split(", ")])
+
 
+def _segments(rows: DataFrame, names: _Names, width: int, shards: int) -> DataFrame:
+    """Segments for the shards, each with the place where it stands.
 
-def _occurrences(rows: DataFrame, names: _Names, width: int) -> DataFrame:
-    """(sid, rid, h, place): where the segments stand; h tells texts with the same id apart."""
+    Segments that a batch holds more than once are settled: their places are ranges already, which go
+    along without a segment id, and the shard gets one copy with their number.  So a segment with very
+    many copies gives its shard a row per batch at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: dict[bytes, tuple[int, bytes, list]] = {}
             for part in slices(batch, names.text):
-                found = [(row, place, _digest(words)) for row, place, _, words in _pieces(part, names, width)]
-                row = np.array([f[0] for f in found], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f[2] for f in found], pa.binary()),
-                        pa.array(part.column(names.rid).to_numpy()[row]),
-                        pa.array(part.column(names.hash).to_numpy()[row]),
-                        pa.array([f[1] for f in found], pa.int32()),
-                    ],
-                    ["sid", "rid", "h", "place"],
-                )
-
-    return rows.mapInArrow(run, "sid binary, rid long, h long, place int")
-
-
-def _search(segments: list[tuple[bytes, bytes, int]], width: int) -> Iterator[tuple[bytes, list[dict]]]:
-    """Runs of repeated windows in each segment of a shard."""
-    lists = [words.split() for _, words, _ in segments]
-    flat = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    codes = flat.indices.to_numpy().astype(np.int64) + 1
+                rid, h = part.column(names.rid).to_pylist(), part.column(names.hash).to_pylist()
+                for row, place, anchor, words in _pieces(part, names, width):
+                    found.setdefault(_digest(words), (anchor % shards, words, []))[2].append((rid[row], h[row], place))
+            out = []
+            for sid, (shard, words, places) in found.items():
+                if len(places) == 1:
+                    out.append((shard, sid, words, 1, *places[0], None))
+                    continue
+                out.append((shard, sid, words, len(places), None, None, None, None))
+                size = words.count(b" ") + 1
+                out += [(r % shards, None, None, None, r, h_, a, a + size) for r, h_, a in places]
+            yield _batch(_KINDS, _ROWS, out)
+
+    return rows.mapInArrow(run, _ROWS)
+
+
+def _search(segments: list[list], width: int) -> pa.RecordBatch:
+    """Ranges of repeated words in the documents of a shard's segments."""
+    parts, counts = [s[1] for s in segments], np.array([s[2] for s in segments])
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    words = split(raw, np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))))
+    at = np.concatenate(([0], np.cumsum(words.end - words.start)))
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(at), pa.py_buffer(raw[~SPACE[raw]])])
+    coded = spelled.dictionary_encode()
+    size = np.diff(words.first)
     start = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.int64)  # a separator follows each segment
-    text[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes
-    index = FMIndex(text, len(flat.dictionary) + 1)
-    length = index.repeated(text, start, size, width)
-    for (sid, _, n), a, words in zip(segments, start.tolist(), size.tolist()):
-        windows = words - width + 1
-        again = np.ones(windows, bool) if n > 1 else length[a : a + windows] >= width
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(np.int8), [0]))))
-        if len(edge):
-            yield sid, [{"a": int(x), "b": int(y) + width - 1} for x, y in zip(edge[::2], edge[1::2])]
+    text[np.arange(len(words.start)) + words.text_of()] = coded.indices.to_numpy() + 1
+    # segments with copies are settled; they are in the index for the others' sake
+    single = counts == 1
+    again = np.zeros(len(text), bool)
+    if single.any():
+        index = FMIndex(text, len(coded.dictionary) + 1)
+        again = index.repeated(text, start[single], size[single], width) >= width
+    step = np.zeros(len(text) + 1, np.int8)
+    step[start[~single]] += 1
+    step[(start + size - width + 1)[~single]] -= 1
+    again |= np.cumsum(step[:-1], dtype=np.int8) > 0
+    begins, ends = runs(again)  # no window begins in a segment's last words, so runs don't span segments
+    of = np.searchsorted(start, begins, "right") - 1
+    number = np.array([len(s[3]) for s in segments])
+    first = np.cumsum(number) - number
+    places = np.array([p for s in segments for p in s[3]], np.int64).reshape(-1, 3)
+    times = number[of]
+    pick = np.repeat(first[of] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    rid, h, place = places[pick].T
+    a = place + np.repeat(begins - start[of], times)
+    b = place + np.repeat(ends - start[of] + width - 1, times)
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(h), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["rid", "h", "a", "b"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(sid, ranges) of shards that come one after another, sorted by sid."""
-    ranges = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-    def flush(held: list) -> pa.RecordBatch:
-        found = list(_search(held, width))
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], ranges)], ["sid", "ranges"])
-
+    """(rid, h, a, b) from shards that come one after another, sorted by segment id."""
     shard, held = None, []
     for batch in batches:
-        for s, sid, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+        settled = pc.is_null(batch.column("sid"))
+        yield batch.filter(settled).select(["rid", "h", "a", "b"])
+        rest = batch.filter(pc.invert(settled)).select(["shard", "sid", "words", "n", "rid", "h", "a"])
+        for s, sid, words, n, rid, h, a in zip(*(c.to_pylist() for c in rest.columns)):
             if s != shard and held:
-                yield flush(held)
+                yield _search(held, width)
                 held = []
             shard = s
-            if held and held[-1][0] == sid:
-                held[-1] = (sid, words, held[-1][2] + n)
-            else:
-                held.append((sid, words, n))
+            if not held or held[-1][0] != sid:
+                held.append([sid, words, 0, []])
+            held[-1][2] += n
+            if rid is not None:
+                held[-1][3].append((rid, h, a))
     if held:
-        yield flush(held)
+        yield _search(held, width)
 
 
 def _cut(text: str | None, ranges: list[dict]) -> tuple[list[bytes], int]:
@@ -236,10 +255,13 @@ def _cut(text: str | None, ranges: list[dict]) -> tuple[list[bytes], int]:
     words = (text or "").encode().split()
     if not ranges:
         return words, 0
-    gone = np.zeros(len(words), bool)
-    for r in ranges:
-        gone[r["a"] : r["b"]] = True
-    return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
+    kept, upto, removed = [], 0, 0
+    for a, b in sorted((r["a"], r["b"]) for r in ranges):
+        if a > upto:
+            kept += words[upto:a]
+        removed += max(0, b - max(a, upto))
+        upto = max(upto, b)
+    return kept + words[upto:], removed
 
 
 _PLACES = "array<struct<h:bigint,a:int,b:int>>"
@@ -248,8 +270,8 @@ _PLACES = "array<struct<h:bigint,a:int,b:int>>"
 def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_words: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of the ranges of repeated words of each row, and its name.
 
-    The texts are shuffled once, by row id.  All three uses of that exchange ask for the same columns,
-    so that the plan can share it.
+    The texts are shuffled once, by row id.  Both uses of that exchange ask for the same columns, so
+    that the plan can share it.
     """
     names = _Names(text_col, *(unused(docs, c) for c in ("_rid", "_hash", "_keys", "_ranges")))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -267,11 +289,10 @@ def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_
     rows = dealt.join(keys, names.rid).withColumn(names.hash, F.xxhash64(text))
     found = (
         _segments(rows, names, width, shards).repartition(shards, "shard").sortWithinPartitions("shard", "sid")
-        .mapInArrow(lambda batches: _shards(batches, width), "sid binary, ranges array<struct<a:int,b:int>>")
+        .mapInArrow(lambda batches: _shards(batches, width), _FOUND)
     )
-    places = _occurrences(rows, names, width).join(found, "sid").select(F.col("rid").alias(names.rid), "h", "place", F.explode("ranges").alias("r"))
-    one = F.struct("h", (F.col("place") + F.col("r.a")).alias("a"), (F.col("place") + F.col("r.b")).alias("b"))
-    by_doc = places.repartition(tasks, names.rid).groupBy(names.rid).agg(F.collect_set(one).alias(names.ranges))
+    places = found.withColumnRenamed("rid", names.rid).repartition(tasks, names.rid)
+    by_doc = places.groupBy(names.rid).agg(F.collect_set(F.struct("h", "a", "b")).alias(names.ranges))
     mine = F.filter(F.coalesce(names.ranges, F.array().cast(_PLACES)), lambda x: x["h"] == F.xxhash64(text))
     return dealt.join(by_doc, names.rid, "left").withColumn(names.ranges, mine), names.ranges
 
