@@ -30,6 +30,16 @@ def from_frame(pose: list[Column], p: list[Column]) -> list[Column]:
     return [pose[0] + c * p[0] - s * p[1], pose[1] + s * p[0] + c * p[1]]
 
 
+def pose_difference(a: list[Column], b: list[Column]) -> list[Column]:
+    """Pose a (x, y, angle) seen from pose b."""
+    return [*to_frame(b, a[:2]), a[2] - b[2]]
+
+
+def pose_sum(a: list[Column], d: list[Column]) -> list[Column]:
+    """Pose a moved by the difference d given in its frame."""
+    return [*from_frame(a, d[:2]), a[2] + d[2]]
+
+
 def nudge(pose: list[Column], d: list[Column]) -> list[Column]:
     """Pose plus a small change, angle wrapped."""
     return [pose[0] + d[0], pose[1] + d[1], wrap(pose[2] + d[2])]

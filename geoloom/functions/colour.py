@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Rgb = list[Column]
-
+from geoloom.functions.numeric import clamp
 
-def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+Rgb = list[Column]
 
 
 def jet(v: Column) -> Rgb:

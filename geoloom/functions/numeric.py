@@ -46,8 +46,9 @@ def cubic(f: Sequence[Column], x: Column) -> Column:
     return out
 
 
-def clamp(x: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest(x, lo), hi)
+def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
+    return F.least(F.greatest(x, low), high)
 
 
 def floor_log2(n: str) -> Column:

@@ -260,55 +260,51 @@ def line_fit(df: DataFrame, keys: Keys, x: str, y: str) -> DataFrame:
     )
 
 
-def weighted_sums(df: DataFrame, src: Keys, dst: Keys) -> DataFrame:
-    """Row count, sums and cross sums of matched points, enough for any linear alignment."""
-    aggs = [F.count("*").alias("n")]
-    aggs += [F.sum(c).alias(f"s_{c}") for c in (*src, *dst)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a in src for b in (*src, *dst)]
-    aggs += [F.sum(F.col(b) * F.col(b)).alias(f"p_{b}_{b}") for b in dst]
-    return df.agg(*aggs)
+def _centred_sums(df: DataFrame, src: Keys, dst: Keys) -> tuple[int, list[float], list[float], dict[tuple[str, str], float]]:
+    """(rows, mean of src, mean of dst, summed products about the means) of matched points.
+
+    The products are summed about the means of a first pass, and what that misses is taken off, so
+    points far from the origin lose no digits.  Only a few sums reach the driver.
+    """
+    names = [*src, *dst]
+    df = df.dropna(subset=names)
+    first = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    n = first["n"]
+    if not n:
+        raise ValueError("no matched points")
+    rel = {c: F.col(c) - F.lit(float(first[c])) for c in names}
+    pairs = [(a, b) for a in src for b in names] + [(b, b) for b in dst]
+    sums = df.agg(*[F.sum(rel[c]).alias(f"s_{c}") for c in names], *[F.sum(rel[a] * rel[b]).alias(f"p_{a}_{b}") for a, b in pairs]).first()
+    rest = {c: sums[f"s_{c}"] / n for c in names}
+    mean = {c: float(first[c]) + rest[c] for c in names}
+    return n, [mean[c] for c in src], [mean[c] for c in dst], {(a, b): sums[f"p_{a}_{b}"] - n * rest[a] * rest[b] for a, b in pairs}
 
 
 def rigid_align(df: DataFrame, src: Keys, dst: Keys, scaled: bool = True) -> dict:
-    """Best rotation, scale (1 unless ``scaled``) and translation from ``src`` to ``dst`` points (one pass).
+    """Best rotation, scale (1 unless ``scaled``) and translation from ``src`` to ``dst`` points.
 
-    Only a few sums reach the driver; the 3x3 decomposition is done there.
+    The decomposition of the small cross matrix is done on the driver; rows with a null do not count.
     """
     import numpy as np
 
-    s = weighted_sums(df, src, dst).first()
-    n = s["n"]
-    if not n:
-        raise ValueError("no matched points")
-    ma = np.array([s[f"s_{a}"] for a in src]) / n
-    mb = np.array([s[f"s_{b}"] for b in dst]) / n
-    cross = np.array([[s[f"p_{a}_{b}"] for b in dst] for a in src]) / n - np.outer(ma, mb)
-    var = sum(s[f"p_{a}_{a}"] for a in src) / n - float(ma @ ma)
+    n, ma, mb, p = _centred_sums(df, src, dst)
+    cross = np.array([[p[a, b] for b in dst] for a in src]) / n
+    var = sum(p[a, a] for a in src) / n
     u, sig, vt = np.linalg.svd(cross.T)
     fix = np.diag([1.0] * (len(src) - 1) + [float(np.sign(np.linalg.det(u @ vt)))])
     rot = u @ fix @ vt
     scale = float((sig * np.diag(fix)).sum() / var) if scaled and var > 0 else 1.0
-    return {"n": n, "rot": rot, "scale": scale, "move": mb - scale * rot @ ma}
+    return {"n": n, "rot": rot, "scale": scale, "move": np.array(mb) - scale * rot @ np.array(ma)}
 
 
 def affine_align(df: DataFrame, src: Keys, dst: Keys) -> dict:
     """Least-squares affine map from ``src`` to ``dst`` points."""
     import numpy as np
 
-    s = weighted_sums(df, src, dst).first()
-    k = len(src)
-    a = np.empty((k + 1, k + 1))
-    b = np.empty((k + 1, len(dst)))
-    for i, p in enumerate(src):
-        for j, q in enumerate(src):
-            a[i, j] = s[f"p_{p}_{q}"]
-        a[i, k] = a[k, i] = s[f"s_{p}"]
-        for j, q in enumerate(dst):
-            b[i, j] = s[f"p_{p}_{q}"]
-    a[k, k] = s["n"]
-    b[k] = [s[f"s_{q}"] for q in dst]
-    sol = np.linalg.lstsq(a, b, rcond=None)[0].T
-    return {"matrix": sol[:, :k], "move": sol[:, k]}
+    _, ma, mb, p = _centred_sums(df, src, dst)
+    own = np.array([[p[a, b] for b in src] for a in src])
+    matrix = np.linalg.lstsq(own, np.array([[p[a, b] for b in dst] for a in src]), rcond=None)[0].T
+    return {"matrix": matrix, "move": np.array(mb) - matrix @ np.array(ma)}
 
 
 def normalise_variance(df: DataFrame, axes: Keys) -> DataFrame:
@@ -363,6 +359,17 @@ def distance_stats(near: DataFrame, dist: str) -> DataFrame:
     return near.agg(F.count(d).alias("n"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"))
 
 
+def two_sided_distance(there: DataFrame, back: DataFrame, dist: str) -> DataFrame:
+    """Statistics of the distances from each of two surfaces to the other, and the larger of the two maxima.
+
+    ``there`` and ``back`` have a row per sample point of one surface, with its distance to the other.
+    """
+    names = ("n", "max", "mean", "rms")
+    one = distance_stats(there, dist)
+    other = distance_stats(back, dist).select(*[F.col(c).alias(f"back_{c}") for c in names])
+    return with_scalars(one, other).withColumn("hausdorff", F.greatest("max", "back_max"))
+
+
 def rank_with_ties(df: DataFrame, keys: Keys, order: Column | str, k: int) -> DataFrame:
     """Rows of rank <= k per key; every tie at rank k stays."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -84,36 +84,62 @@ def in_all_frames(df: DataFrame, axes: Sequence[str], cams: list[dict]) -> DataF
     return df.where(G.all_of(tests))
 
 
-def inside_mesh(points: DataFrame, pid: str, axes: Sequence[str], tri: DataFrame) -> DataFrame:
+def _left_of(y: Column, z: Column, p: tuple[Column, Column], q: tuple[Column, Column]) -> Column:
+    """Does the edge p-q pass z, from one side to the other, at a larger y?
+
+    One end of the span belongs to it, and the crossing is always computed from the lower end, so
+    faces that share the edge get the same answer, rounding included.
+    """
+    low = F.least(F.struct(p[1].alias("z"), p[0].alias("y")), F.struct(q[1].alias("z"), q[0].alias("y")))
+    high = F.greatest(F.struct(p[1].alias("z"), p[0].alias("y")), F.struct(q[1].alias("z"), q[0].alias("y")))
+    spans = (low["z"] <= z) & (z < high["z"])
+    at = low["y"] + (z - low["z"]) / F.when(high["z"] > low["z"], high["z"] - low["z"]) * (high["y"] - low["y"])
+    return F.coalesce(spans & (y < at), F.lit(False))
+
+
+def on_triangle(p: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> Column:
+    """Point exactly on a triangle, borders included; never on one without area."""
+    u, v, w = G.sub(b, a), G.sub(c, a), G.sub(p, a)
+    n = G.cross(u, v)
+    size = F.when(G.dot(n, n) > 0, G.dot(n, n))
+    s, t = G.dot(G.cross(w, v), n) / size, G.dot(G.cross(u, w), n) / size
+    return F.coalesce((G.dot(w, n) == 0) & (s >= 0) & (t >= 0) & (s + t <= 1), F.lit(False))
+
+
+def inside_mesh(points: DataFrame, pid: str, axes: Sequence[str], tri: DataFrame, mesh: str | None = None) -> DataFrame:
     """Points inside closed surfaces: an odd number of faces lies in direction +x.
 
-    Only faces whose (y, z) bounds hold the point are met, through the grid join.
+    Only faces whose (y, z) bounds hold the point are met, through the grid join.  A ray through an
+    edge or a corner meets the faces there by a half-open rule, so each crossing counts once.  Points
+    on a face are inside.  With ``mesh`` the faces of different meshes are counted apart, and a point
+    in any of them is inside.
     """
     px, py, pz = axes
     lo = lambda c: F.least(F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"c{c}"))
     hi = lambda c: F.greatest(F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"c{c}"))
     shape = tri.select(
+        (F.col(mesh) if mesh else F.lit(0)).alias("_mesh"),
         *[f"{t}{c}" for t in "abc" for c in "xyz"],
         lo("y").alias("_ly"), hi("y").alias("_hy"), lo("z").alias("_lz"), hi("z").alias("_hz"),
     )
     size = shape.agg(F.avg(F.col("_hy") - F.col("_ly")), F.avg(F.col("_hz") - F.col("_lz"))).first()
     probe = points.select(F.col(pid).alias("_pid"), F.col(px).alias("_px"), F.col(py).alias("_py"), F.col(pz).alias("_pz"))
-    y1, z1 = F.col("by") - F.col("ay"), F.col("bz") - F.col("az")
-    y2, z2 = F.col("cy") - F.col("ay"), F.col("cz") - F.col("az")
-    dy, dz = F.col("_py") - F.col("ay"), F.col("_pz") - F.col("az")
-    det = y1 * z2 - y2 * z1
-    safe = F.when(det != 0, det)
-    u, v = (dy * z2 - y2 * dz) / safe, (y1 * dz - dy * z1) / safe
-    x_hit = F.col("ax") + u * (F.col("bx") - F.col("ax")) + v * (F.col("cx") - F.col("ax"))
-    crosses = (u >= 0) & (v >= 0) & (u + v <= 1) & (x_hit > F.col("_px"))
+    a, b, c = (G.cols(f"{t}x", f"{t}y", f"{t}z") for t in "abc")
+    p = G.cols("_px", "_py", "_pz")
+    edges = [_left_of(p[1], p[2], (q[1], q[2]), (r[1], r[2])).cast("int") for q, r in ((a, b), (b, c), (c, a))]
+    n = G.cross(G.sub(b, a), G.sub(c, a))
+    # x where the ray meets the face's plane; a face seen edge-on is not crossed
+    x_hit = a[0] - (n[1] * (p[1] - a[1]) + n[2] * (p[2] - a[2])) / F.when(n[0] != 0, n[0])
+    crosses = ((edges[0] + edges[1] + edges[2]) % 2 == 1) & (x_hit > p[0])
     hits = box_join(
         probe,
         shape,
         [Axis("_py", "_py", "_ly", "_hy", size[0] or 1.0), Axis("_pz", "_pz", "_lz", "_hz", size[1] or 1.0)],
-        crosses,
     )
-    odd = hits.groupBy("_pid").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1)
-    return points.join(odd.select(F.col("_pid").alias(pid)), pid, "left_semi")
+    seen = hits.select("_pid", "_mesh", F.coalesce(crosses, F.lit(False)).alias("_hit"), on_triangle(p, a, b, c).alias("_on"))
+    each = seen.groupBy("_pid", "_mesh").agg(F.count_if("_hit").alias("_n"), F.max("_on").alias("_on"))
+    inside = each.where((F.col("_n") % 2 == 1) | F.col("_on")).select(F.col("_pid").alias(pid)).distinct()
+    return points.join(inside, pid, "left_semi")
 
 
 def covered_share(df: DataFrame, covered: Column, weight: Column, limit: float) -> DataFrame:

@@ -1,14 +1,17 @@
 """Box join on a grid with levels.
 
-Each box lives on the grid level whose cell is just larger than the box, so it
-covers at most two cells per axis whatever its size: no cap on cells per row and
-no broadcast path for large boxes.  A pair meets on the coarser of its two levels,
-in the one cell that holds the low corner of the intersection, so no distinct is
-needed.  Cells that hold a large share of the rows are salted on both sides.
+Each box has a level on every axis: the grid whose cell is just larger than the box there.  So it
+covers at most two cells per axis, whatever its size, and a box that is long on one axis only is
+listed in small cells on the others.  A pair meets, on each axis, on the coarser of its two levels,
+in the one cell that holds the low corner of the intersection, so no distinct is needed.
+
+Work is measured in pairs: the number of tasks comes from the candidate pairs of all cells, and a
+cell with more pairs than one task should see is cut into pieces on both sides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,11 +19,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import spread
+from geoloom.session import spread, stored
 
-MIN_LEVEL, MAX_LEVEL = -12, 40
-HOT_SHARE = 1024  # a cell is hot above 1/HOT_SHARE of a side: at most 1024 hot cells
-SALT_MIN_ROWS = 5_000_000
+#: Level of boxes without extent; smaller boxes are listed there as well.
+MIN_LEVEL = -12
+#: From this level on one cell holds everything, infinite boxes too.
+TOP_LEVEL = 1000
+#: Different level vectors per side; beyond it levels are merged, which widens cells.
+LEVEL_VECTORS = 48
+#: Candidate pairs, and rows, that one task is meant to see.
+TASK_PAIRS = 4_000_000
+TASK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -34,89 +43,91 @@ class Axis:
     cell: float  # cell width at level 0, about the typical extent
 
 
-def _level(lo_hi: Sequence[tuple[str, str, float]]) -> Column:
-    ratios = [(F.col(hi) - F.col(lo)) / F.lit(cell) for lo, hi, cell in lo_hi]
-    widest = F.greatest(*ratios) if len(ratios) > 1 else ratios[0]
-    raw = F.when(widest > 0, F.ceil(F.log2(widest))).otherwise(MIN_LEVEL)
-    return F.least(F.greatest(raw.cast("int"), F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL))
+def _level(lo: str, hi: str, cell: float) -> Column:
+    ratio = (F.col(hi) - F.col(lo)) / F.lit(cell)
+    raw = F.when(ratio > 0, F.ceil(F.least(F.log2(ratio), F.lit(float(TOP_LEVEL))))).otherwise(MIN_LEVEL)
+    return F.greatest(raw.cast("int"), F.lit(MIN_LEVEL))
 
 
 def _cell_of(v: Column, cell: float, level: Column) -> Column:
-    return F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), level))).cast("bigint")
-
-
-def _spread(df: DataFrame, bounds, tag: str, own: list[int], other: list[int]) -> DataFrame:
-    """One row per (level, cell) where this row can meet a partner."""
-    lvl = F.col(f"_lv_{tag}")
-    levels = F.array(*[F.lit(v).cast("int") for v in sorted(set(own) | set(other))])
-    lowest_other = min(other)
-    wanted = F.filter(
-        levels,
-        lambda m: ((m == lvl) & (m >= F.lit(lowest_other)))
-        | ((m > lvl) & m.isin(*other)),
-    )
-    out = df.withColumn("_m", F.explode(wanted))
+    return F.when(level >= TOP_LEVEL, F.lit(0).cast("bigint")).otherwise(F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), level))).cast("bigint"))
+
+
+def _merged(level: int, step: int) -> int:
+    return -(-level // step) * step
+
+
+def _step(*sides: list[tuple[int, ...]]) -> int:
+    """Smallest step of levels that leaves few level vectors on both sides."""
+    step = 1
+    while max(len({tuple(_merged(v, step) for v in vector) for vector in side}) for side in sides) > LEVEL_VECTORS:
+        step += 1
+    return step
+
+
+def _spread(df: DataFrame, bounds, tag: str, step: int, other: list[tuple[int, ...]]) -> DataFrame:
+    """One row per (levels, cells) where this row can meet a partner."""
+    names = [f"_v{tag}{i}" for i in range(len(bounds))]
+    for name, (lo, hi, cell) in zip(names, bounds):
+        level = _level(lo, hi, cell)
+        df = df.withColumn(name, level if step == 1 else (F.ceil(level / F.lit(step)) * step).cast("int"))
+    meet = [F.struct(*[F.greatest(F.col(n), F.lit(v)).alias(f"_m{i}") for i, (n, v) in enumerate(zip(names, vector))]) for vector in other]
+    out = df.withColumn("_meet", F.explode(F.array_distinct(F.array(*meet))))
+    out = out.withColumns({f"_m{i}": F.col(f"_meet._m{i}") for i in range(len(bounds))}).drop("_meet")
     for i, (lo, hi, cell) in enumerate(bounds):
-        first = f"_f{tag}{i}"
-        out = out.withColumn(first, _cell_of(F.col(lo), cell, F.col("_m")))
-        last = _cell_of(F.col(hi), cell, F.col("_m"))
-        out = out.withColumn(f"_c{i}", F.explode(F.sequence(F.col(first), last)))
+        first = _cell_of(F.col(lo), cell, F.col(f"_m{i}"))
+        last = _cell_of(F.col(hi), cell, F.col(f"_m{i}"))
+        out = out.withColumn(f"_f{tag}{i}", first).withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_f{tag}{i}"), last)))
     return out
 
 
-def _hot_cells(df: DataFrame, keys: list[str], rows: int, salt_min_rows: int, name: str):
-    """Cells above 1/HOT_SHARE of the side, with a salt count; None when not worth it.
+def pieces(ls: DataFrame, rs: DataFrame, keys: list[str], task_pairs: int = TASK_PAIRS):
+    """(left, right, keys, tasks) with keys that have about ``task_pairs`` candidate pairs at most.
 
-    Salting never changes the result, so a sample decides.
+    Both sides are counted per key first; tasks is 0 if no key is on both sides.  A key with more pairs is cut into pieces: rows of each side
+    are dealt by hash, and every piece of one side meets every piece of the other.  Which piece a row
+    is in follows from its values, so a task that is run again does the same.
     """
-    if rows < salt_min_rows:
-        return None
-    share = min(1.0, 1_000_000 / max(rows, 1))
-    sample = df.sample(share, seed=7) if share < 1.0 else df
-    total = sample.count()
-    counts = sample.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") * HOT_SHARE > F.lit(total))
-    return hot.select(*keys, F.ceil(F.col("_n") * HOT_SHARE / F.lit(total)).cast("int").alias(name))
-
-
-def salted_join(
-    ls: DataFrame,
-    rs: DataFrame,
-    keys: list[str],
-    rows: tuple[int, int],
-    salt_min_rows: int = SALT_MIN_ROWS,
-) -> DataFrame:
-    """Equi-join on ``keys`` in which hot keys are cut into many (salt, salt) pieces."""
-    lcols, rcols = ls.columns, rs.columns
-    lhot = _hot_cells(ls, keys, rows[0], salt_min_rows, "_ns_l")
-    rhot = _hot_cells(rs, keys, rows[1], salt_min_rows, "_ns_r")
+    counts = ls.groupBy(*keys).agg(F.count("*").alias("_nl")).join(rs.groupBy(*keys).agg(F.count("*").alias("_nr")), keys)
+    pairs = F.col("_nl").cast("double") * F.col("_nr")
+    work = counts.agg(F.sum(pairs), F.sum(F.col("_nl") + F.col("_nr")), F.count_if(pairs > task_pairs)).first()
+    if work[0] is None:
+        return ls, rs, keys, 0
     on = list(keys)
-    for tag, hot in (("l", lhot), ("r", rhot)):
-        if hot is None:
-            continue
-        hot = F.broadcast(hot)  # at most HOT_SHARE rows
-        salts = F.coalesce(F.col(f"_ns_{tag}"), F.lit(1))
-        pick = F.pmod(F.xxhash64(*(lcols if tag == "l" else rcols)), salts).cast("int")
-        every = F.explode(F.sequence(F.lit(0), salts - 1))
-        mine, theirs = (ls, rs) if tag == "l" else (rs, ls)
-        mine = mine.join(hot, keys, "left").withColumn(f"_salt_{tag}", pick).drop(f"_ns_{tag}")
-        theirs = theirs.join(hot, keys, "left").withColumn(f"_salt_{tag}", every).drop(f"_ns_{tag}")
-        ls, rs = (mine, theirs) if tag == "l" else (theirs, mine)
-        on.append(f"_salt_{tag}")
-    if max(rows) < SALT_MIN_ROWS:
-        # few bytes but much pair work: AQE would merge such partitions into one or two tasks
-        n = 2 * ls.sparkSession.sparkContext.defaultParallelism
-        ls, rs = ls.repartition(n, *on), rs.repartition(n, *on)
-    return ls.join(rs, on)
-
-
-def _side(df: DataFrame, bounds, tag: str):
-    """Rows with a level, their count, the levels in use (at most 53) and the overall bounds."""
+    if work[2]:
+        side = math.isqrt(task_pairs)
+        cut = counts.where(pairs > task_pairs).select(
+            *keys, F.ceil(F.col("_nl") / side).cast("int").alias("_pl"), F.ceil(F.col("_nr") / side).cast("int").alias("_pr")
+        )
+        cut = stored(cut, "cells")  # of known size when the joins are planned
+        number = {"l": F.coalesce("_pl", F.lit(1)), "r": F.coalesce("_pr", F.lit(1))}
+        sides = {"l": ls, "r": rs}
+        for tag, other in (("l", "r"), ("r", "l")):
+            df = sides[tag]
+            own = F.pmod(F.xxhash64(*df.columns), number[tag]).cast("int")
+            df = df.join(cut, keys, "left").withColumn(f"_s{tag}", own)
+            sides[tag] = df.withColumn(f"_s{other}", F.explode(F.sequence(F.lit(0), number[other] - 1))).drop("_pl", "_pr")
+        ls, rs = sides["l"], sides["r"]
+        on += ["_sl", "_sr"]
+    cores = ls.sparkSession.sparkContext.defaultParallelism
+    return ls, rs, on, int(max(2 * cores, work[0] // task_pairs + 1, work[1] // TASK_ROWS + 1))
+
+
+def paired_join(ls: DataFrame, rs: DataFrame, keys: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Equi-join on ``keys`` in tasks of about ``task_pairs`` candidate pairs; see ``pieces``."""
+    ls, rs, on, tasks = pieces(ls, rs, keys, task_pairs)
+    if not tasks:
+        return ls.join(rs, on).where(F.lit(False))
+    # dealt by pairs, as few bytes can be much work; no key is left that needs to be split
+    return ls.repartition(tasks, *on).join(rs.repartition(tasks, *on), on)
+
+
+def _side(df: DataFrame, bounds):
+    """Rows with all bounds, their count, level vectors in use and overall bounds, in one pass."""
     df = df.dropna(subset=sorted({c for lo, hi, _ in bounds for c in (lo, hi)}))
-    df = df.withColumn(f"_lv_{tag}", _level(bounds))
     ends = [f for lo, hi, _ in bounds for f in (F.min(lo), F.max(hi))]
-    got = df.agg(F.count("*"), F.collect_set(f"_lv_{tag}"), *ends).first()
-    return df, got[0], sorted(got[1]), got[2:]
+    got = df.agg(F.count("*"), F.collect_set(F.struct(*[_level(*b).alias(f"v{i}") for i, b in enumerate(bounds)])), *ends).first()
+    return df, got[0], [tuple(v) for v in got[1]], got[2:]
 
 
 def _within(df: DataFrame, bounds, ends) -> DataFrame:
@@ -126,42 +137,50 @@ def _within(df: DataFrame, bounds, ends) -> DataFrame:
     return df
 
 
+def listed(left: DataFrame, right: DataFrame, axes: Sequence[Axis], equal: Sequence[tuple[str, str]] = ()):
+    """(left, right, keys): both sides listed in the cells where they can meet; None if a side is empty."""
+    lb = [(a.llo, a.lhi, a.cell) for a in axes]
+    rb = [(a.rlo, a.rhi, a.cell) for a in axes]
+    right, rn, rlevels, rends = _side(right, rb)
+    if rn:
+        left = _within(left, lb, rends)
+    left, ln, llevels, lends = _side(left, lb)
+    if not ln or not rn:
+        return None
+    right = _within(right, rb, lends)
+    step = _step(llevels, rlevels)
+    merged = lambda vectors: sorted({tuple(_merged(v, step) for v in vector) for vector in vectors})
+    ls = _spread(spread(left), lb, "l", step, merged(rlevels))
+    rs = _spread(spread(right), rb, "r", step, merged(llevels))
+    for i, (lc, rc) in enumerate(equal):
+        ls, rs = ls.withColumn(f"_e{i}", F.col(lc)), rs.withColumn(f"_e{i}", F.col(rc))
+    every = range(len(axes))
+    return ls, rs, [*[f"_m{i}" for i in every], *[f"_c{i}" for i in every], *[f"_e{i}" for i in range(len(equal))]]
+
+
 def box_join(
     left: DataFrame,
     right: DataFrame,
     axes: Sequence[Axis],
     predicate: Column | None = None,
     equal: Sequence[tuple[str, str]] = (),
-    salt_min_rows: int = SALT_MIN_ROWS,
+    task_pairs: int = TASK_PAIRS,
 ) -> DataFrame:
     """Inner join of all pairs whose closed boxes meet and that pass ``predicate``.
 
     ``equal`` names (left, right) columns that must agree; they join the cell as keys.
     Column names of both sides must differ.  Rows with a null bound never match.
     """
-    lb = [(a.llo, a.lhi, a.cell) for a in axes]
-    rb = [(a.rlo, a.rhi, a.cell) for a in axes]
     lcols, rcols = left.columns, right.columns
-    right, rn, rlv, rends = _side(right, rb, "r")
-    if rn:
-        left = _within(left, lb, rends)
-    left, ln, llv, lends = _side(left, lb, "l")
-    if not ln or not rn:
-        return left.select(*lcols).join(right.select(*rcols), F.lit(False))
-    right = _within(right, rb, lends)
-    keys = ["_m", *[f"_c{i}" for i in range(len(axes))]]
-    ls = _spread(spread(left), lb, "l", llv, rlv)
-    rs = _spread(spread(right), rb, "r", rlv, llv)
-    for i, (lc, rc) in enumerate(equal):
-        ls, rs = ls.withColumn(f"_e{i}", F.col(lc)), rs.withColumn(f"_e{i}", F.col(rc))
-    keys += [f"_e{i}" for i in range(len(equal))]
-    pairs = salted_join(ls, rs, keys, (ln, rn), salt_min_rows)
-    keep = [F.col("_m") == F.greatest("_lv_l", "_lv_r")]
-    for i, a in enumerate(axes):
-        # the cell of the low corner of the intersection is the larger of the two first cells
-        keep.append(F.greatest(f"_fl{i}", f"_fr{i}") == F.col(f"_c{i}"))
-    for a in axes:
-        keep.append((F.col(a.llo) <= F.col(a.rhi)) & (F.col(a.rlo) <= F.col(a.lhi)))
+    both = listed(left, right, axes, equal)
+    if both is None:
+        return left.join(right, F.lit(False))
+    pairs = paired_join(*both, task_pairs)
+    every = range(len(axes))
+    keep = [F.col(f"_m{i}") == F.greatest(f"_vl{i}", f"_vr{i}") for i in every]
+    # the cell of the low corner of the intersection is the larger of the two first cells
+    keep += [F.greatest(f"_fl{i}", f"_fr{i}") == F.col(f"_c{i}") for i in every]
+    keep += [(F.col(a.llo) <= F.col(a.rhi)) & (F.col(a.rlo) <= F.col(a.lhi)) for a in axes]
     if predicate is not None:
         keep.append(predicate)
     return pairs.where(reduce(Column.__and__, keep)).select(*lcols, *rcols)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.gridjoin import salted_join
+from geoloom.operators.gridjoin import Axis, box_join, paired_join, typical_extents
 from geoloom.session import checkpoint, spread
 
 GROW = 4.0
@@ -89,7 +89,7 @@ def knn_points(
             near = near.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", c + F.col(f"_s{i}"))
         near = near.drop(*[f"_s{i}" for i in range(dim)])
         cells = d.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(_cells([F.col(c) for c in daxis], size))])
-        cand = salted_join(near, cells, keys, (rest_rows * 3**dim, b["n"]))
+        cand = paired_join(near, cells, keys)
         if accept is not None:
             cand = cand.where(accept)
         cand = cand.select("_qid", "_nid", d2.alias("_d2"))
@@ -346,3 +346,28 @@ def nearest_boxes(
     if not kth:
         return with_d.limit(0)
     return with_d.where(F.col("d2") <= F.lit(kth[-1]))
+
+
+def nearest_boxes_join(
+    queries: DataFrame, boxes: DataFrame, qid: str, qaxes: Sequence[str], bid: str, lows: Sequence[str], highs: Sequence[str], k: int
+) -> DataFrame:
+    """k nearest boxes of every query point with every tie at the k-th distance: (qid, bid, d2, rank).
+
+    A box is no further than its centre, so the k-th nearest centre bounds the k-th nearest box; boxes
+    within that bound are found by the grid join.  Ids must be unique on their side.
+    """
+    mid = [f"_m{i}" for i in range(len(lows))]
+    centres = boxes.select(bid, *[((F.col(lo) + F.col(hi)) / 2).alias(m) for m, lo, hi in zip(mid, lows, highs)])
+    kth = knn_points(queries, centres, qid, qaxes, bid, mid, k).groupBy(qid).agg(F.max("d2").alias("_far"), F.count("*").alias("_n"))
+    probe = queries.join(kth, qid).withColumn("_far", F.sqrt("_far") * (1 + 1e-9) + 1e-12)
+    axes = []
+    for i, (c, lo, hi) in enumerate(zip(qaxes, lows, highs)):
+        probe = probe.withColumn(f"_ql{i}", F.col(c) - F.col("_far")).withColumn(f"_qh{i}", F.col(c) + F.col("_far"))
+    side = boxes.select(F.col(bid).alias("_bid"), *[F.col(c).alias(f"_b{n}{i}") for n, cs in (("l", lows), ("h", highs)) for i, c in enumerate(cs)])
+    cells = typical_extents(probe, *[(f"_ql{i}", f"_qh{i}") for i in range(len(lows))])
+    axes = [Axis(f"_ql{i}", f"_qh{i}", f"_bl{i}", f"_bh{i}", cell) for i, cell in enumerate(cells)]
+    probe = probe.select(qid, *qaxes, *[f"_q{n}{i}" for n in "lh" for i in range(len(lows))])
+    gap = [F.greatest(F.col(f"_bl{i}") - F.col(c), F.col(c) - F.col(f"_bh{i}"), F.lit(0.0)) for i, c in enumerate(qaxes)]
+    near = box_join(probe, side, axes).select(qid, F.col("_bid").alias(bid), sum((g * g for g in gap), start=F.lit(0.0)).alias("d2"))
+    ranked = near.withColumn("rank", F.rank().over(Window.partitionBy(qid).orderBy("d2")))
+    return ranked.where(F.col("rank") <= k)

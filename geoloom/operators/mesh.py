@@ -115,41 +115,43 @@ def vertex_normals(tri: DataFrame) -> DataFrame:
 
 
 def point_areas(tri: DataFrame) -> DataFrame:
-    """Surface share per vertex: circumcentric cells, cut at the long side of obtuse faces.
+    """Surface share per vertex: a corner owns the part of its faces that is nearer to it than to the others.
 
-    In an obtuse triangle the sharp corners own the part nearer to them along their short
-    side; the obtuse corner owns the rest.
+    In a face without an obtuse angle this part is bounded by half of the two sides at the corner and
+    the bisectors on them, which gives side^2 cot(opposite angle) / 8 for each side.  Where another
+    corner is obtuse, the bisector of the side to it cuts off a right triangle, side^2 tan(own angle)
+    / 8; the obtuse corner owns what is left.  Faces without area give nothing.
     """
     p = corner_vectors()
-    # side i is opposite corner i
-    e = [G.sub(p[(i + 2) % 3], p[(i + 1) % 3]) for i in range(3)]
+    arm = {(i, j): G.sub(p[j], p[i]) for i in range(3) for j in range(3) if i != j}
+    sides = ((0, 1), (0, 2), (1, 2))
     known = tri.select(
         *CORNERS,
-        (G.magnitude(G.cross(e[0], e[1])) / 2).alias("ar"),
-        *[G.dot(v, v).alias(f"l{i}") for i, v in enumerate(e)],
-        *[G.dot(e[i], e[j]).alias(f"d{i}{j}") for i, j in ((0, 1), (0, 2), (1, 2))],
-    )
-    l2 = G.cols("l0", "l1", "l2")
-    bary = [l2[i] * (l2[(i + 1) % 3] + l2[(i + 2) % 3] - l2[i]) for i in range(3)]
-    # blunt: number of the obtuse corner, 3 if there is none
-    blunt = F.when(bary[0] <= 0, 0).when(bary[1] <= 0, 1).when(bary[2] <= 0, 2).otherwise(3)
-    total = bary[0] + bary[1] + bary[2]
-    known = known.select("*", blunt.alias("blunt"), *[(v / total).alias(f"b{i}") for i, v in enumerate(bary)])
-
-    def sharp(own: int, at: int) -> Column:
-        """Share of a sharp corner when corner ``at`` is obtuse."""
-        third = 3 - own - at
-        lo, hi = sorted((at, third))
-        return l2[third] * F.col("ar") / (F.col(f"d{lo}{hi}") * -4.0)
+        (G.magnitude(G.cross(arm[0, 1], arm[0, 2])) / 2).alias("area"),
+        *[G.dot(arm[i, (i + 1) % 3], arm[i, (i + 2) % 3]).alias(f"dot{i}") for i in range(3)],
+        *[G.dot(arm[s], arm[s]).alias(f"sq{s[0]}{s[1]}") for s in sides],
+    ).where("area > 0")
+    area = F.col("area")
+    dot = G.cols("dot0", "dot1", "dot2")
+
+    def square(i: int, j: int) -> Column:
+        return F.col(f"sq{min(i, j)}{max(i, j)}")
+
+    def cot(i: int) -> Column:
+        return dot[i] / (2 * area)
+
+    def cut_off(i: int, obtuse: int) -> Column:
+        return square(i, obtuse) * (2 * area / dot[i]) / 8
 
     shares = []
     for i in range(3):
-        j, k = (i + 1) % 3, (i + 2) % 3
-        case = F.when(F.col("blunt") == 3, F.col("ar") * (F.col(f"b{j}") + F.col(f"b{k}")) / 2.0)
-        case = case.when(F.col("blunt") == i, F.col("ar") - sharp(j, i) - sharp(k, i))
-        shares.append(case.when(F.col("blunt") == j, sharp(i, j)).otherwise(sharp(i, k)))
-    rows = F.array(*[F.struct(F.col(v).alias("vid"), s.alias("area")) for v, s in zip(CORNERS, shares)])
-    return known.select(F.inline(rows)).groupBy("vid").agg(F.sum("area").alias("area"))
+        j, k = (n for n in range(3) if n != i)
+        whole = (square(i, j) * cot(k) + square(i, k) * cot(j)) / 8
+        shares.append(
+            F.when(dot[i] <= 0, area - cut_off(j, i) - cut_off(k, i)).when(dot[j] <= 0, cut_off(i, j)).when(dot[k] <= 0, cut_off(i, k)).otherwise(whole)
+        )
+    rows = F.array(*[F.struct(F.col(v).alias("vid"), s.alias("share")) for v, s in zip(CORNERS, shares)])
+    return known.select(F.inline(rows)).groupBy("vid").agg(F.sum("share").alias("area"))
 
 
 def mesh_report(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
@@ -317,12 +319,13 @@ def drop_slivers(faces: DataFrame, verts: DataFrame, factor: float = 4.0, cos2:
     """
     tri = with_scalars(face_points(faces, verts), feature_size(faces, verts))
     a, b, c = corner_vectors()
-    s = [G.dot(g, g) for g in (G.sub(b, a), G.sub(c, b), G.sub(a, c))]
-    low = F.least(*s)
-    rest = s[0] + s[1] + s[2] - 2.0 * low
-    sharp = rest * rest * low / (4.0 * s[0] * s[1] * s[2])
-    big = F.greatest(*s) >= F.col("size") * F.col("size") * (factor * factor)
-    return tri.where(~(big & (sharp >= cos2))).select(*faces.columns)
+    sides = F.array_sort(F.array(*[G.dot(g, g) for g in (G.sub(b, a), G.sub(c, b), G.sub(a, c))]))
+    low, mid, high = (sides[i] for i in range(3))
+    # law of cosines at the corner opposite the shortest side
+    twice = mid + high - low
+    sharp = twice * twice / F.when(mid > 0, 4.0 * mid * high)
+    big = high >= F.col("size") * F.col("size") * (factor * factor)
+    return tri.where(~(big & F.coalesce(sharp >= cos2, F.lit(True)))).select(*faces.columns)
 
 
 def vertex_components(faces: DataFrame) -> DataFrame:
@@ -426,8 +429,8 @@ def orient(faces: DataFrame) -> DataFrame:
     )
 
 
-def triangulate_grid(grid: DataFrame, col: str, row: str, vid: str, pos: Sequence[str]) -> DataFrame:
-    """Triangles from valid grid cells.
+def triangulate_grid(grid: DataFrame, col: str, row: str, vid: str, pos: Sequence[str], slivers: bool = True) -> DataFrame:
+    """Triangles from valid grid cells; without ``slivers`` large sharp faces are dropped at the end.
 
     Every cell reports to the four squares it is a corner of; one aggregate per square
     then sees up to four corners.  Four corners split along the shorter diagonal, three
@@ -457,4 +460,8 @@ def triangulate_grid(grid: DataFrame, col: str, row: str, vid: str, pos: Sequenc
     faces = F.when(missing == 0, full)
     for n in order:
         faces = faces.when((missing == 1) & p[n].isNull(), F.array(tri(*[m for m in order if m != n])))
-    return quad.select("qc", "qr", F.inline(faces))
+    out = quad.select("qc", "qr", F.inline(faces))
+    if slivers:
+        return out
+    verts = grid.where(F.col(vid).isNotNull()).select(F.col(vid).alias("vid"), *[F.col(p).alias(t) for p, t in zip(pos, "xyz")])
+    return drop_slivers(checkpoint(out), verts)

@@ -33,6 +33,16 @@ def downsample(voxels: DataFrame, values: Sequence[str], weight: str) -> DataFra
     return fuse(voxels.select(*keys, *values, weight), ["ix", "iy", "iz"], values, weight)
 
 
+def subvolume_size(voxel: float, max_voxels: int, border_voxels: int = 10) -> tuple[float, float]:
+    """(size, border) of the largest cubes that hold at most ``max_voxels`` voxels, border included."""
+    edge = round(max_voxels ** (1 / 3))
+    edge -= edge**3 > max_voxels
+    inner = edge - 2 * border_voxels
+    if inner < 1:
+        raise ValueError(f"{max_voxels} voxels leave no room inside a border of {border_voxels}")
+    return inner * voxel, border_voxels * voxel
+
+
 def assign_subvolumes(
     boxes: DataFrame, lows: Sequence[str], highs: Sequence[str], size: float, border: float
 ) -> DataFrame:

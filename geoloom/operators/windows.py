@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions.angles import pose_difference
 from geoloom.operators.ordering import neighbour_rows, row_numbers, running_sums, zorder_key
 from geoloom.session import range_partitions
 
@@ -31,23 +32,10 @@ def cumulative_offset(df: DataFrame, key: str, name: str = "first_id") -> DataFr
     return running_sums(df.groupBy(key).agg(F.count("*").alias("n")), [], [key], {name: "n"})
 
 
-def pose_ominus(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
-    """Pose a seen from pose b (x, y, angle)."""
-    c, s = F.cos(b[2]), F.sin(b[2])
-    dx, dy = a[0] - b[0], a[1] - b[1]
-    return [c * dx + s * dy, c * dy - s * dx, a[2] - b[2]]
-
-
-def pose_oplus(a: Sequence[Column], d: Sequence[Column]) -> list[Column]:
-    """Pose a moved by the difference d given in its frame."""
-    c, s = F.cos(a[2]), F.sin(a[2])
-    return [a[0] + c * d[0] - s * d[1], a[1] + s * d[0] + c * d[1], a[2] + d[2]]
-
-
 def pose_deltas(df: DataFrame, key: str, order: Sequence[str], pose: Sequence[str]) -> DataFrame:
     """Odometry between consecutive poses of a key; the first pose has none."""
     prev = neighbour_rows(df, [key], order, {f"_p{i}": c for i, c in enumerate(pose)}, step=-1)
-    delta = pose_ominus([F.col(c) for c in pose], [F.col(f"_p{i}") for i in range(3)])
+    delta = pose_difference([F.col(c) for c in pose], [F.col(f"_p{i}") for i in range(3)])
     named = [d.alias(n) for d, n in zip(delta, ("dx", "dy", "dt"))]
     return prev.where(F.col("_p0").isNotNull()).select("*", *named)
 

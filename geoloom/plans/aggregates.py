@@ -240,45 +240,46 @@ RIGID = {
     "agg_rigid_align",
     "SELECT COUNT(*) AS n, "
     + ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in RIGID.items())
-    + " FROM embeddings",
+    + " FROM lineitem",
 )
 def agg_rigid_align(spark, sf):
-    e = [F.col("embedding")[i].cast("double") for i in range(3)]
-    pts = table(spark, sf, "embeddings").select(
+    """Points at map coordinates, far from the origin."""
+    e = [F.col("l_quantity") + 6e6, F.col("l_extendedprice") / 1000 + 6e6, F.col("l_discount") * 100]
+    pts = table(spark, sf, "lineitem").select(
         *[v.alias(f"a{i}") for i, v in enumerate(e)],
         ((e[0] * 0.6 - e[1] * 0.8) * 2 + 3).alias("b0"),
         ((e[0] * 0.8 + e[1] * 0.6) * 2 - 1).alias("b1"),
         (e[2] * 2 + 0.5).alias("b2"),
     )
     fit = agg.rigid_align(pts, ["a0", "a1", "a2"], ["b0", "b1", "b2"])
-    vals = {f"r{i}{j}": float(fit["rot"][i, j]) for i in range(3) for j in range(3)}
-    vals |= {f"t{i}": float(fit["move"][i]) for i in range(3)}
+    vals = {f"r{i}{j}": (float(fit["rot"][i, j]), 6) for i in range(3) for j in range(3)}
+    vals |= {f"t{i}": (float(fit["move"][i]), 3) for i in range(3)}
     return spark.range(1).select(
         F.lit(fit["n"]).cast("bigint").alias("n"),
         rnd(F.lit(fit["scale"])).alias("scale"),
-        *[rnd(F.lit(v)).alias(k) for k, v in vals.items()],
+        *[rnd(F.lit(v), digits).alias(k) for k, (v, digits) in vals.items()],
     )
 
 
 @query(
     "agg_affine_align",
-    "WITH p AS (SELECT CAST(embedding[4] AS DOUBLE) AS a0, CAST(embedding[5] AS DOUBLE) AS a1, CAST(embedding[6] AS DOUBLE) AS b0, "
-    "CAST(embedding[7] AS DOUBLE) AS b1 FROM embeddings), "
+    "WITH p AS (SELECT l_quantity AS a0, l_extendedprice / 1000 AS a1, l_discount * 100 AS b0, l_tax * 100 + l_quantity / 8 AS b1 FROM lineitem), "
     "c AS (SELECT var_pop(a0) AS s00, var_pop(a1) AS s11, covar_pop(a0, a1) AS s01, covar_pop(a0, b0) AS u0, covar_pop(a1, b0) AS u1, "
-    "covar_pop(a0, b1) AS v0, covar_pop(a1, b1) AS v1, AVG(a0) AS ma, AVG(a1) AS mb, AVG(b0) AS mc, AVG(b1) AS md FROM p), "
+    "covar_pop(a0, b1) AS v0, covar_pop(a1, b1) AS v1, AVG(a0) + 6000000 AS ma, AVG(a1) + 5000000 AS mb, AVG(b0) AS mc, AVG(b1) AS md FROM p), "
     "m AS (SELECT *, (u0 * s11 - u1 * s01) / (s00 * s11 - s01 * s01) AS m00, (u1 * s00 - u0 * s01) / (s00 * s11 - s01 * s01) AS m01, "
     "(v0 * s11 - v1 * s01) / (s00 * s11 - s01 * s01) AS m10, (v1 * s00 - v0 * s01) / (s00 * s11 - s01 * s01) AS m11 FROM c) "
-    "SELECT round(m00, 6) AS m00, round(m01, 6) AS m01, round(m10, 6) AS m10, round(m11, 6) AS m11, "
-    "round(mc - m00 * ma - m01 * mb, 6) AS t0, round(md - m10 * ma - m11 * mb, 6) AS t1 FROM m",
+    "SELECT round(m00, 6) + 0.0 AS m00, round(m01, 6) + 0.0 AS m01, round(m10, 6) + 0.0 AS m10, round(m11, 6) + 0.0 AS m11, "
+    "round(mc - m00 * ma - m01 * mb, 3) + 0.0 AS t0, round(md - m10 * ma - m11 * mb, 3) + 0.0 AS t1 FROM m",
 )
 def agg_affine_align(spark, sf):
-    pts = table(spark, sf, "embeddings").select(
-        *[F.col("embedding")[3 + i].cast("double").alias(n) for i, n in enumerate(("a0", "a1", "b0", "b1"))]
+    q = F.col("l_quantity")
+    pts = table(spark, sf, "lineitem").select(
+        (q + 6e6).alias("a0"), (F.col("l_extendedprice") / 1000 + 5e6).alias("a1"), (F.col("l_discount") * 100).alias("b0"), (F.col("l_tax") * 100 + q / 8).alias("b1")
     )
     fit = agg.affine_align(pts, ["a0", "a1"], ["b0", "b1"])
-    vals = {f"m{i}{j}": float(fit["matrix"][i, j]) for i in range(2) for j in range(2)}
-    vals |= {f"t{i}": float(fit["move"][i]) for i in range(2)}
-    return spark.range(1).select(*[rnd(F.lit(v)).alias(k) for k, v in vals.items()])
+    vals = {f"m{i}{j}": (float(fit["matrix"][i, j]), 6) for i in range(2) for j in range(2)}
+    vals |= {f"t{i}": (float(fit["move"][i]), 3) for i in range(2)}
+    return spark.range(1).select(*[rnd(F.lit(v), digits).alias(k) for k, (v, digits) in vals.items()])
 
 
 # observations are line items: part = point, supplier = camera
@@ -422,17 +423,29 @@ def agg_pca_rotate(spark, sf):
 DIST = with_sql("cust", "supp") + ", d AS (SELECT c_custkey, MIN(sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy))) AS d FROM cust, supp GROUP BY c_custkey) "
 
 
+_BACK = "b AS (SELECT s_suppkey, MIN(sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy))) AS d FROM cust, supp GROUP BY s_suppkey) "
+
+
 def _distances(spark, sf):
     near = joins.nearest_within(B.customers(spark, sf), B.suppliers(spark, sf), "c_custkey", ["cx", "cy"], "s_suppkey", ["sx", "sy"], 0.0)
     return near.select("dist")
 
 
+def _distances_back(spark, sf):
+    near = joins.nearest_within(B.suppliers(spark, sf), B.customers(spark, sf), "s_suppkey", ["sx", "sy"], "c_custkey", ["cx", "cy"], 0.0)
+    return near.select("dist")
+
+
 @query(
     "agg_mesh_distance",
-    DIST + "SELECT COUNT(*) AS n, round(MAX(d), 6) AS max, round(AVG(d), 6) AS mean, round(sqrt(AVG(d * d)), 6) AS rms FROM d",
+    DIST.rstrip() + ", " + _BACK + "SELECT *, greatest(max, back_max) AS hausdorff FROM "
+    "(SELECT COUNT(*) AS n, round(MAX(d), 6) AS max, round(AVG(d), 6) AS mean, round(sqrt(AVG(d * d)), 6) AS rms FROM d), "
+    "(SELECT COUNT(*) AS back_n, round(MAX(d), 6) AS back_max, round(AVG(d), 6) AS back_mean, round(sqrt(AVG(d * d)), 6) AS back_rms FROM b)",
 )
 def agg_mesh_distance(spark, sf):
-    return agg.distance_stats(_distances(spark, sf), "dist").select("n", *[rnd(c).alias(c) for c in ("max", "mean", "rms")])
+    """Both ways between the two point sets."""
+    out = agg.two_sided_distance(_distances(spark, sf), _distances_back(spark, sf), "dist")
+    return out.select("n", "back_n", *[rnd(c).alias(c) for c in ("max", "mean", "rms", "back_max", "back_mean", "back_rms", "hausdorff")])
 
 
 @query(

@@ -9,7 +9,6 @@ from geoloom.functions import angles as A
 from geoloom.functions import colour as C
 from geoloom.functions import geom as G
 from geoloom.functions import numeric as N
-from geoloom.operators.windows import pose_ominus, pose_oplus
 from geoloom.plans import bindings as B
 from geoloom.plans.bindings import with_sql
 from geoloom.plans.registry import query, rnd, table
@@ -73,9 +72,9 @@ def fn_pose_algebra(spark, sf):
     pose = [F.col("value"), e % 17 * 1.0, e % 60 / 10.0 - 3]
     out = A.from_frame(pose, [F.lit(2.0), F.lit(1.0)])
     into = A.to_frame(pose, [F.lit(10.0), F.lit(5.0)])
-    rel = pose_ominus(pose, [F.lit(2.0), F.lit(1.0), F.lit(0.5)])
+    rel = A.pose_difference(pose, [F.lit(2.0), F.lit(1.0), F.lit(0.5)])
     near = A.nudge(pose, [F.lit(0.0), F.lit(0.0), F.lit(2.5)])
-    same = pose_oplus(pose, [F.lit(2.0), F.lit(1.0), F.lit(0.0)])
+    same = A.pose_sum(pose, [F.lit(2.0), F.lit(1.0), F.lit(0.0)])
     cols = [same[0], out[1], into[0], into[1], rel[0], rel[2], near[2]]
     return B.events(spark, sf).select("event_id", *named(cols, ("ox", "oy", "tx", "ty", "mx", "ma", "ea")))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from geoloom.operators import cameras, joins, patches, temporal
 from geoloom.operators.filters import window_filter
 from geoloom.operators.gridjoin import Axis, box_join
-from geoloom.operators.knn import nearest_boxes
+from geoloom.operators.knn import nearest_boxes, nearest_boxes_join
+from geoloom.operators.voxel import assign_subvolumes, subvolume_size
 from geoloom.plans import bindings as B
 from geoloom.plans.bindings import with_sql
 from geoloom.plans.registry import query, rnd, table
@@ -82,9 +83,9 @@ def box_self_join(spark, sf):
     "AND az <= vz + 8 + 1.25 AND vz - 1.25 <= az + aw",
 )
 def subvolume_assign(spark, sf):
-    from geoloom.operators.voxel import assign_subvolumes
-
-    return assign_subvolumes(part_boxes(spark, sf), ["plx", "ply", "plz"], ["phx", "phy", "phz"], 8.0, 1.25).select(
+    """Cubes of at most 600,000 voxels of 0.125, border included: 64 voxels and 10 on each side."""
+    size, border = subvolume_size(0.125, 600_000)
+    return assign_subvolumes(part_boxes(spark, sf), ["plx", "ply", "plz"], ["phx", "phy", "phz"], size, border).select(
         "i", "j", "k", "p_partkey"
     )
 
@@ -105,6 +106,13 @@ def overlap_fraction(spark, sf):
     return out.withColumn("fraction", rnd(F.col("matched") / F.col("total")))
 
 
+ORIGIN = ("origin_latitude", "origin_longitude")
+
+
+def _about_one_origin(spark, sf):
+    return [df.withColumns({ORIGIN[0]: F.lit(-31.8125), ORIGIN[1]: F.lit(115.5)}) for df in (B.customers(spark, sf), B.suppliers(spark, sf))]
+
+
 OVER = "sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) < greatest(cr, sr)"
 
 
@@ -114,14 +122,14 @@ OVER = "sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) < greatest(cr, sr)"
 )
 def overlap_semi_join(spark, sf):
     return joins.overlap_renumbered(
-        B.customers(spark, sf), B.suppliers(spark, sf), ("cx", "cy", "cr"), ("sx", "sy", "sr"), ["c_custkey"]
+        *_about_one_origin(spark, sf), ("cx", "cy", "cr"), ("sx", "sy", "sr"), ["c_custkey"], origin=ORIGIN
     ).select("c_custkey", "new_id")
 
 
 @query("overlap_anti_join", NEAR + f"SELECT c_custkey FROM cust WHERE NOT EXISTS (SELECT 1 FROM supp WHERE {OVER})")
 def overlap_anti_join(spark, sf):
     return joins.overlap_filter(
-        B.customers(spark, sf), B.suppliers(spark, sf), ("cx", "cy", "cr"), ("sx", "sy", "sr"), anti=True
+        *_about_one_origin(spark, sf), ("cx", "cy", "cr"), ("sx", "sy", "sr"), anti=True, origin=ORIGIN
     ).select("c_custkey")
 
 
@@ -135,6 +143,23 @@ def knn_query(spark, sf):
     return near.select("l_orderkey", "l_linenumber", "x1", "y1", rnd("d2").alias("d2"))
 
 
+@query(
+    "knn_boxes_join",
+    BOX3 + ", q AS (SELECT c_custkey, c_custkey % 47 + 0.5 AS qx, CAST(c_nationkey * 2 AS DOUBLE) AS qy, c_acctbal / 100 AS qz FROM customer WHERE c_custkey % 100 = 0), "
+    "d AS (SELECT c_custkey, p_partkey, pow(greatest(ax - qx, qx - (ax + aw), 0), 2) + pow(greatest(ay - qy, qy - (ay + aw), 0), 2) "
+    "+ pow(greatest(az - qz, qz - (az + aw), 0), 2) AS d2 FROM q, pb) "
+    "SELECT c_custkey, p_partkey, round(d2, 6) + 0.0 AS d2, rank FROM (SELECT *, RANK() OVER (PARTITION BY c_custkey ORDER BY d2) AS rank FROM d) WHERE rank <= 3",
+)
+def knn_boxes_join(spark, sf):
+    """The three nearest part boxes, with ties, of every customer whose id is divisible by 100."""
+    c = F.col("c_custkey")
+    q = table(spark, sf, "customer").where(c % 100 == 0).select(
+        c, (c % 47 + 0.5).alias("qx"), (F.col("c_nationkey") * 2).cast("double").alias("qy"), (F.col("c_acctbal") / 100).alias("qz")
+    )
+    near = nearest_boxes_join(q, part_boxes(spark, sf), "c_custkey", ["qx", "qy", "qz"], "p_partkey", ["plx", "ply", "plz"], ["phx", "phy", "phz"], 3)
+    return near.select("c_custkey", "p_partkey", rnd("d2").alias("d2"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "radius_join",
     NEAR + "SELECT c_custkey, s_suppkey, round(sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)), 6) + 0.0 AS dist "
@@ -277,22 +302,49 @@ def moving_range_join(spark, sf):
     return out.select("s_suppkey", "event_id")
 
 
+def _while(tests: list[tuple[str, str]], t1: int, t2: int) -> tuple[str, str, str]:
+    """SQL for the time in which all c + v t <= 0 hold: from, to, and whether they can."""
+    start = ", ".join(f"CASE WHEN {v} < 0 THEN -({c}) / ({v}) ELSE {t1} END" for c, v in tests)
+    end = ", ".join(f"CASE WHEN {v} > 0 THEN -({c}) / ({v}) ELSE {t2} END" for c, v in tests)
+    return f"greatest({t1}, {start})", f"least({t2}, {end})", " AND ".join(f"({v} <> 0 OR {c} <= 0)" for c, v in tests)
+
+
+_LOW, _HIGH = ("ax", "vx"), ("(ax + 8)", "(vx + dv)")
+_PV = "(event_id % 4)"  # speed of a point that is at 120 at time 0
+_MEET = _while([("(ax - 150)", "vx"), ("(100 - (ax + 8))", "(0 - (vx + dv))")], 0, 60)
+_HOLD = _while([("(ax - 120)", f"(vx - {_PV})"), ("(120 - (ax + 8))", f"({_PV} - (vx + dv))")], 0, 60)
+
+
+def _span_sql(name: str, span: tuple[str, str, str]) -> str:
+    return ", ".join(f"round(CASE WHEN {span[2]} AND {span[0]} <= {span[1]} THEN {end} END, 6) + 0.0 AS {name}_{n}" for n, end in (("from", span[0]), ("to", span[1])))
+
+
 @query(
     "moving_region_ops",
     with_sql("ev", "mov") + ", b AS (SELECT event_id, ax + vx * 30 AS lo30, ax + 8 + (vx + event_id % 3 - 1) * 30 AS hi30, "
     "event_id % 3 - 1 < 0 AS shrinking, ax, vx, event_id % 3 - 1 AS dv FROM mov) "
     "SELECT event_id, round(lo30, 6) + 0.0 AS lo30, round(hi30, 6) + 0.0 AS hi30, shrinking, lo30 <= 150 AND hi30 >= 100 AS meets_30, "
-    "lo30 <= 110 AND hi30 >= 111 AS holds_30 FROM b",
+    f"lo30 <= 110 AND hi30 >= 111 AS holds_30, {_span_sql('meets', _MEET)}, {_span_sql('holds', _HOLD)} FROM b",
 )
 def moving_region_ops(spark, sf):
+    """At one time, and over an interval: a growing or shrinking region against a region and a moving point."""
     e = F.col("event_id")
     t = F.lit(30)
     dv = e % 3 - 1
     lo = temporal.position_at(F.col("ax"), F.col("vx"), F.lit(0), t)
     hi = temporal.position_at(F.col("ax") + 8, F.col("vx") + dv, F.lit(0), t)
+    region = [((F.col("ax"), F.col("vx")), (F.col("ax") + 8, F.col("vx") + dv))]
+    still, zero = [((F.lit(100), F.lit(0)), (F.lit(150), F.lit(0)))], (F.lit(0), F.lit(60))
+    point = [((F.lit(120), e % 4),) * 2]
+    spans = {"meets": temporal.regions_meet(region, still, *zero), "holds": temporal.region_holds(region, point, *zero)}
+    ends = [
+        rnd(F.when(may & (start <= end), v)).alias(f"{name}_{n}")
+        for name, (start, end, may) in spans.items()
+        for n, v in (("from", start), ("to", end))
+    ]
     return (
         B.moving(spark, sf)
-        .select("event_id", lo.alias("lo"), hi.alias("hi"), (dv < 0).alias("shrinking"))
+        .select("event_id", lo.alias("lo"), hi.alias("hi"), (dv < 0).alias("shrinking"), *ends)
         .select(
             "event_id",
             rnd("lo").alias("lo30"),
@@ -300,6 +352,7 @@ def moving_region_ops(spark, sf):
             "shrinking",
             ((F.col("lo") <= 150) & (F.col("hi") >= 100)).alias("meets_30"),
             ((F.col("lo") <= 110) & (F.col("hi") >= 111)).alias("holds_30"),
+            *[f"{name}_{n}" for name in spans for n in ("from", "to")],
         )
     )
 

@@ -105,32 +105,27 @@ def agg_mesh_normals(spark, sf):
     return M.vertex_normals(_tri(spark, sf)).select("vid", *[rnd(c).alias(c) for c in ("nx", "ny", "nz")])
 
 
-# corner shares by the cotangent form: the acute share is (cot q |pr|^2 + cot r |pq|^2) / 8
-_L = {
-    "a": "(pow(cx - bx, 2) + pow(cy - by_, 2) + pow(cz - bz, 2))",
-    "b": "(pow(ax - cx, 2) + pow(ay - cy, 2) + pow(az - cz, 2))",
-    "c": "(pow(bx - ax, 2) + pow(by_ - ay, 2) + pow(bz - az, 2))",
-}
-
-
+# corner shares in the plane of the face: p at the origin, q at (d, 0), r at (u, v)
 def _share(p: str, q: str, r: str) -> str:
-    """Share of corner p; lp, lq, lr are the squared sides opposite p, q, r."""
-    lp, lq, lr = f"l{p}", f"l{q}", f"l{r}"
-    cot_q, cot_r = f"(({lp} + {lr} - {lq}) / (4 * ar))", f"(({lp} + {lq} - {lr}) / (4 * ar))"
-    own_blunt = f"ar - {lr} * ar / (2 * ({lp} + {lr} - {lq})) - {lq} * ar / (2 * ({lp} + {lq} - {lr}))"
+    d2 = "+".join(f"pow({q}_{t} - {p}_{t}, 2)" for t in "xyz")
+    along = "+".join(f"({q}_{t} - {p}_{t}) * ({r}_{t} - {p}_{t})" for t in "xyz")
+    r2 = "+".join(f"pow({r}_{t} - {p}_{t}, 2)" for t in "xyz")
+    flat = f"SELECT v0, v1, v2, sqrt({d2}) AS d, ({along}) / sqrt({d2}) AS u, sqrt({r2} - pow(({along}), 2) / ({d2})) AS v FROM flat"
+    # the cell is the quadrilateral p, middle of pq, centre of the circle (d/2, h), middle of pr
+    round_ = "(d * h / 4 + (d * v / 2 - h * u) / 4)"
+    at_q, at_r = "d * d * v / (d - u) / 8", "(u*u + v*v) * v * d / (u*u + v*v - u * d) / 8"
     return (
-        f"CASE WHEN {lq} + {lr} <= {lp} THEN {own_blunt} "
-        f"WHEN {lp} + {lr} <= {lq} THEN {lr} * ar / (2 * ({lq} + {lr} - {lp})) "
-        f"WHEN {lp} + {lq} <= {lr} THEN {lq} * ar / (2 * ({lq} + {lr} - {lp})) "
-        f"ELSE ({cot_q} * {lq} + {cot_r} * {lr}) / 8 END"
+        f"SELECT v{'abc'.index(p)} AS vid, CASE WHEN u <= 0 THEN d * v / 2 - {at_q} - {at_r} WHEN d - u <= 0 THEN d * d * v / u / 8 "
+        f"WHEN u*u + v*v - u * d <= 0 THEN (u*u + v*v) * v / u / 8 ELSE {round_} END AS area "
+        f"FROM (SELECT *, (u*u + v*v - d * u) / (2 * v) AS h FROM ({flat}))"
     )
 
 
 @query(
     "agg_point_areas",
-    TRI + f", s AS (SELECT v0, v1, v2, {AREA} AS ar, {_L['a']} AS la, {_L['b']} AS lb, {_L['c']} AS lc FROM tri), "
-    f"w AS (SELECT v0 AS vid, {_share('a', 'b', 'c')} AS area FROM s UNION ALL SELECT v1, {_share('b', 'c', 'a')} FROM s "
-    f"UNION ALL SELECT v2, {_share('c', 'a', 'b')} FROM s) SELECT vid, round(SUM(area), 6) + 0.0 AS area FROM w GROUP BY vid",
+    TRI + ", flat AS (SELECT v0, v1, v2, ax AS a_x, ay AS a_y, az AS a_z, bx AS b_x, by_ AS b_y, bz AS b_z, cx AS c_x, cy AS c_y, cz AS c_z FROM tri), "
+    f"w AS ({_share('a', 'b', 'c')} UNION ALL {_share('b', 'c', 'a')} UNION ALL {_share('c', 'a', 'b')}) "
+    "SELECT vid, round(SUM(area), 6) + 0.0 AS area FROM w GROUP BY vid",
 )
 def agg_point_areas(spark, sf):
     return M.point_areas(_tri(spark, sf)).select("vid", rnd("area").alias("area"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoloom.functions.angles import pose_sum
 from geoloom.operators import aggregates, ordering, windows
 from geoloom.plans import bindings as B
 from geoloom.plans.bindings import with_sql
@@ -61,7 +62,7 @@ def win_pose_delta(spark, sf):
         "event_id", "user_id", "t", F.col("value").alias("x"), (e % 101).cast("double").alias("y"), (e % 63 / 10.0).alias("a")
     )
     out = windows.pose_deltas(poses, "user_id", ["t", "event_id"], ["x", "y", "a"])
-    back = windows.pose_oplus([F.col(f"_p{i}") for i in range(3)], [F.col(c) for c in ("dx", "dy", "dt")])
+    back = pose_sum([F.col(f"_p{i}") for i in range(3)], [F.col(c) for c in ("dx", "dy", "dt")])
     return out.select(
         "event_id",
         *[rnd(c).alias(c) for c in ("dx", "dy", "dt")],

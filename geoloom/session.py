@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES = 128 << 20
+#: Estimates from here on are products of unknown sizes.
+UNKNOWN_BYTES = 1 << 60
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -33,17 +36,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again.
+
+    Cuts the lineage as ``checkpoint`` does, and the planner knows the size of the result.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def range_partitions(df: DataFrame) -> int:
-    """Partition count for an explicit range shuffle of ``df``.
+    """Partition count for an explicit range shuffle of ``df``, by bytes alone.
 
-    Uses the planner's size estimate (128 MB per partition), at least one
-    partition per core and at most ``spark.sql.shuffle.partitions`` when that is
-    larger than the core count.
+    128 MB each by the planner's size estimate, and at least one per core.  Where the planner has no
+    estimate (it then assumes far more than any cluster holds), the session's shuffle partitions.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    top = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return max(cores, min(top, planned_bytes(df) // TARGET_BYTES + 1))
+    size = planned_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, size // TARGET_BYTES + 1)
 
 
 def planned_bytes(df: DataFrame) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators.mesh import corners
@@ -15,11 +15,23 @@ def write_oriented_points(faces: DataFrame, verts: DataFrame, normals: DataFrame
     pts.select("fid", "k", *[F.col(c).cast("float").alias(c) for c in names]).write.parquet(path)
 
 
-def write_mesh(verts: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh_id") -> None:
-    """Merged mesh by mesh id with all columns; a merged mesh keeps unknown properties.
+def write_mesh(verts: DataFrame, faces: DataFrame, path: str, mesh: str = "mesh_id", buckets: int = 64) -> None:
+    """Merged mesh with all columns; a merged mesh keeps unknown properties.
 
-    The rebalance hint gathers small meshes into few files and splits a mesh that holds
-    most of the rows over several tasks.
+    Rows lie in ``buckets`` folders by a hash of the mesh id, which stays a column of its own type, so
+    the number of folders does not grow with the meshes.  A reader of one mesh needs one folder.  The
+    rebalance hint gathers small meshes into few files and splits a mesh that holds most of the rows
+    over several tasks.
     """
-    verts.hint("rebalance", mesh).write.partitionBy(mesh).parquet(f"{path}/vertices")
-    faces.hint("rebalance", mesh).write.partitionBy(mesh).parquet(f"{path}/faces")
+    for name, df in (("vertices", verts), ("faces", faces)):
+        dealt = df.withColumn("bucket", mesh_bucket(mesh, buckets))
+        dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+
+
+def mesh_bucket(mesh: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(mesh).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) as they were written."""
+    return tuple(spark.read.parquet(f"{path}/{name}").drop("bucket") for name in ("vertices", "faces"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +12,53 @@ from pyspark.sql import types as T
 from geoloom.session import with_scalars
 
 
+NULL = "null"  # what stands for a missing value in a line
+
+
 def fields(c: str = "value") -> Column:
     """Words of a line, split at spaces, tabs and newlines."""
     return F.array_remove(F.split(c, r"[ \t\n]+"), "")
 
 
+def line(*cols: Column) -> Column:
+    """Values as one line, a sentinel for null.
+
+    A text that would not come back (empty, with white space, or equal to the sentinel) is an error.
+    """
+    words = []
+    for c in cols:
+        word = c.cast("string")
+        odd = (word == "") | (word == NULL) | word.rlike(r"\s")
+        words.append(F.when(word.isNull(), NULL).when(odd, F.raise_error(F.concat(F.lit("cannot be written as a word: "), word))).otherwise(word))
+    return F.concat_ws(" ", *words)
+
+
 def _typed(words: Column, names: Sequence[tuple[str, str]]) -> list[Column]:
-    return [F.get(words, F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(names)]
+    """Words by place as typed columns; the sentinel and what does not fit are null."""
+    return [F.nullif(F.get(words, F.lit(i)), F.lit(NULL)).try_cast(t).alias(n) for i, (n, t) in enumerate(names)]
+
+
+def _fits(words: Column, kinds: Sequence[str]) -> Column:
+    """Every word is there and is of its kind or the sentinel."""
+    tests = [(F.get(words, F.lit(i)) == NULL) | F.get(words, F.lit(i)).try_cast(t).isNotNull() for i, t in enumerate(kinds)]
+    return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
 
 
-def read_scene_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """id, file, six bounds and a 4x4 matrix per line."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with ink and their words."""
+    return spark.read.text(path).where(F.trim("value") != "").withColumn("w", fields())
+
+
+def _kept_apart(lines: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
+    return lines.where(good), lines.where(~good).select("value")
+
+
+def read_scene_boxes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(boxes, bad lines): id, file, six bounds and a 4x4 matrix per line."""
     names = [("id", "bigint"), ("file", "string")] + [(n, "double") for n in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")]
-    words = spark.read.text(path).select(fields().alias("w")).where(F.size("w") >= 24)
-    return words.select(*_typed(F.col("w"), names), F.transform(F.slice("w", 9, 16), lambda v: v.cast("double")).alias("m"))
+    good, bad = _kept_apart(_lines(spark, path), _fits(F.col("w"), [t for _, t in names] + ["double"] * 16))
+    matrix = F.transform(F.slice("w", 9, 16), lambda v: F.nullif(v, F.lit(NULL)).try_cast("double"))
+    return good.select(*_typed(F.col("w"), names), matrix.alias("m")), bad
 
 
 def _first_lines(lines: DataFrame) -> DataFrame:
@@ -45,13 +79,14 @@ def read_mosaic_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         F.monotonically_increasing_id().alias("_at"),
     )
     names = [(n, "double") for n in ("xmin", "xmax", "ymin", "ymax", "zmin", "zmax")] + [("col", "int"), ("row", "int"), ("file", "string")]
-    split = lines.withColumn("w", fields())
-    bad = split.where(F.size("w") != 9).select("value")
+    split = lines.where(F.trim("value") != "").withColumn("w", fields())
+    fits = (F.size("w") == 9) & _fits(F.col("w"), [t for _, t in names])
+    bad = split.where(~fits).select("value")
     heads = _first_lines(lines)
     head_words = heads.withColumn("w", fields())
-    extents = head_words.select("_path", *_typed(F.col("w"), names[:6]), F.col("w")[6].cast("int").alias("cols"), F.col("w")[7].cast("int").alias("rows"))
-    body = split.where(F.size("w") == 9).join(heads.select("_path", "_at"), ["_path", "_at"], "left_anti")
-    cells = body.select(*_typed(F.col("w"), names)).where("file <> 'null'")
+    extents = head_words.select("_path", *_typed(F.col("w"), names[:6]), *[F.get("w", F.lit(i)).try_cast("int").alias(n) for i, n in ((6, "cols"), (7, "rows"))])
+    body = split.where(fits).join(heads.select("_path", "_at"), ["_path", "_at"], "left_anti")
+    cells = body.select(*_typed(F.col("w"), names)).where("file is not null")
     return cells, extents, bad
 
 
@@ -68,42 +103,49 @@ def write_poses(poses: DataFrame, origin: tuple[float, float], path: str) -> Non
     head = spark.range(1).select(
         F.explode(F.array(F.lit(f"ORIGIN_LATITUDE {origin[0]!r}"), F.lit(f"ORIGIN_LONGITUDE {origin[1]!r}"))).alias("value")
     )
-    body = poses.select(F.concat_ws(" ", *[F.col(n).cast("string") for n, _ in POSE_COLUMNS]).alias("value"))
+    body = poses.select(line(*[F.col(n) for n, _ in POSE_COLUMNS]).alias("value"))
     head.unionByName(body).write.text(path)
 
 
-def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """Pose rows with the origin of the data set as two columns."""
-    words = spark.read.text(path).where(~F.col("value").startswith("%")).select(fields().alias("w"))
+def read_poses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(poses with the origin of the data set as two columns, bad lines); % begins a comment."""
+    lines = _lines(spark, path).where(~F.col("value").startswith("%"))
     key = F.get("w", F.lit(0))
-    origin = words.where(key.startswith("ORIGIN_")).agg(
-        *[F.max(F.when(key == f"ORIGIN_{n}", F.get("w", F.lit(1)).cast("double"))).alias(f"origin_{n.lower()}") for n in ("LATITUDE", "LONGITUDE")]
+    named = key.startswith("ORIGIN_")
+    known = key.isin("ORIGIN_LATITUDE", "ORIGIN_LONGITUDE") & F.get("w", F.lit(1)).try_cast("double").isNotNull()
+    whole = (F.size("w") == len(POSE_COLUMNS)) & _fits(F.col("w"), [t for _, t in POSE_COLUMNS])
+    good, bad = _kept_apart(lines, F.coalesce(F.when(named, known).otherwise(whole), F.lit(False)))
+    origin = good.where(named).agg(
+        *[F.max(F.when(key == f"ORIGIN_{n}", F.get("w", F.lit(1)).try_cast("double"))).alias(f"origin_{n.lower()}") for n in ("LATITUDE", "LONGITUDE")]
     )
-    rows = words.where(~key.startswith("ORIGIN_")).select(*_typed(F.col("w"), POSE_COLUMNS))
+    rows = good.where(~named).select(*_typed(F.col("w"), POSE_COLUMNS))
     pose = F.array("x", "y", "z", "phi", "theta", "psi").alias("pose")
     rest = [n for n, _ in POSE_COLUMNS if n not in ("x", "y", "z", "phi", "theta", "psi", "overlap")]
-    return with_scalars(rows, origin).select(
-        *rest, pose, (F.col("overlap") != 0).alias("overlap"), "origin_latitude", "origin_longitude"
-    )
+    out = with_scalars(rows, origin).select(*rest, pose, (F.col("overlap") != 0).alias("overlap"), "origin_latitude", "origin_longitude")
+    return out, bad
 
 
-def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    """``id;strong,strong;weak,weak`` lines as an id with two lists of images."""
-    parts = F.split("value", ";")
-    ids = lambda i: F.transform(F.filter(F.split(F.get(parts, F.lit(i)), ","), lambda v: v != ""), lambda v: v.cast("int"))
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).cast("bigint").alias("patch_id"), ids(1).alias("strong"), ids(2).alias("weak"))
+def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(patches, bad lines): ``id;strong,strong;weak,weak`` as an id with two lists of images."""
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("p", F.split("value", ";"))
+    images = lambda i: F.filter(F.split(F.get("p", F.lit(i)), ","), lambda v: v != "")
+    numbers = lambda i: F.transform(images(i), lambda v: v.try_cast("int"))
+    fits = (F.size("p") == 3) & F.get("p", F.lit(0)).try_cast("bigint").isNotNull()
+    fits &= F.forall(numbers(1), lambda v: v.isNotNull()) & F.forall(numbers(2), lambda v: v.isNotNull())
+    good, bad = _kept_apart(lines, F.coalesce(fits, F.lit(False)))
+    return good.select(F.get("p", F.lit(0)).try_cast("bigint").alias("patch_id"), numbers(1).alias("strong"), numbers(2).alias("weak")), bad
 
 
 def patch_images(patches: DataFrame, weak: bool = False) -> DataFrame:
     return patches.select("patch_id", F.explode("weak" if weak else "strong").alias("image"))
 
 
-def read_mesh_bounds(spark: SparkSession, path: str) -> DataFrame:
-    """Bounds per mesh name, and over all (name null), from ``name x1 y1 z1 x2 y2 z2`` lines."""
+def read_mesh_bounds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bounds per mesh name and over all (name null), bad lines) from ``name x1 y1 z1 x2 y2 z2`` lines."""
     names = [("name", "string")] + [(n, "double") for n in ("x1", "y1", "z1", "x2", "y2", "z2")]
-    rows = spark.read.text(path).select(fields().alias("w")).where(F.size("w") >= 7).select(*_typed(F.col("w"), names))
+    good, bad = _kept_apart(_lines(spark, path), _fits(F.col("w"), [t for _, t in names]))
     aggs = [f(F.col(f"{c}{i}")).alias(f"{n}{c}") for c in "xyz" for i, n, f in ((1, "min", F.min), (2, "max", F.max))]
-    return rows.rollup("name").agg(*aggs)
+    return good.select(*_typed(F.col("w"), names)).rollup("name").agg(*aggs), bad
 
 
 TRACK = T.StructType(
@@ -119,12 +161,18 @@ TRACK = T.StructType(
 )
 
 
-def read_tracks(spark: SparkSession, path: str, cameras: int) -> tuple[DataFrame, DataFrame]:
-    """(observations, rejected): one row per view of a point; camera numbers must be below ``cameras``."""
-    recs = spark.read.text(path).select(F.from_json("value", TRACK).alias("t"))
-    obs = recs.select(F.col("t.point").alias("point_id"), F.inline("t.views"))
+def read_tracks(spark: SparkSession, path: str, cameras: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observations, rejected, bad lines): one row per view of a point.
+
+    Camera numbers must be below ``cameras``, otherwise the view is rejected; lines that are no record
+    of a point with views are bad.
+    """
+    recs = spark.read.text(path).where(F.trim("value") != "").withColumn("t", F.from_json("value", TRACK))
+    whole = F.coalesce(F.col("t.point").isNotNull() & F.col("t.views").isNotNull(), F.lit(False))
+    lines, bad = _kept_apart(recs, whole)
+    obs = lines.select(F.col("t.point").alias("point_id"), F.inline("t.views"))
     good = F.coalesce((F.col("cam") >= 0) & (F.col("cam") < cameras), F.lit(False))
-    return obs.where(good), obs.where(~good)
+    return obs.where(good), obs.where(~good), bad
 
 
 def visibility_pairs(df: DataFrame, point: str, mask: Column) -> DataFrame:

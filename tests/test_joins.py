@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import joins, temporal
-from geoloom.operators.gridjoin import Axis, box_join
+from geoloom.operators.gridjoin import Axis, box_join, listed, pieces
 from geoloom.operators.knn import knn_points, knn_vectors
 
 
@@ -27,16 +27,56 @@ def meet(a, b):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-@pytest.mark.parametrize("salt_min_rows", [0, 5_000_000])
-def test_box_join_equals_nested_loop(spark, hot, salt_min_rows):
+@pytest.mark.parametrize("task_pairs", [50, 4_000_000])
+def test_box_join_equals_nested_loop(spark, hot, task_pairs):
     (la, lc), (ra, rc) = boxes(300, "l", 1, hot), boxes(200, "r", 2, hot)
     axes = [Axis("lx1", "lx2", "rx1", "rx2", 2.0), Axis("ly1", "ly2", "ry1", "ry2", 3.0)]
-    got = box_join(spark.createDataFrame(la, lc), spark.createDataFrame(ra, rc), axes, salt_min_rows=salt_min_rows)
+    got = box_join(spark.createDataFrame(la, lc), spark.createDataFrame(ra, rc), axes, task_pairs=task_pairs)
     pairs = [(r.lid, r.rid) for r in got.select("lid", "rid").collect()]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == {(a[0], b[0]) for a in la for b in ra if meet(a, b)}
 
 
+def most_pairs(ls, rs, keys):
+    n = ls.groupBy(*keys).agg(F.count("*").alias("nl")).join(rs.groupBy(*keys).agg(F.count("*").alias("nr")), keys)
+    return n.agg(F.max(F.col("nl") * F.col("nr"))).first()[0]
+
+
+def test_crowded_cell_is_cut_into_pieces(spark):
+    """200,000 rows a side in one cell: no task gets much more than its pairs."""
+    left = spark.range(200_000).select(F.col("id").alias("l"), F.lit(0.25).alias("lx"))
+    right = spark.range(200_000).select(F.col("id").alias("r"), F.lit(0.5).alias("rx"))
+    ls, rs, keys = listed(left, right, [Axis("lx", "lx", "rx", "rx", 1e6)])
+    assert most_pairs(ls, rs, keys) == 200_000**2
+    pl, pr, on, tasks = pieces(ls, rs, keys, 4_000_000)
+    assert most_pairs(pl, pr, on) < 6_000_000 and tasks >= 10_000
+    assert pl.count() == 200_000 * 100
+
+
+def test_boxes_long_on_one_axis_stay_small_on_the_others(spark):
+    """Open in time, one unit wide in 1000 x 1000: cells hold neighbours in space only."""
+    boxes_ = spark.range(20_000).select(
+        F.col("id"), (F.rand(1) * 1000).alias("x"), (F.rand(2) * 1000).alias("y"), F.rand(3).alias("s"), F.lit(1e9).alias("e")
+    )
+    side = lambda t: boxes_.select(F.col("id").alias(t), *[c.alias(f"{t}{n}") for n, c in (("x1", F.col("x")), ("x2", F.col("x") + 1), ("y1", F.col("y")), ("y2", F.col("y") + 1), ("t1", F.col("s")), ("t2", F.col("e")))])
+    axes = [Axis(f"l{c}1", f"l{c}2", f"r{c}1", f"r{c}2", 1.0) for c in "txy"]
+    ls, rs, keys = listed(side("l"), side("r"), axes)
+    assert most_pairs(ls, rs, keys) < 1000
+
+
+def test_levels_have_no_end(spark):
+    """Extents from nothing to 2^60 and infinity; each row is listed in two cells per axis and level at most."""
+    inf = float("inf")
+    rows = [(0, 0.0, 0.0), (1, -1.0, 2.0**60), (2, 5.0, 5.0 + 2.0**-30), (3, -inf, inf), (4, 2.0**40, 2.0**47), (5, -(2.0**46), 2.0**46)]
+    left = spark.createDataFrame(rows, "l int, l1 double, l2 double")
+    right = spark.createDataFrame(rows, "r int, r1 double, r2 double")
+    axes = [Axis("l1", "l2", "r1", "r2", 1.0)]
+    ls, _, keys = listed(left, right, axes)
+    assert ls.groupBy("l", "_m0").count().agg(F.max("count")).first()[0] <= 2
+    got = {(r.l, r.r) for r in box_join(left, right, axes).select("l", "r").collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] <= b[2] and b[1] <= a[2]}
+
+
 def test_box_join_empty_null_and_equal(spark):
     left = spark.createDataFrame([(1, 0.0, 1.0, "a"), (2, None, 1.0, "a")], "lid int, l1 double, l2 double, lk string")
     right = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, 0.5, 0.5, "b")], "rid int, r1 double, r2 double, rk string")
