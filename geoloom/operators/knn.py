@@ -1,7 +1,6 @@
-"""Exact nearest neighbours: growing grid rings for points, pivot blocks for vectors.
+"""Exact nearest neighbours: counted cells for points, pivot blocks for vectors.
 
-Neither form lists all pairs.  Points look at 3^d cells of a grid that starts fine
-and grows only for queries that are not settled yet.  Long vectors are grouped
+Neither form lists all pairs.  For points, cell counts bound how far each query must look.  Long vectors are grouped
 around pivots; the triangle inequality says which groups a query must visit, and a
 group is cut into blocks of bounded size, so one task compares block with block and
 returns at most k rows per query.
@@ -9,6 +8,7 @@ returns at most k rows per query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,15 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.gridjoin import Axis, box_join, paired_join, typical_extents
+from geoloom.operators.gridjoin import Axis, box_join, typical_extents
 from geoloom.session import checkpoint, spread
 
-GROW = 4.0
-FULL_CELL = 4096
-
-
-def _cells(cols: Sequence[Column], size: float) -> list[Column]:
-    return [F.floor(c / F.lit(size)).cast("bigint") for c in cols]
+#: Points that a query's ball may hold, by the counts, before its radius is made smaller.
+CROWD = 4096
+#: Levels beyond which a double tells no cells apart.
+FINEST = 50
+#: Cells that a cell is cut into, at most, when radii are made smaller.
+CHILDREN = 64
 
 
 def knn_points(
@@ -45,6 +45,11 @@ def knn_points(
     With ``max_dist`` only points strictly closer count and a query may have fewer
     rows (or none).  ``accept`` is a test on the ``carry`` columns (of queries, of data)
     that a neighbour must pass.  Ids must be unique on their side.
+
+    A pyramid of cell counts tells how far a query must look: the smallest cell around it with enough
+    points bounds the k-th distance.  Where a ball of that radius would hold very many points (a query
+    far from a dense place), it goes down the pyramid from cell to smaller cells, keeping those that can
+    hold a neighbour, until few points are left.  One box join then finds the points in each ball.
     """
     dim = len(qaxes)
     qcarry, dcarry = ([*c] for c in carry)
@@ -53,43 +58,24 @@ def knn_points(
     daxis = [f"_d{i}" for i in range(dim)]
     qaxis = [f"_q{i}" for i in range(dim)]
     q, d = q.dropna(subset=["_qid", *qaxis]), d.dropna(subset=["_nid", *daxis])
-    # copies of one position (and carried values): the k (+1) lowest ids are enough
+    need = k + int(exclude_same_id)
+    # copies of one position (and carried values): the lowest ids are enough
     copies = Window.partitionBy(*daxis, *dcarry).orderBy("_nid")
-    d = d.withColumn("_copy", F.row_number().over(copies))
-    d = checkpoint(d.where(F.col("_copy") <= k + int(exclude_same_id)).drop("_copy"))
+    d = checkpoint(d.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= need).drop("_copy"))
     b = d.agg(F.count("*").alias("n"), *[f(c) for c in daxis for f in (F.min, F.max)]).first()
     bq = q.agg(F.count("*").alias("n"), *[f(c) for c in qaxis for f in (F.min, F.max)]).first()
     empty = q.select("_qid", F.lit(None).alias("nid"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     if not b["n"] or not bq["n"]:
         return empty.withColumnRenamed("_qid", qid)
-    span = max(
-        max(b[2 + 2 * i], bq[2 + 2 * i]) - min(b[1 + 2 * i], bq[1 + 2 * i]) for i in range(dim)
-    )
-    top = min(span, max_dist) if max_dist is not None else span
-    top = top if top > 0 else 1.0
-    size = min(top, max(span, 1e-12) / max(1.0, (b["n"] / k) ** (1.0 / dim)))
-    # clustered data: start finer until no cell is crowded
-    while size > top * 1e-9:
-        crowd = d.groupBy(*_cells([F.col(c) for c in daxis], size)).count().agg(F.max("count")).first()[0]
-        if crowd <= FULL_CELL:
-            break
-        size /= GROW
-    steps = F.sequence(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint"))
-    d2 = sum(
-        ((F.col(f"_q{i}") - F.col(f"_d{i}")) * (F.col(f"_q{i}") - F.col(f"_d{i}")) for i in range(dim)),
-        start=F.lit(0.0),
-    )
-    keys = [f"_c{i}" for i in range(dim)]
+    start = [float(min(b[1 + 2 * i], bq[1 + 2 * i])) for i in range(dim)]
+    span = max(float(max(b[2 + 2 * i], bq[2 + 2 * i])) - start[i] for i in range(dim))
+    pyramid = _Pyramid.over(d, daxis, start, span if span > 0 else 1.0, b["n"], need)
+    far = pyramid.size(0) * dim**0.5
+    look = _first_look(q, d, pyramid, need, max_dist)
+    d2 = sum(((F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) for a, c in zip(qaxis, daxis)), start=F.lit(0.0))
     settled: DataFrame | None = None
-    rest, rest_rows = q, bq["n"]
-    while rest_rows:
-        last = size >= top
-        near = spread(rest)
-        for i, c in enumerate(_cells([F.col(c) for c in qaxis], size)):
-            near = near.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", c + F.col(f"_s{i}"))
-        near = near.drop(*[f"_s{i}" for i in range(dim)])
-        cells = d.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(_cells([F.col(c) for c in daxis], size))])
-        cand = paired_join(near, cells, keys)
+    while look is not None:
+        cand = _in_ball(look, d, qaxis, daxis)
         if accept is not None:
             cand = cand.where(accept)
         cand = cand.select("_qid", "_nid", d2.alias("_d2"))
@@ -97,28 +83,132 @@ def knn_points(
             cand = cand.where(F.col("_qid") != F.col("_nid"))
         if max_dist is not None:
             cand = cand.where(F.col("_d2") < F.lit(max_dist * max_dist))
-        w = Window.partitionBy("_qid").orderBy("_d2", "_nid")
-        best = (
-            cand.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= k)
-            .groupBy("_qid")
-            .agg(F.array_sort(F.collect_list(F.struct("_d2", "_nid"))).alias("_best"))  # <= k items
-        )
-        found = checkpoint(rest.join(best, "_qid", "left"))
-        full = (F.size("_best") == k) & (F.element_at("_best", -1)["_d2"] <= F.lit(size * size))
-        ok = F.lit(True) if last else F.coalesce(full, F.lit(False))
-        done = found.where(ok).select("_qid", "_best")
+        best = cand.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy("_d2", "_nid"))).where(F.col("rank") <= k)
+        if accept is None:
+            settled, look = best, None
+            break
+        # counts know nothing of the test, so a query that found too few looks four times as far
+        best = checkpoint(best)
+        count = best.groupBy("_qid").agg(F.count("*").alias("_found"))
+        state = look.join(count, "_qid", "left")
+        whole = (F.coalesce("_found", F.lit(0)) >= k) | (F.col("_r") >= F.lit(far if max_dist is None else min(far, max_dist)))
+        rest = checkpoint(state.where(~whole).select(*look.columns).withColumn("_r", F.col("_r") * 4))
+        done = best.join(rest.select("_qid"), "_qid", "left_anti")
         settled = done if settled is None else settled.unionByName(done)
-        rest = found.where(~ok).select(*q.columns)
-        rest_rows = 0 if last else rest.count()
-        size = min(size * GROW, top)
-    out = settled.select("_qid", F.posexplode("_best").alias("_p", "_b"))
-    return out.select(
-        F.col("_qid").alias(qid),
-        F.col("_b._nid").alias("nid"),
-        F.col("_b._d2").alias("d2"),
-        (F.col("_p") + 1).alias("rank"),
-    )
+        look = None if rest.isEmpty() else rest
+    return settled.select(F.col("_qid").alias(qid), F.col("_nid").alias("nid"), F.col("_d2").alias("d2"), "rank")
+
+
+class _Pyramid:
+    """Grids over one cube: level 0 is a single cell, each next level halves the cells."""
+
+    def __init__(self, start: list[float], span: float, levels: int):
+        self.start, self.span, self.levels = start, span * (1 + 1e-9), levels
+
+    @classmethod
+    def over(cls, d: DataFrame, axes: Sequence[str], start: list[float], span: float, rows: int, need: int) -> _Pyramid:
+        """Levels down to cells without a crowd.
+
+        Where points were spread evenly, the finest cells would hold few; for dense places levels are
+        added eight at a time, which takes one or two counts for most data.
+        """
+        levels = math.ceil(math.log2(max(1.0, rows / need)) / len(start)) + 2
+        while True:
+            out = cls(start, span, levels)
+            most = d.groupBy(*out.cells(axes)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            if most <= CROWD // 16 or levels >= FINEST:
+                return out
+            levels = min(levels + 8, FINEST)
+
+    def size(self, level: int) -> float:
+        return self.span / 2.0**level
+
+    def cells(self, cols: Sequence[str]) -> list[Column]:
+        """Cell numbers at the finest level."""
+        return [F.floor((F.col(c) - F.lit(o)) / F.lit(self.size(self.levels))).cast("bigint") for c, o in zip(cols, self.start)]
+
+    def at_levels(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """A row per level, with the cell numbers ``_c0``.. there."""
+        named = df.withColumns({f"_c{i}": c for i, c in enumerate(self.cells(cols))}) if cols else df
+        deep = named.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(self.levels))))
+        return deep.withColumns({f"_c{i}": F.expr(f"shiftright(_c{i}, {self.levels} - _level)") for i in range(len(self.start))})
+
+
+def _first_look(q: DataFrame, d: DataFrame, pyramid: _Pyramid, need: int, max_dist: float | None) -> DataFrame:
+    """Queries with a radius ``_r`` within which their k-th neighbour is."""
+    dim = len(pyramid.start)
+    keys = [f"_c{i}" for i in range(dim)]
+    qaxis, daxis = [f"_q{i}" for i in range(dim)], [f"_d{i}" for i in range(dim)]
+    fine = d.groupBy(*[c.alias(k) for k, c in zip(keys, pyramid.cells(daxis))]).agg(F.count("*").alias("_n"))
+    counts = checkpoint(pyramid.at_levels(fine, []).groupBy("_level", *keys).agg(F.sum("_n").alias("_n")))
+    enough = counts.where(F.col("_n") >= need)
+    own = pyramid.at_levels(q.select("_qid", *qaxis), qaxis).join(enough, ["_level", *keys])
+    known = own.groupBy("_qid").agg(F.max("_level").alias("_at"), F.map_from_entries(F.collect_list(F.struct("_level", "_n"))).alias("_held"))
+    crowd = F.coalesce(F.element_at("_held", F.greatest(F.col("_at") - 1, F.lit(0))), F.lit(0))
+    radius = F.lit(pyramid.size(0) * dim**0.5) / F.pow(F.lit(2.0), F.coalesce("_at", F.lit(0)))
+    if max_dist is not None:
+        radius = F.least(radius, F.lit(float(max_dist)))
+    look = checkpoint(q.join(known, "_qid", "left").select(*q.columns, radius.alias("_r"), F.coalesce(crowd, F.lit(0)).alias("_crowd")))
+    crowded = look.where(F.col("_crowd") > CROWD).drop("_crowd")
+    if crowded.isEmpty():
+        return look.drop("_crowd")
+    smaller = _descend(crowded.select("_qid", *qaxis, "_r"), counts, pyramid, need)
+    found = crowded.join(smaller, "_qid", "left").withColumn("_r", F.coalesce("_new", "_r")).drop("_new")
+    return look.where(F.col("_crowd") <= CROWD).drop("_crowd").unionByName(found)
+
+
+def _descend(rest: DataFrame, counts: DataFrame, pyramid: _Pyramid, need: int) -> DataFrame:
+    """(_qid, _new): smaller radii, from cells that are cut and dropped level by level.
+
+    All points of a cell are at least as near as its far corner: in the order of far corners, the cell
+    that completes the needed number bounds the k-th distance.  Cells whose near corner is further go.
+    A query is done when the cells it keeps hold few points.
+    """
+    dim = len(pyramid.start)
+    keys = [f"_c{i}" for i in range(dim)]
+    step = max(1, int(math.log2(CHILDREN)) // dim)
+    state, level, done = rest.withColumns({c: F.lit(0).cast("bigint") for c in keys}), 0, None
+    while level < pyramid.levels:
+        deeper = min(level + step, pyramid.levels)
+        kids = counts.where(F.col("_level") == deeper).select(
+            *[F.expr(f"shiftright({c}, {deeper - level})").alias(c) for c in keys], *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_n"
+        )
+        near, far, size = [], [], F.lit(pyramid.size(deeper))
+        for i, start in enumerate(pyramid.start):
+            low = F.lit(start) + F.col(f"_k{i}") * size - F.col(f"_q{i}")
+            high = low + size
+            near.append(F.pow(F.greatest(low, -high, F.lit(0.0)), 2))
+            far.append(F.pow(F.greatest(F.abs(low), F.abs(high)), 2))
+        # a little to either side, as cell borders are rounded
+        corner = lambda terms, by: F.sqrt(sum(terms, start=F.lit(0.0))) * by
+        met = state.join(kids, keys).withColumns({"_near": corner(near, 1 - 1e-9), "_far": corner(far, 1 + 1e-9)}).where(F.col("_near") <= F.col("_r"))
+        mine = Window.partitionBy("_qid")
+        upto = F.sum("_n").over(mine.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("_upto", upto).withColumn("_new", F.min(F.when(F.col("_upto") >= need, F.col("_far"))).over(mine))
+        met = met.withColumn("_r", F.least("_r", "_new")).where(F.col("_near") <= F.col("_r"))
+        met = checkpoint(met.withColumn("_left", F.sum("_n").over(mine)).drop(*keys, "_near", "_far", "_upto", "_new"))
+        level = deeper
+        few = (F.col("_left") <= CROWD) | F.lit(level == pyramid.levels)
+        settled = met.where(few).groupBy("_qid").agg(F.min("_r").alias("_new"))
+        done = settled if done is None else done.unionByName(settled)
+        state = met.where(~few).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keys)}).drop("_n", "_left")
+        if state.isEmpty():
+            break
+    return done
+
+
+def _in_ball(look: DataFrame, d: DataFrame, qaxis: Sequence[str], daxis: Sequence[str]) -> DataFrame:
+    """Pairs of queries and points within the radius, a hair more for rounding."""
+    reach = F.col("_r") * (1 + 1e-9) + 1e-12
+    axes, gaps = [], []
+    probe = look
+    for i, (a, c) in enumerate(zip(qaxis, daxis)):
+        slack = F.abs(F.col(a)) * 1e-15
+        probe = probe.withColumn(f"_ql{i}", F.col(a) - reach - slack).withColumn(f"_qh{i}", F.col(a) + reach + slack)
+        gaps.append((F.col(a) - F.col(c)) * (F.col(a) - F.col(c)))
+    cells = typical_extents(probe, *[(f"_ql{i}", f"_qh{i}") for i in range(len(qaxis))])
+    axes = [Axis(f"_ql{i}", f"_qh{i}", c, c, cell) for i, (c, cell) in enumerate(zip(daxis, cells))]
+    return box_join(probe, d, axes, sum(gaps, start=F.lit(0.0)) <= reach * reach * (1 + 1e-9))
 
 
 def _matrix(col: pd.Series) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import joins, temporal
+from geoloom.operators import joins, knn, temporal
 from geoloom.operators.gridjoin import Axis, box_join, listed, pieces
 from geoloom.operators.knn import knn_points, knn_vectors
 
@@ -111,6 +111,27 @@ def test_knn_points(spark, clustered, max_dist):
         assert [m[1] for m in mine] == order
 
 
+def test_far_queries_do_not_meet_a_whole_cluster(spark):
+    """A dense cluster, a few points elsewhere and queries far off: each looks at few points."""
+    rng = np.random.default_rng(8)
+    d = np.concatenate([rng.uniform(0, 1, (60_000, 2)), rng.uniform(-5000, 5000, (40, 2))])
+    q = np.concatenate([rng.uniform(0, 1, (30, 2)), rng.uniform(-4000, 4000, (30, 2))])
+    qd = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(q)], "_qid long, _q0 double, _q1 double")
+    dd = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(d)], "_nid long, _d0 double, _d1 double")
+    k = 60  # more than there are points outside the cluster
+    low, span = float(min(q.min(), d.min())), float(max(q.max(), d.max()) - min(q.min(), d.min()))
+    pyramid = knn._Pyramid.over(dd, ["_d0", "_d1"], [low, low], span, len(d), k)
+    look = knn._first_look(qd, dd, pyramid, k, None)
+    met = knn._in_ball(look, dd, ["_q0", "_q1"], ["_d0", "_d1"]).groupBy("_qid").count().toPandas()
+    assert len(met) == 60 and met["count"].max() < 10_000
+    got = {}
+    for r in knn_points(qd, dd, "_qid", ["_q0", "_q1"], "_nid", ["_d0", "_d1"], k).collect():
+        got.setdefault(r._qid, []).append(r.nid)
+    for i, p in enumerate(q):
+        d2 = ((p - d) ** 2).sum(1)
+        assert sorted(got[i]) == sorted(np.argsort(d2, kind="stable")[:k].tolist())
+
+
 @pytest.mark.parametrize("metric", ["l2", "dot"])
 def test_knn_vectors_blocks_and_pivots(spark, metric):
     rng = np.random.default_rng(3)
