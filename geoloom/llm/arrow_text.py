@@ -7,6 +7,8 @@ bytes gives the words of the text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,6 +79,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         row = upto
 
 
+def release() -> None:
+    """Give memory that is free back to the system, so that a worker does not keep a task's peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it, others manage without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * MIX_A
     h = (h ^ (h >> np.uint64(33))) * MIX_B

@@ -67,10 +67,10 @@ class FMIndex:
         for step in STEPS:
             order = np.argsort(key)
             ordered = key[order]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
             ranks[step] = rank
-            key = rank * (n + 1)
+            key = rank.astype(np.int64) * (n + 1)
             key[: max(0, n - step)] += rank[step:] + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=count))))[:-1]
         self.matrix = WaveletMatrix(text[order - 1], count)

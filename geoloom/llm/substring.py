@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import MIX_A, SPACE, Words, buffers, gram_hashes, hashes, mix, runs, slices, split
+from geoloom.llm.arrow_text import MIX_A, SPACE, Words, buffers, gram_hashes, hashes, mix, release, runs, slices, split
 from geoloom.llm.columns import unused
 from geoloom.llm.fm import FMIndex
 from geoloom.session import checkpoint
@@ -32,7 +32,7 @@ from geoloom.session import checkpoint
 WIDTH = 35
 GROUP_WORDS = 8
 #: Words that a shard is meant to index.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 800_000
 SEGMENT_WORDS = 50  # of a usual segment
 #: Text per partition where documents are dealt by id.
 TASK_BYTES = 24 << 20
@@ -248,6 +248,7 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 held[-1][3].append((rid, h, a))
     if held:
         yield _search(held, width)
+    release()
 
 
 def _cut(text: str | None, ranges: list[dict]) -> tuple[list[bytes], int]:
@@ -288,7 +289,7 @@ def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_
     keys = wanted.withColumnsRenamed({"rid": names.rid, "keys": names.keys}).repartition(tasks, names.rid)
     rows = dealt.join(keys, names.rid).withColumn(names.hash, F.xxhash64(text))
     found = (
-        _segments(rows, names, width, shards).repartition(shards, "shard").sortWithinPartitions("shard", "sid")
+        _segments(rows, names, width, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "sid")
         .mapInArrow(lambda batches: _shards(batches, width), _FOUND)
     )
     places = found.withColumnRenamed("rid", names.rid).repartition(tasks, names.rid)
