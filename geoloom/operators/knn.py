@@ -1,9 +1,9 @@
 """Exact nearest neighbours: counted cells for points, pivot blocks for vectors.
 
 Neither form lists all pairs.  For points, cell counts bound how far each query must look.  Long vectors are grouped
-around pivots; the triangle inequality says which groups a query must visit, and a
-group is cut into blocks of bounded size, so one task compares block with block and
-returns at most k rows per query.
+around pivots in as many leaves as the data needs; a query's own leaf bounds its k-th value, the
+triangle inequality says which other leaves it must visit, and one task compares a block of
+queries with a block of a leaf and returns at most k rows per query.
 """
 
 from __future__ import annotations
@@ -217,25 +217,52 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Squared distance ("l2") or negative dot product ("dot"), all rows of a by b."""
+    if metric == "dot":
+        return -(a @ b.T)
     out = np.empty((len(a), len(b)))
-    step = _rows_at_once(b)
+    step = max(1, (1 << 22) // max(1, b.size))
     for lo in range(0, len(a), step):
-        part = a[lo : lo + step]
-        if metric == "dot":
-            out[lo : lo + step] = -(part @ b.T)
-        else:
-            diff = part[:, None, :] - b[None, :, :]
-            out[lo : lo + step] = (diff * diff).sum(axis=2)
+        diff = a[lo : lo + step, None, :] - b[None, :, :]
+        out[lo : lo + step] = np.einsum("ijk,ijk->ij", diff, diff)
     return out
 
 
-def _rows_at_once(b: np.ndarray) -> int:
-    """Rows to compare with ``b`` in one step, about 32 MB of differences."""
-    return max(1, (1 << 22) // max(1, b.size))
+def _quick(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same by a matrix product, and how far each row of it may be off."""
+    if metric == "dot":
+        return -(a @ b.T), np.zeros((len(a), 1))
+    aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)
+    return aa + bb - 2.0 * (a @ b.T), 1e-12 * (aa + bb.max(initial=0.0)) * a.shape[1]
+
+
+def _best(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, k: int, metric: str, limit: float | None):
+    """(row, column, value) of the k best columns of each row, ties by column, sorted by row and value."""
+    quick, off = _quick(a, b, metric)
+    if same is not None:
+        quick[same] = np.inf
+    if limit is not None:
+        quick[quick > limit + off] = np.inf
+    if quick.shape[1] > k:
+        cut = np.partition(quick, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero((quick <= cut + 2 * off) & np.isfinite(quick))
+    else:
+        row, col = np.nonzero(np.isfinite(quick))
+    if metric == "dot":
+        value = quick[row, col]
+    else:  # few are left, and they get their exact value
+        diff = a[row] - b[col]
+        value = np.einsum("ij,ij->i", diff, diff)
+    if limit is not None:
+        row, col, value = (v[value <= limit] for v in (row, col, value))
+    order = np.lexsort((col, value, row))
+    row, col, value = row[order], col[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    keep = place < k
+    return row[keep], col[keep], value[keep]
 
 
 def _bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str):
-    """Lowest and highest possible distance from each query to the rows of each cell."""
+    """Lowest and highest possible value from each query to the rows of each cell."""
     if metric == "dot":
         mid = -(q @ pivots.T)
         slack = np.linalg.norm(q, axis=1)[:, None] * radius[None, :]
@@ -244,6 +271,211 @@ def _bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str):
     return np.maximum(dist - radius, 0.0) ** 2, (dist + radius) ** 2
 
 
+def _nearest(vec: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each row, the first of equal ones, and its distance."""
+    d2 = _distance(vec, pivots, "l2")
+    at = d2.argmin(axis=1)
+    return at, np.sqrt(d2[np.arange(len(vec)), at])
+
+
+#: Rows of a leaf, about; and leaves up to which one level of pivots is enough.
+LEAF_ROWS = 2048
+ONE_LEVEL = 256
+#: Rows that are placed or routed together.
+CHUNK = 8192
+
+
+class _Tree:
+    """Data vectors in leaves around pivots; the number of leaves grows with the data.
+
+    One level of pivots is known to every task while there are few leaves.  Beyond, the top pivots grow
+    with the square root of the leaves, and each top cell has pivots of its own, which are a table and
+    meet rows and queries by joins.  A leaf's rows lie within ``radius`` of its pivot.
+    """
+
+    def __init__(self, data: DataFrame, n: int, leaf_rows: int):
+        self.leaves_n = max(1, -(-n // leaf_rows))
+        self.leaf_rows = leaf_rows
+        self.deep = self.leaves_n > ONE_LEVEL
+        self.leaves: DataFrame | None = None
+        if self.leaves_n == 1:
+            self.rows = checkpoint(spread(data)).withColumns({"_leaf": F.lit(0).cast("bigint"), "_far": F.lit(0.0)})
+            return
+        tops = math.isqrt(self.leaves_n - 1) + 1 if self.deep else self.leaves_n
+        picked = data.select("_nid", "_v").orderBy(F.xxhash64("_nid"), "_nid").limit(tops).collect()  # as many as there are tops
+        self.tops = np.array([r["_v"] for r in picked], dtype=np.float64)
+        kind = data.schema["_nid"].dataType.simpleString()
+        tops_ = self.tops
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    at, far = _nearest(_matrix(pdf["_v"]), tops_)
+                    yield pdf.assign(_top=at.astype("int64"), _far=far)
+
+        schema = f"_nid {kind}, _v array<double>, _top bigint, _far double"
+        self.rows = checkpoint(spread(data).mapInPandas(place, schema)).withColumnRenamed("_top", "_leaf")
+        stats = self.rows.groupBy("_leaf").agg(F.count("*").alias("n"), F.max("_far").alias("far")).collect()  # one per top
+        self.size, self.radius = np.zeros(len(self.tops), np.int64), np.zeros(len(self.tops))
+        for r in stats:
+            self.size[r["_leaf"]], self.radius[r["_leaf"]] = r["n"], r["far"] * (1 + 1e-9)
+        if self.deep:
+            self._split(kind)
+
+    def _blocks(self) -> Column:
+        """Blocks that the rows of a top cell are dealt to."""
+        return F.get(F.array(*[F.lit(int(max(1, -(-c // CHUNK)))) for c in self.size]), F.col("_top").cast("int"))
+
+    def _split(self, kind: str) -> None:
+        """Cut the top cells into leaves around sampled rows."""
+        rows = self.rows.withColumnRenamed("_leaf", "_top").drop("_far")
+        share = int(2**31 / self.leaf_rows)
+        picked = rows.where(F.pmod(F.xxhash64("_nid", F.lit("sub")), F.lit(2**31)) < share).select("_top", "_v")
+        own = rows.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(self.tops)], "_top long, _v array<double>")
+        subs = own.unionByName(picked).withColumn("_sub", F.row_number().over(Window.partitionBy("_top").orderBy(F.xxhash64("_v"))) - 1)
+        subs = checkpoint(subs.select("_top", F.col("_top") * (1 << 20) + F.col("_sub"), F.col("_v").alias("_pv")).toDF("_top", "_leaf", "_pv"))
+
+        def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"_nid": [], "_v": [], "_leaf": [], "_far": []})
+            at, far = _nearest(_matrix(left["_v"]), _matrix(right["_pv"]))
+            return pd.DataFrame({"_nid": left["_nid"], "_v": left["_v"], "_leaf": right["_leaf"].to_numpy()[at], "_far": far})
+
+        dealt = rows.withColumn("_b", F.pmod(F.xxhash64("_nid"), self._blocks()))
+        every = subs.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), self._blocks().cast("bigint") - 1)))
+        placed = dealt.groupBy("_top", "_b").cogroup(every.groupBy("_top", "_b")).applyInPandas(place, f"_nid {kind}, _v array<double>, _leaf bigint, _far double")
+        self.rows = checkpoint(placed)
+        own_size = self.rows.groupBy("_leaf").agg(F.count("*").alias("_n"), (F.max("_far") * (1 + 1e-9)).alias("_radius"))
+        self.leaves = checkpoint(subs.join(own_size, "_leaf"))
+
+    def sizes(self) -> DataFrame:
+        return self.rows.groupBy("_leaf").agg(F.count("*").alias("_n"))
+
+    def home(self, queries: DataFrame, kind: str) -> DataFrame:
+        """Queries with the leaf whose pivot is near."""
+        tops, some = self.tops, np.flatnonzero(self.size)
+
+        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(_leaf=some[_nearest(_matrix(pdf["_v"]), tops[some])[0]].astype("int64"))
+
+        schema = f"_qid {kind}, _v array<double>, _leaf bigint"
+        near = queries.mapInPandas(top, schema)
+        if not self.deep:
+            return near
+
+        def sub(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"_qid": [], "_v": [], "_leaf": []})
+            at, _ = _nearest(_matrix(left["_v"]), _matrix(right["_pv"]))
+            return pd.DataFrame({"_qid": left["_qid"], "_v": left["_v"], "_leaf": right["_leaf"].to_numpy()[at]})
+
+        return self._with_leaves(near.withColumnRenamed("_leaf", "_top"), sub, schema)
+
+    def _with_leaves(self, queries: DataFrame, run, schema: str) -> DataFrame:
+        """Cogroup queries, dealt to blocks, with the leaves of their top cell."""
+        load = checkpoint(queries)
+        counts = load.groupBy("_top").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("bigint").alias("_nb"))
+        dealt = load.join(counts, "_top").withColumn("_b", F.pmod(F.xxhash64("_qid"), F.col("_nb"))).drop("_nb")
+        every = self.leaves.join(counts, "_top").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1))).drop("_nb")
+        return dealt.groupBy("_top", "_b").cogroup(every.groupBy("_top", "_b")).applyInPandas(run, schema)
+
+    def visits(self, queries: DataFrame, kind: str, metric: str, need: int, eps: float, ceiling: float | None) -> DataFrame:
+        """(_qid, _v, _leaf, _low): the leaves that a query must see, given its value ``_theta``.
+
+        Rows whose leaf is ``_home`` are always seen.  A query whose home leaf was too small has no value
+        yet; the counts and bounds of the top cells give it one.
+        """
+        tops, radius, size, deep = self.tops, self.radius, self.size, self.deep
+
+        def keep_low(low: np.ndarray, theta: np.ndarray, sure: np.ndarray) -> np.ndarray:
+            slack = np.where(sure, (1.0 + eps) ** 2 if metric == "l2" else 1.0, 1.0)
+            keep = low * slack[:, None] <= theta[:, None]
+            return keep if ceiling is None else keep & (low <= ceiling)
+
+        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                low, high = _bounds(_matrix(pdf["_v"]), tops, radius, metric)
+                low[:, size == 0] = np.inf
+                order = np.argsort(high, axis=1, kind="stable")
+                upto = (np.cumsum(size[order], axis=1) < need).sum(axis=1)  # the cell that completes the needed rows
+                bound = np.take_along_axis(high, order, 1)[np.arange(len(pdf)), upto]
+                theta = pdf["_theta"].to_numpy(dtype=float)
+                sure = np.isfinite(theta)
+                theta = np.minimum(np.where(sure, theta, np.inf), bound)
+                keep = keep_low(low, theta, sure)
+                if not deep:
+                    keep[np.arange(len(pdf)), pdf["_home"].to_numpy()] = True
+                else:
+                    keep[np.arange(len(pdf)), pdf["_home"].to_numpy() >> 20] = True
+                row, cell = np.nonzero(keep)
+                one = pdf.iloc[row]
+                yield pd.DataFrame(
+                    {"_qid": one["_qid"].to_numpy(), "_v": one["_v"].to_numpy(), "_theta": theta[row], "_sure": sure[row], "_home": one["_home"].to_numpy(), "_leaf": cell.astype("int64"), "_low": low[row, cell]}
+                )
+
+        schema = f"_qid {kind}, _v array<double>, _theta double, _sure boolean, _home bigint, _leaf bigint, _low double"
+        seen = queries.mapInPandas(top, schema)
+        if not deep:
+            return seen.select("_qid", "_v", "_leaf", "_low")
+
+        def sub(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"_qid": [], "_v": [], "_leaf": [], "_low": []})
+            low, _ = _bounds(_matrix(left["_v"]), _matrix(right["_pv"]), right["_radius"].to_numpy(), metric)
+            leaf = right["_leaf"].to_numpy()
+            keep = keep_low(low, left["_theta"].to_numpy(), left["_sure"].to_numpy()) | (left["_home"].to_numpy()[:, None] == leaf)
+            row, cell = np.nonzero(keep)
+            one = left.iloc[row]
+            return pd.DataFrame({"_qid": one["_qid"].to_numpy(), "_v": one["_v"].to_numpy(), "_leaf": leaf[cell], "_low": low[row, cell]})
+
+        return self._with_leaves(seen.withColumnRenamed("_leaf", "_top").drop("_low"), sub, f"_qid {kind}, _v array<double>, _leaf bigint, _low double")
+
+
+def _compare(seen: DataFrame, tree: _Tree, types: tuple[str, str], k: int, metric: str, max_value: float | None, exclude_same_id: bool, count_all: bool) -> DataFrame:
+    """(_qid, _nid, _val, _in): the k best rows of each leaf for each query that sees it, block by block."""
+    q_type, d_type = types
+    sizes = tree.sizes().join(seen.groupBy("_leaf").agg(F.count("*").alias("_m")), "_leaf")
+    sizes = checkpoint(
+        sizes.select("_leaf", F.ceil(F.col("_n") / tree.leaf_rows).cast("bigint").alias("_nd"), F.ceil(F.col("_m") / F.lit(CHUNK)).cast("bigint").alias("_nq"))
+    )
+    zero = F.lit(0).cast("bigint")
+    ds = tree.rows.drop("_far").join(sizes, "_leaf").withColumn("_db", F.pmod(F.xxhash64("_nid"), F.col("_nd")))
+    ds = ds.withColumn("_qb", F.explode(F.sequence(zero, F.col("_nq") - 1))).drop("_nd", "_nq")
+    qs = seen.select("_qid", "_v", "_leaf").join(sizes, "_leaf").withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nq")))
+    qs = qs.withColumn("_db", F.explode(F.sequence(zero, F.col("_nd") - 1))).drop("_nd", "_nq")
+    q_dtype, d_dtype = ("object" if t == "string" else "int64" for t in (q_type, d_type))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("_nid", kind="stable")  # columns ascend by id: ties by id
+            nids, qids = right["_nid"].to_numpy(), left["_qid"].to_numpy()
+            mine, theirs = _matrix(left["_v"]), _matrix(right["_v"])
+            step = max(1, (1 << 22) // len(theirs))
+            for lo in range(0, len(mine), step):
+                part, ids = mine[lo : lo + step], qids[lo : lo + step]
+                same = ids[:, None] == nids[None, :] if exclude_same_id else None
+                row, col, value = _best(part, theirs, same, k, metric, max_value)
+                total = np.zeros(len(row), np.int64)
+                if count_all and len(row):
+                    hit = _distance(part, theirs, metric) <= max_value
+                    if same is not None:
+                        hit &= ~same
+                    first = np.concatenate(([True], row[1:] != row[:-1]))
+                    total[first] = hit.sum(1)[row[first]]
+                out.append((ids[row], nids[col], value, total))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], [], []]
+        kinds = (q_dtype, d_dtype, "float64", "int64")
+        return pd.DataFrame({n: pd.Series(c, dtype=t) for n, c, t in zip(("_qid", "_nid", "_val", "_in"), columns, kinds)})
+
+    keys = ["_leaf", "_db", "_qb"]
+    return qs.groupBy(*keys).cogroup(ds.groupBy(*keys)).applyInPandas(compare, f"_qid {q_type}, _nid {d_type}, _val double, _in bigint")
+
+
 def knn_vectors(
     queries: DataFrame,
     data: DataFrame,
@@ -258,160 +490,52 @@ def knn_vectors(
     eps: float = 0.0,
     max_visited: int | None = None,
     block_rows: int | None = None,
-    max_pivots: int = 512,
     count_in_range: bool = False,
 ) -> DataFrame:
     """k best data vectors per query: (qid, nid, value, rank), ties by id.
 
     ``value`` is the squared distance or, for "dot", the negative dot product.
     ``max_value`` keeps values at most that large and, with ``count_in_range``, adds
-    ``n_in_range`` over all matches, not only the k returned.  ``eps`` allows results
+    ``n_in_range`` over all matches, not only the k returned.  ``eps`` (distances only) allows results
     (1 + eps) times farther than the exact ones; ``max_visited`` stops a query after
-    so many compared rows, as the approximate search it models does.
+    so many compared rows, nearest leaves first, as the approximate search it models does.
+
+    A query is compared with the leaf it falls into, which bounds its k-th value, and then only with
+    the leaves that can hold something better.
     """
+    if eps and metric != "l2":
+        raise ValueError("eps is a factor on distances; it has no meaning for dot products")
     n = data.count()
-    if n < k + int(exclude_same_id):
-        raise ValueError(f"k={k} needs more rows than the {n} available")
-    if block_rows is None:
-        # large blocks copy less data between tasks, small ones keep all cores busy
-        cores = data.sparkSession.sparkContext.defaultParallelism
-        block_rows = int(min(8192, max(512, n // (4 * cores))))
-    n_pivots = int(min(max_pivots, max(1, -(-n // block_rows))))
-    picked = data.select(did, dvec).orderBy(F.xxhash64(did), did).limit(n_pivots).collect()
-    pivots = np.array([r[dvec] for r in picked], dtype=np.float64)  # at most max_pivots rows
-    d_type = data.schema[did].dataType.simpleString()
-    q_type = queries.schema[qid].dataType.simpleString()
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vec = _matrix(pdf["_v"])
-            d2 = _distance(vec, pivots, "l2") if len(pdf) else np.zeros((0, len(pivots)))
-            cell = d2.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            pdf["_cell"] = cell.astype("int32")
-            pdf["_far"] = np.sqrt(d2[np.arange(len(pdf)), cell])
-            yield pdf
-
-    placed = spread(data).select(F.col(did).alias("_nid"), F.col(dvec).cast("array<double>").alias("_v")).mapInPandas(
-        place, f"_nid {d_type}, _v array<double>, _cell int, _far double"
-    )
-    placed = checkpoint(placed)
-    stats = {
-        r["_cell"]: (r["n"], r["far"])
-        for r in placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("far")).collect()
-    }  # at most max_pivots rows
-    live = np.array(sorted(stats))
-    size = np.array([stats[c][0] for c in live])
-    radius = np.array([stats[c][1] for c in live]) * (1.0 + 1e-9)
-    centre = pivots[live]
     need = k + int(exclude_same_id)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            low, high = _bounds(_matrix(pdf["_v"]), centre, radius, metric)
-            order = np.argsort(high, axis=1, kind="stable")
-            seen = np.cumsum(size[order], axis=1)
-            upto = (seen < need).sum(axis=1)  # index of the cell that completes k rows
-            theta = np.take_along_axis(high, order, 1)[np.arange(len(pdf)), upto]
-            if metric == "l2" and eps > 0:
-                must = np.arange(len(live))[None, :] <= upto[:, None]
-                keep = low * (1.0 + eps) ** 2 <= theta[:, None]
-                np.put_along_axis(keep, order, np.take_along_axis(keep, order, 1) | must, 1)
-            else:
-                keep = low <= theta[:, None]
-            if max_value is not None:
-                keep = low <= max_value if count_in_range else keep & (low <= max_value)
-            if max_visited is not None:
-                by_low = np.argsort(low, axis=1, kind="stable")
-                before = np.cumsum(size[by_low], axis=1) - size[by_low]
-                room = np.empty_like(keep)
-                np.put_along_axis(room, by_low, before < max_visited, 1)
-                keep &= room
-            pdf["_cells"] = [live[row].astype("int32").tolist() for row in keep]
-            yield pdf
-
-    routed = spread(queries).select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v")).mapInPandas(
-        route, f"_qid {q_type}, _v array<double>, _cells array<int>"
-    )
-    routed = checkpoint(routed)
-    load = {
-        r["_cell"]: r["n"]
-        for r in routed.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()
-    }  # at most max_pivots rows
-    cells_n = len(pivots)
-    d_blocks = F.array(*[F.lit(int(-(-stats[c][0] // block_rows)) if c in stats else 1) for c in range(cells_n)])
-    q_blocks = F.array(*[F.lit(int(max(1, -(-load.get(c, 0) // block_rows)))) for c in range(cells_n)])
-    nd, nq = F.get(d_blocks, F.col("_cell")), F.get(q_blocks, F.col("_cell"))
-    ds = (
-        placed.drop("_far")
-        .withColumn("_db", F.pmod(F.xxhash64("_nid"), nd).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), nq - 1)))
-    )
-    qs = (
-        routed.withColumn("_cell", F.explode("_cells"))
-        .drop("_cells")
-        .withColumn("_qb", F.pmod(F.xxhash64("_qid"), nq).cast("int"))
-        .withColumn("_db", F.explode(F.sequence(F.lit(0), nd - 1)))
-    )
-    q_dtype, d_dtype = ("object" if t == "string" else "int64" for t in (q_type, d_type))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = {"_qid": [], "_nid": [], "_val": [], "_in": []}
-        if len(left) and len(right):
-            right = right.sort_values("_nid", kind="stable")
-            nids, qids = right["_nid"].to_numpy(), left["_qid"].to_numpy()
-            mine, theirs = _matrix(left["_v"]), _matrix(right["_v"])
-            step = _rows_at_once(theirs)
-            for i, one in enumerate(qids):
-                if i % step == 0:
-                    val = _distance(mine[i : i + step], theirs, metric)
-                row = val[i % step]
-                ok = np.ones(len(row), dtype=bool)
-                if max_value is not None:
-                    ok &= row <= max_value
-                if exclude_same_id:
-                    ok &= nids != one
-                where = np.flatnonzero(ok)
-                if not len(where):
-                    continue
-                if len(where) > k:
-                    cut = np.partition(row[where], k - 1)[k - 1]
-                    best = where[row[where] <= cut]
-                else:
-                    best = where
-                best = best[np.argsort(row[best], kind="stable")][:k]  # nids ascend: ties by id
-                cols["_qid"] += [one] * len(best)
-                cols["_nid"] += nids[best].tolist()
-                cols["_val"] += row[best].tolist()
-                cols["_in"] += [len(where)] + [0] * (len(best) - 1)
-        return pd.DataFrame(
-            {
-                "_qid": pd.Series(cols["_qid"], dtype=q_dtype),
-                "_nid": pd.Series(cols["_nid"], dtype=d_dtype),
-                "_val": pd.Series(cols["_val"], dtype="float64"),
-                "_in": pd.Series(cols["_in"], dtype="int64"),
-            }
-        )
-
-    keys = ["_cell", "_db", "_qb"]
-    part = (
-        qs.groupBy(*keys)
-        .cogroup(ds.groupBy(*keys))
-        .applyInPandas(compare, f"_qid {q_type}, _nid {d_type}, _val double, _in bigint")
-    )
-    w = Window.partitionBy("_qid").orderBy("_val", "_nid")
+    if n < need:
+        raise ValueError(f"k={k} needs more rows than the {n} available")
+    types = tuple(df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (data, did)))
+    q = checkpoint(spread(queries.select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v"))))
+    tree = _Tree(data.select(F.col(did).alias("_nid"), F.col(dvec).cast("array<double>").alias("_v")), n, block_rows or LEAF_ROWS)
+    if tree.leaves_n == 1:
+        seen = q.withColumns({"_leaf": F.lit(0).cast("bigint"), "_low": F.lit(0.0)})
+    elif count_in_range:  # all that is in range counts, so only the range bounds
+        seen = tree.visits(q.withColumns({"_theta": F.lit(math.inf), "_home": F.lit(0).cast("bigint")}), types[0], metric, n, 0.0, max_value)
+    else:
+        home = checkpoint(tree.home(q, types[0]))
+        near = _compare(home, tree, types, need, metric, None, False, False)
+        theta = near.groupBy("_qid").agg(F.count("*").alias("_n"), F.get(F.array_sort(F.collect_list("_val")), F.lit(need - 1)).alias("_kth"))
+        known = home.join(theta, "_qid", "left").select("_qid", "_v", F.coalesce("_kth", F.lit(math.inf)).alias("_theta"), F.col("_leaf").alias("_home"))
+        seen = tree.visits(known, types[0], metric, need, eps, max_value)
+    seen = checkpoint(seen)
+    if max_visited is not None:
+        before = F.sum("_n").over(Window.partitionBy("_qid").orderBy("_low", "_leaf").rowsBetween(Window.unboundedPreceding, -1))
+        seen = checkpoint(seen.join(tree.sizes(), "_leaf").withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < max_visited))
+    part = _compare(seen, tree, types, k, metric, max_value, exclude_same_id, count_in_range)
     extra = []
     if count_in_range:
         part = checkpoint(part)
         totals = part.groupBy("_qid").agg(F.sum("_in").alias("n_in_range"))
         extra = ["n_in_range"]
-    top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy("_val", "_nid"))).where(F.col("rank") <= k)
     if count_in_range:
         top = top.join(totals, "_qid")
-    return top.select(
-        F.col("_qid").alias(qid), F.col("_nid").alias("nid"), F.col("_val").alias("value"), "rank", *extra
-    )
+    return top.select(F.col("_qid").alias(qid), F.col("_nid").alias("nid"), F.col("_val").alias("value"), "rank", *extra)
 
 
 def nearest_boxes(

@@ -69,7 +69,16 @@ def graph_components_orders(spark, sf):
     return graph.components(e, "p", "o")
 
 
-@query("set_cover_greedy")
+# twin: step by step, the pairs that are left after each pick
+@query(
+    "set_cover_greedy",
+    "WITH RECURSIVE g AS (SELECT DISTINCT CAST(1 AS BIGINT) AS pick, l_orderkey AS s, l_partkey AS i FROM lineitem "
+    "WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL UNION ALL "
+    "SELECT a.pick + 1, a.s, a.i FROM g a CROSS JOIN (SELECT s AS best FROM g GROUP BY s ORDER BY COUNT(*) DESC, s LIMIT 1) b "
+    "LEFT JOIN g h ON h.s = b.best AND h.i = a.i WHERE h.i IS NULL), "
+    "n AS (SELECT pick, s, COUNT(*) AS gain FROM g GROUP BY pick, s) "
+    "SELECT pick, s AS l_orderkey, gain FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY pick ORDER BY gain DESC, s) = 1",
+)
 def set_cover_greedy(spark, sf):
     """Orders that together hold every part, in greedy order."""
     return cover.greedy_cover(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")

@@ -132,10 +132,14 @@ def test_far_queries_do_not_meet_a_whole_cluster(spark):
         assert sorted(got[i]) == sorted(np.argsort(d2, kind="stable")[:k].tolist())
 
 
+@pytest.mark.parametrize("one_level", [256, 2])
 @pytest.mark.parametrize("metric", ["l2", "dot"])
-def test_knn_vectors_blocks_and_pivots(spark, metric):
+def test_knn_vectors_blocks_and_pivots(spark, metric, one_level, monkeypatch):
+    """One and two levels of pivots, and copies that fall into one leaf."""
+    monkeypatch.setattr(knn, "ONE_LEVEL", one_level)
     rng = np.random.default_rng(3)
     base = np.concatenate([rng.normal(c, 0.3, (60, 8)) for c in (-2, 0, 3)])
+    base[100:140] = base[100]
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     d = spark.createDataFrame(rows, "did long, dvec array<double>")
     q = spark.createDataFrame(rows[::4], "qid long, qvec array<double>")
@@ -157,6 +161,8 @@ def test_knn_vectors_errors_eps_and_counts(spark):
     d2 = ((base[:, None] - base[None]) ** 2).sum(axis=2)
     want = {i: int((d2[i] <= 1.0).sum()) - 1 for i in range(80)}
     assert {r.qid: r.n_in_range for r in got.collect()} == {i: n for i, n in want.items() if n}
+    with pytest.raises(ValueError):
+        knn_vectors(q, d, 2, metric="dot", eps=0.5)
     near = knn_vectors(q, d, 3, eps=0.5, block_rows=16, exclude_same_id=True).collect()
     np.fill_diagonal(d2, np.inf)
     for r in near:
@@ -248,3 +254,18 @@ def test_patch_groups_count_copies(spark):
     p = spark.createDataFrame([(*r, 0.0, 0.0, 1.0, 1.0) for r in rows], "id long, x double, y double, z double, nx double, ny double, nz double, scale double")
     got = {r.id for r in drop_small_patch_groups(p, "id", 1.0, 0.3, 1.0, 2).collect()}
     assert got == {0, 1, 2, 3, 4, 5, 10, 11}
+
+
+def test_knn_vectors_visited_limit(spark):
+    """A limit on compared rows: always k rows, never better than exact, exact with a large limit."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(0, 1, (400, 6))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "did long, dvec array<double>")
+    q = d.toDF("qid", "qvec").where("qid % 10 = 0")
+    d2 = ((base[::10, None] - base[None]) ** 2).sum(axis=2)
+    want = np.sort(d2, axis=1)[:, 1:4]
+    for limit, exact in ((64, False), (10_000, True)):
+        rows = knn_vectors(q, d, 3, exclude_same_id=True, max_visited=limit, block_rows=16).collect()
+        got = np.array([r.value for r in sorted(rows, key=lambda r: (r.qid, r["rank"]))]).reshape(-1, 3)
+        assert (got >= want - 1e-9).all()
+        assert np.allclose(got, want) == exact
