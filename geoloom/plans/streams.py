@@ -25,18 +25,19 @@ def _stream(spark, sf):
     return reader.option("maxFilesPerTrigger", 64).parquet(sf)
 
 
-def _run(spark, sf, name, stream, conf=None):
-    """Run with state partitions sized to the data and the given settings, then restore them."""
-    parts = range_partitions(spark.read.parquet(f"{sf}/events.parquet"))
-    conf = {"spark.sql.shuffle.partitions": str(parts), **(conf or {})}
-    before = {k: spark.conf.get(k) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        return oplog.run_to_table(stream, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+def _run(spark, sf, name, build, conf=None):
+    """Run a stream in a session of its own, with state partitions sized to the data.
+
+    The settings are that session's alone, so streams that run at the same time do not disturb each other.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(range_partitions(own.read.parquet(f"{sf}/events.parquet"))))
+    for k, v in (conf or {}).items():
+        own.conf.set(k, v)
+    stream = build(own)
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    oplog.run_to_table(stream, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 # users are objects, purchases are queries; an error deletes the object, other events move it
@@ -51,17 +52,20 @@ def stream_oplog_state(spark, sf):
     e, v, kind = F.col("event_id"), F.col("value"), F.col("event_type")
     is_q = kind == "purchase"
     y = (e % 101).cast("double")
-    log = _stream(spark, sf).select(
-        e.alias("seq"),
-        F.when(is_q, oplog.QUERY).when(kind == "error", oplog.DELETE).otherwise(oplog.INSERT).alias("op"),
-        F.when(is_q, e).otherwise(F.col("user_id")).alias("id"),
-        F.when(is_q, v - 15).otherwise(v).alias("x1"),
-        F.when(is_q, y - 15).otherwise(y).alias("y1"),
-        F.when(is_q, v + 15).otherwise(v + 8).alias("x2"),
-        F.when(is_q, y + 15).otherwise(y + 6).alias("y2"),
-    )
-    salts = max(8, spark.sparkContext.defaultParallelism)
-    return _run(spark, sf, "oplog", oplog.live_set_answers(log, salts), KEYED)
+
+    def build(own):
+        log = _stream(own, sf).select(
+            e.alias("seq"),
+            F.when(is_q, oplog.QUERY).when(kind == "error", oplog.DELETE).otherwise(oplog.INSERT).alias("op"),
+            F.when(is_q, e).otherwise(F.col("user_id")).alias("id"),
+            F.when(is_q, v - 15).otherwise(v).alias("x1"),
+            F.when(is_q, y - 15).otherwise(y).alias("y1"),
+            F.when(is_q, v + 15).otherwise(v + 8).alias("x2"),
+            F.when(is_q, y + 15).otherwise(y + 6).alias("y2"),
+        )
+        return oplog.live_set_answers(log, 30.0)
+
+    return _run(spark, sf, "oplog", build, KEYED)
 
 
 @query(
@@ -69,14 +73,17 @@ def stream_oplog_state(spark, sf):
     with_sql("ev", "vers") + "SELECT user_id AS id, event_id AS seq, valid_from, valid_to, value FROM vers WHERE valid_to IS NOT NULL",
 )
 def stream_versions(spark, sf):
-    log = _stream(spark, sf).select(
-        F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "error", oplog.DELETE).otherwise(oplog.INSERT).alias("op"),
-        F.col("user_id").alias("id"),
-        micros("ts").alias("t"),
-        "value",
-    )
-    return _run(spark, sf, "versions", oplog.closed_versions(log), KEYED)
+    def build(own):
+        log = _stream(own, sf).select(
+            F.col("event_id").alias("seq"),
+            F.when(F.col("event_type") == "error", oplog.DELETE).otherwise(oplog.INSERT).alias("op"),
+            F.col("user_id").alias("id"),
+            micros("ts").alias("t"),
+            "value",
+        )
+        return oplog.closed_versions(log)
+
+    return _run(spark, sf, "versions", build, KEYED)
 
 
 def _timed(spark, sf):
@@ -98,8 +105,7 @@ WIN = with_sql("ev") + ", m AS (SELECT MAX(t) - 7200000000 AS wm FROM ev) "
     "GROUP BY 1, 2, wm HAVING t // 21600000000 * 21600000000 + 21600000000 <= wm".replace("HAVING t // 21600000000 * 21600000000", "HAVING MIN(t) // 21600000000 * 21600000000"),
 )
 def stream_cell_windows(spark, sf):
-    ev = _timed(spark, sf)
-    out = _run(spark, sf, "windows", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", None, "2 hours", "event_id"))
+    out = _run(spark, sf, "windows", lambda own: oplog.cell_windows(_timed(own, sf), "at", F.col("user_id") % 16, "6 hours", None, "2 hours", "event_id"))
     return out.select(_us("start").alias("start_us"), "cell", "n", F.round("total", 4).alias("total"))
 
 
@@ -109,8 +115,7 @@ def stream_cell_windows(spark, sf):
     "SELECT start_us, cell, COUNT(*) AS n, round(SUM(value), 4) AS total FROM s WHERE start_us + 21600000000 <= wm GROUP BY 1, 2",
 )
 def stream_cell_sliding(spark, sf):
-    ev = _timed(spark, sf)
-    out = _run(spark, sf, "sliding", oplog.cell_windows(ev, "at", F.col("user_id") % 16, "6 hours", "3 hours", "2 hours", "event_id"))
+    out = _run(spark, sf, "sliding", lambda own: oplog.cell_windows(_timed(own, sf), "at", F.col("user_id") % 16, "6 hours", "3 hours", "2 hours", "event_id"))
     return out.select(_us("start").alias("start_us"), "cell", "n", F.round("total", 4).alias("total"))
 
 
@@ -121,5 +126,5 @@ def stream_cell_sliding(spark, sf):
     "SELECT MIN(t) AS start_us, MAX(t) + 3600000000 AS end_us, cell, COUNT(*) AS n FROM k, m GROUP BY cell, sid, wm HAVING MAX(t) + 3600000000 <= wm",
 )
 def stream_cell_sessions(spark, sf):
-    out = _run(spark, sf, "sessions", oplog.cell_sessions(_timed(spark, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"), LOCAL_SESSIONS)
+    out = _run(spark, sf, "sessions", lambda own: oplog.cell_sessions(_timed(own, sf), "at", F.col("user_id") % 16, "1 hour", "2 hours"), LOCAL_SESSIONS)
     return out.select(_us("start").alias("start_us"), _us("end").alias("end_us"), "cell", "n")
