@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import release, slices
 from geoloom.llm.tokens import WordIds
 from geoloom.session import checkpoint
 
@@ -43,8 +43,12 @@ def _encoder(tokenizer: str) -> WordIds:
     return WordIds(tokenizer)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Token pieces of every document as unpacked sequences of one member each."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:
+    """Token pieces of every document as unpacked sequences of one member each.
+
+    With ``remember`` a worker keeps the words it has met for its next task, which saves time; without,
+    it gives their memory back, which suits workers that go on to other work.
+    """
     end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +64,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 columns = zip(*rows)
                 members = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEMBER_TYPE)], fields=list(MEMBER_TYPE))
                 yield _bins(np.arange(len(rows) + 1), members, np.zeros(len(rows), bool), np.arange(len(rows)))
+        if not remember:
+            del encode
+            _encoder.cache_clear()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, BINS)
@@ -134,16 +142,16 @@ def _round(bins: DataFrame, level: int, length: int) -> DataFrame:
     return bins.mapInArrow(run, BINS)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:
     """Place every token piece of ``docs`` in a sequence of at most ``length`` tokens.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.  A document is its token
     ids and the id 1, so a null or empty text is one token long; only longer documents than a
     sequence are cut.  Every row is a document of its own, repeated rows and null ids included.
-    No rows give no rows.  Other columns are ignored.
+    No rows give no rows.  Other columns are ignored.  For ``remember`` see ``pieces``.
     """
     level, parts = 1, []
-    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length), level, length))
+    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length, remember), level, length))
     before = None
     while True:
         parts.append(bins.where("done"))
