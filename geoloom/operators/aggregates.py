@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -371,9 +372,16 @@ def two_sided_distance(there: DataFrame, back: DataFrame, dist: str) -> DataFram
 
 
 def rank_with_ties(df: DataFrame, keys: Keys, order: Column | str, k: int) -> DataFrame:
-    """Rows of rank <= k per key; every tie at rank k stays."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k)
+    """Rows of rank <= k per key; every tie at rank k stays.
+
+    The k first rows of a key tell which values are in and their ranks; the rows are then found by value,
+    so that the ties of a key need not come together.
+    """
+    valued = df.withColumn("_order", F.col(order) if isinstance(order, str) else order)
+    first = valued.select(*keys, "_order").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).where(F.col("_n") <= k)
+    ranks = first.groupBy(*keys, "_order").agg(F.min("_n").alias("rank")).toDF(*[f"_k{i}" for i in range(len(keys))], "_v", "rank")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)] + [F.col("_order").eqNullSafe(F.col("_v"))]
+    return valued.join(ranks, reduce(Column.__and__, same)).select(*df.columns, "rank")
 
 
 def point_normals(pts: DataFrame, pid: str, axes: Keys, k: int = 12) -> DataFrame:

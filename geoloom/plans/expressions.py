@@ -96,13 +96,13 @@ def fn_sonar_project(spark, sf):
 @query(
     "fn_plane_distance",
     PTS + ", d AS (SELECT *, CASE WHEN l_linenumber = 7 THEN 0.0 ELSE least(abs(0.1 * x - 0.05 * y + 0.2 * z - 0.5) * 1.1, 1.0) END AS d, l_partkey % 100 / 100.0 AS nov FROM pts) "
-    f"SELECT {KEYS}, {r6('d * (1 - 0.66) + nov * 0.66', 'score')}, nov > 0.26 AS novel, d * (1 - 0.66) + nov * 0.66 > 0.26 AS changed FROM d",
+    f"SELECT {KEYS}, round(d * (1 - 0.66) + nov * 0.66, 9) + 0.0 AS score, nov > 0.26 AS novel, d * (1 - 0.66) + nov * 0.66 > 0.26 AS changed FROM d",
 )
 def fn_plane_distance(spark, sf):
     on = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(1.0)
     plane = [on * 0.1, on * -0.05, on * 0.2, on * -0.5]
     score, novel, changed = C.plane_novelty(G.cols("x", "y", "z"), plane, F.col("l_partkey") % 100 / 100.0)
-    return B.points(spark, sf).select(*KEY, rnd(score).alias("score"), novel.alias("novel"), changed.alias("changed"))
+    return B.points(spark, sf).select(*KEY, rnd(score, 9).alias("score"), novel.alias("novel"), changed.alias("changed"))
 
 
 def _cl(e: str) -> str:
