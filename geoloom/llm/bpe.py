@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.llm.tokens import load
 
 #: The split pattern of byte-level BPE (fixed value).
@@ -222,9 +222,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     special = special_words(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    split = rows.mapInArrow(lambda batches: _split(batches, special), ROWS)
+    split = rows.mapInArrow(tidy(lambda batches: _split(batches, special)), ROWS)
     by_word = split.repartition("bucket", "family").sortWithinPartitions("bucket", "family", "block")
-    coded = by_word.mapInArrow(lambda batches: _encode(batches, tokenizer), ROWS)
+    coded = by_word.mapInArrow(tidy(lambda batches: _encode(batches, tokenizer)), ROWS)
     by_block = coded.repartition("block").sortWithinPartitions("block", "bucket")
-    out = by_block.mapInArrow(lambda batches: _assemble(batches, tokenizer), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = by_block.mapInArrow(tidy(lambda batches: _assemble(batches, tokenizer)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

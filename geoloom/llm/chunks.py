@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 
 LEAST, USUAL, MOST = 24, 64, 512
 #: High bits that must be zero for a border before and after the usual length.
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.string())], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 _OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -174,9 +174,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(head):
                 yield _dealt(batch.take(pa.array(head)), (part[head] - 1) % len(first), True)
 
-    dealt = rows.mapInArrow(deal, "part int, guest boolean, o long, id long, t string")
+    dealt = rows.mapInArrow(tidy(deal), "part int, guest boolean, o long, id long, t string")
     placed = dealt.repartition(int(tasks), "part").sortWithinPartitions("part", "guest", "o", "t")
-    return placed.mapInArrow(_walk, _OUT).withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidy(_walk), _OUT).withColumnRenamed("id", id_col)
 
 
 def _dealt(batch: pa.RecordBatch, part: np.ndarray, guest: bool) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.session import checkpoint_root
 
 #: Pages of a host that its wrapper is inferred from, at most.
@@ -393,4 +393,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 )
 
     joined = rows.join(known, "host", "left").select("id", "url", "t", "wrapper")
-    return joined.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return joined.mapInArrow(tidy(run), "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

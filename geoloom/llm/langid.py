@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 
 #: Bytes of a window, and bytes by which windows overlap so that no filter misses a border.
 WINDOW, OVERLAP = 256, 4
@@ -203,4 +203,4 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import release, slices
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.llm.tokens import WordIds
 from geoloom.session import checkpoint
 
 LENGTH = 4096
 END_ID = 1
+#: Text whose new words are encoded together.
+WORDS_BYTES = 10 << 20
 #: Free tokens up to which a sequence counts as nearly full.
 SLACK = 8
 #: Items and pieces that a task packs at once.
@@ -54,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", WORDS_BYTES):
                 rows: list[tuple] = []
                 ids, begin = encode(part.column("t"))
                 for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
@@ -67,10 +69,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         if not remember:
             del encode
             _encoder.cache_clear()
-        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, BINS)
+    return rows.mapInArrow(tidy(run), BINS)
 
 
 def _bins(offsets: np.ndarray, members: pa.StructArray, done: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
@@ -139,7 +140,7 @@ def _round(bins: DataFrame, level: int, length: int) -> DataFrame:
         if items:
             yield _pack(held, length, base)
 
-    return bins.mapInArrow(run, BINS)
+    return bins.mapInArrow(tidy(run), BINS)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.llm.columns import unused
 from geoloom.session import checkpoint
 
@@ -169,7 +169,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = Non
 
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, _FOUND)
+    return rows.mapInArrow(tidy(run), _FOUND)
 
 
 def learn(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT) -> DataFrame:
@@ -278,4 +278,4 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
                 at = part.schema.get_field_index(text_col)
                 yield part.set_column(at, text_col, pa.array(out, pa.string())).select(names)
 
-    return rows.select(*docs.columns, own).mapInArrow(run, docs.schema)
+    return rows.select(*docs.columns, own).mapInArrow(tidy(run), docs.schema)

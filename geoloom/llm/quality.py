@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import SPACE, buffers, cover, gram_hashes, hashes, slices, split
+from geoloom.llm.arrow_text import SPACE, buffers, cover, gram_hashes, hashes, slices, split, tidy
 from geoloom.llm.trees import Forest, train
 
 WINDOW = 5
@@ -112,7 +112,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(s[k]) for k in STATS + MORE]], ["id", *STATS, *MORE])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in STATS + MORE))
+    return rows.mapInArrow(tidy(run), "id long, " + ", ".join(f"{k} long" for k in STATS + MORE))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Forest:
@@ -150,7 +150,7 @@ def assess(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     schema = "id long, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, kept boolean, score double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, model: Forest, text_col: str = "text", keep_score: float = KEEP_SCORE) -> DataFrame:
@@ -162,4 +162,4 @@ def keep(docs: DataFrame, model: Forest, text_col: str = "text", keep_score: flo
                 s = measure(part.column(text_col))
                 yield part.filter(pa.array(~base_failed(s) & (model.score(features(s)) >= keep_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.llm.columns import unused
 from geoloom.operators.graph import components
 from geoloom.session import checkpoint
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(tidy(run), "id long, fp long")
 
 
 def _masks(bits: int) -> np.ndarray:
@@ -209,9 +209,9 @@ def links(fps: DataFrame) -> DataFrame:
     high = F.expr("transform(" + ball.format("shiftrightunsigned(fp, 32)") + ", v -> v | 4294967296L)")
     variants = fps.select(F.explode(F.concat(low, high)).alias("key"), "fp")
     schema = "kind int, a long, b long"
-    met = checkpoint(variants.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, schema))
+    met = checkpoint(variants.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_meet), schema))
     wide = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    more = wide.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet_whole, schema)
+    more = wide.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_meet_whole), schema)
     return met.where("kind = 0").unionByName(more).select("a", "b").distinct()
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import MIX_A, SPACE, Words, buffers, gram_hashes, hashes, mix, release, runs, slices, split
+from geoloom.llm.arrow_text import MIX_A, SPACE, Words, buffers, gram_hashes, hashes, mix, runs, slices, split, tidy
 from geoloom.llm.columns import unused
 from geoloom.llm.fm import FMIndex
 from geoloom.session import checkpoint
@@ -102,7 +102,7 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
                     [pa.array(rid), pa.array(segs.key.view(np.int64)), pa.array(segs.digests().view(np.int64))], ["rid", "key", "digest"]
                 )
 
-    return docs.select("rid", "t").mapInArrow(run, "rid long, key long, digest long")
+    return docs.select("rid", "t").mapInArrow(tidy(run), "rid long, key long, digest long")
 
 
 def _wanted(docs: DataFrame, width: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _segments(rows: DataFrame, names: _Names, width: int, shards: int) -> DataFr
                 out += [(r % shards, None, None, None, r, h_, a, a + size) for r, h_, a in places]
             yield _batch(_KINDS, _ROWS, out)
 
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(tidy(run), _ROWS)
 
 
 def _search(segments: list[list], width: int) -> pa.RecordBatch:
@@ -248,7 +248,6 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 held[-1][3].append((rid, h, a))
     if held:
         yield _search(held, width)
-    release()
 
 
 def _cut(text: str | None, ranges: list[dict]) -> tuple[list[bytes], int]:
@@ -290,7 +289,7 @@ def _with_ranges(docs: DataFrame, text_col: str, id_col: str, width: int, shard_
     rows = dealt.join(keys, names.rid).withColumn(names.hash, F.xxhash64(text))
     found = (
         _segments(rows, names, width, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "sid")
-        .mapInArrow(lambda batches: _shards(batches, width), _FOUND)
+        .mapInArrow(tidy(lambda batches: _shards(batches, width)), _FOUND)
     )
     places = found.withColumnRenamed("rid", names.rid).repartition(tasks, names.rid)
     by_doc = places.groupBy(names.rid).agg(F.collect_set(F.struct("h", "a", "b")).alias(names.ranges))
@@ -318,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield part.set_column(at, text_col, pa.array(out, pa.string())).select(names)
 
     marked, ranges_col = _with_ranges(docs, text_col, id_col, width, shard_words)
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(tidy(run), docs.schema)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -342,4 +341,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marked, ranges_col = _with_ranges(rows, "text", "id", width, shard_words)
     marked = marked.select("id", "text", ranges_col)
-    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return marked.mapInArrow(tidy(run), "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)

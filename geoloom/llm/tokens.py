@@ -39,7 +39,7 @@ class WordIds:
     and frequent words stay.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         self.tokenizer, self.limit = load(path), limit
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
