@@ -3,7 +3,8 @@
 Each box has a level on every axis: the grid whose cell is just larger than the box there.  So it
 covers at most two cells per axis, whatever its size, and a box that is long on one axis only is
 listed in small cells on the others.  A pair meets, on each axis, on the coarser of its two levels,
-in the one cell that holds the low corner of the intersection, so no distinct is needed.
+in the one cell that holds the low corner of the intersection, so no distinct is needed.  If one side
+has many more rows, each of them is listed by its low corner only, and the other side reaches for it.
 
 Work is measured in pairs: the number of tasks comes from the candidate pairs of all cells, and a
 cell with more pairs than one task should see is cut into pieces on both sides.
@@ -18,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.session import spread, stored
 
@@ -25,8 +27,12 @@ from geoloom.session import spread, stored
 MIN_LEVEL = -12
 #: From this level on one cell holds everything, infinite boxes too.
 TOP_LEVEL = 1000
-#: Different level vectors per side; beyond it levels are merged, which widens cells.
+#: Different level vectors of a side, at most, and listings that a row needs on average for those of the
+#: other side; beyond it levels are merged, which widens cells.
 LEVEL_VECTORS = 48
+LISTINGS = 4
+#: From this ratio of rows on, the longer side is listed by its low corners alone.
+UNEVEN = 4
 #: Candidate pairs, and rows, that one task is meant to see.
 TASK_PAIRS = 4_000_000
 TASK_ROWS = 1_000_000
@@ -44,7 +50,8 @@ class Axis:
 
 
 def _level(lo: str, hi: str, cell: float) -> Column:
-    ratio = (F.col(hi) - F.col(lo)) / F.lit(cell)
+    # a hair more, so that no box is wider than its cell by rounding
+    ratio = (F.col(hi) - F.col(lo)) / F.lit(cell) * F.lit(1 + 1e-12)
     raw = F.when(ratio > 0, F.ceil(F.least(F.log2(ratio), F.lit(float(TOP_LEVEL))))).otherwise(MIN_LEVEL)
     return F.greatest(raw.cast("int"), F.lit(MIN_LEVEL))
 
@@ -57,16 +64,22 @@ def _merged(level: int, step: int) -> int:
     return -(-level // step) * step
 
 
-def _step(*sides: list[tuple[int, ...]]) -> int:
-    """Smallest step of levels that leaves few level vectors on both sides."""
+def _step(levels: list[tuple[int, ...]], limit: float) -> int:
+    """Smallest step of levels that leaves at most ``limit`` level vectors."""
     step = 1
-    while max(len({tuple(_merged(v, step) for v in vector) for vector in side}) for side in sides) > LEVEL_VECTORS:
+    while len({tuple(_merged(v, step) for v in vector) for vector in levels}) > max(1, limit):
         step += 1
+        if step > 2 * TOP_LEVEL:
+            break
     return step
 
 
-def _spread(df: DataFrame, bounds, tag: str, step: int, other: list[tuple[int, ...]]) -> DataFrame:
-    """One row per (levels, cells) where this row can meet a partner."""
+def _spread(df: DataFrame, bounds, tag: str, step: int, other: list[tuple[int, ...]], place: str) -> DataFrame:
+    """One row per (levels, cells) where this row can meet a partner.
+
+    ``place`` tells the cells: all that the box touches, only that of its low corner, or all where the
+    low corner of a partner can lie, which is a cell more on the low side, as no partner is wider.
+    """
     names = [f"_v{tag}{i}" for i in range(len(bounds))]
     for name, (lo, hi, cell) in zip(names, bounds):
         level = _level(lo, hi, cell)
@@ -77,7 +90,12 @@ def _spread(df: DataFrame, bounds, tag: str, step: int, other: list[tuple[int, .
     for i, (lo, hi, cell) in enumerate(bounds):
         first = _cell_of(F.col(lo), cell, F.col(f"_m{i}"))
         last = _cell_of(F.col(hi), cell, F.col(f"_m{i}"))
-        out = out.withColumn(f"_f{tag}{i}", first).withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_f{tag}{i}"), last)))
+        out = out.withColumn(f"_f{tag}{i}", first)
+        own = F.col(f"_f{tag}{i}")
+        if place == "corner":
+            out = out.withColumn(f"_c{i}", own)
+        else:
+            out = out.withColumn(f"_c{i}", F.explode(F.sequence(own - 1 if place == "reach" else own, last)))
     return out
 
 
@@ -138,9 +156,13 @@ def _within(df: DataFrame, bounds, ends) -> DataFrame:
 
 
 def listed(left: DataFrame, right: DataFrame, axes: Sequence[Axis], equal: Sequence[tuple[str, str]] = ()):
-    """(left, right, keys): both sides listed in the cells where they can meet; None if a side is empty."""
-    lb = [(a.llo, a.lhi, a.cell) for a in axes]
-    rb = [(a.rlo, a.rhi, a.cell) for a in axes]
+    """(left, right, keys, rows): both sides listed in the cells where they can meet; None if a side is empty.
+
+    ``rows`` are the numbers of rows before they are listed.
+    """
+    # cells a little wider than asked for, so that boxes of just that width stay on level 0
+    lb = [(a.llo, a.lhi, a.cell * (1 + 1e-6)) for a in axes]
+    rb = [(a.rlo, a.rhi, a.cell * (1 + 1e-6)) for a in axes]
     right, rn, rlevels, rends = _side(right, rb)
     if rn:
         left = _within(left, lb, rends)
@@ -148,14 +170,32 @@ def listed(left: DataFrame, right: DataFrame, axes: Sequence[Axis], equal: Seque
     if not ln or not rn:
         return None
     right = _within(right, rb, lends)
-    step = _step(llevels, rlevels)
-    merged = lambda vectors: sorted({tuple(_merged(v, step) for v in vector) for vector in vectors})
-    ls = _spread(spread(left), lb, "l", step, merged(rlevels))
-    rs = _spread(spread(right), rb, "r", step, merged(llevels))
+    # a row is listed once for each vector of the other side, so the longer side wants few of them there
+    steps = [_step(levels, min(LEVEL_VECTORS, LISTINGS * (ln + rn) / other)) for levels, other in ((llevels, rn), (rlevels, ln))]
+    merged = [sorted({tuple(_merged(v, step) for v in vector) for vector in levels}) for levels, step in zip((llevels, rlevels), steps)]
+    places = ("corner", "reach") if ln >= UNEVEN * rn else ("reach", "corner") if rn >= UNEVEN * ln else ("all", "all")
+    ls = _spread(spread(left), lb, "l", steps[0], merged[1], places[0])
+    rs = _spread(spread(right), rb, "r", steps[1], merged[0], places[1])
     for i, (lc, rc) in enumerate(equal):
         ls, rs = ls.withColumn(f"_e{i}", F.col(lc)), rs.withColumn(f"_e{i}", F.col(rc))
     every = range(len(axes))
-    return ls, rs, [*[f"_m{i}" for i in every], *[f"_c{i}" for i in every], *[f"_e{i}" for i in range(len(equal))]]
+    keys = [*[f"_m{i}" for i in every], *[f"_c{i}" for i in every], *[f"_e{i}" for i in range(len(equal))]]
+    return ls, rs, keys, (ln, rn)
+
+
+def _small(df: DataFrame, rows: int) -> bool:
+    """Whether so many rows stay below the session's broadcast threshold, by a generous width."""
+    width = 16 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else 64 for f in df.schema)
+    return rows * width <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _join_listed(ls: DataFrame, rs: DataFrame, keys: list[str], rows: tuple[int, int], task_pairs: int) -> DataFrame:
+    """Join both sides; a side whose listed rows are counted and few goes to every task."""
+    for side, other, n in sorted(((ls, rs, rows[0]), (rs, ls, rows[1])), key=lambda v: v[2])[:1]:
+        if _small(side, n) and _small(side, side.count()):
+            small = F.broadcast(side)
+            return small.join(other, keys) if side is ls else other.join(small, keys)
+    return paired_join(ls, rs, keys, task_pairs)
 
 
 def box_join(
@@ -175,11 +215,12 @@ def box_join(
     both = listed(left, right, axes, equal)
     if both is None:
         return left.join(right, F.lit(False))
-    pairs = paired_join(*both, task_pairs)
+    pairs = _join_listed(*both, task_pairs)
     every = range(len(axes))
     keep = [F.col(f"_m{i}") == F.greatest(f"_vl{i}", f"_vr{i}") for i in every]
-    # the cell of the low corner of the intersection is the larger of the two first cells
-    keep += [F.greatest(f"_fl{i}", f"_fr{i}") == F.col(f"_c{i}") for i in every]
+    if max(both[3]) < UNEVEN * min(both[3]):
+        # the cell of the low corner of the intersection is the larger of the two first cells
+        keep += [F.greatest(f"_fl{i}", f"_fr{i}") == F.col(f"_c{i}") for i in every]
     keep += [(F.col(a.llo) <= F.col(a.rhi)) & (F.col(a.rlo) <= F.col(a.lhi)) for a in axes]
     if predicate is not None:
         keep.append(predicate)

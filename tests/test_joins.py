@@ -26,10 +26,19 @@ def meet(a, b):
     return a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]
 
 
+@pytest.fixture(params=["10m", "-1"])
+def broadcasts(spark, request):
+    """With a side small enough for every task, and with both sides dealt."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("task_pairs", [50, 4_000_000])
-def test_box_join_equals_nested_loop(spark, hot, task_pairs):
-    (la, lc), (ra, rc) = boxes(300, "l", 1, hot), boxes(200, "r", 2, hot)
+@pytest.mark.parametrize("sizes", [(300, 200), (300, 40), (40, 300)])
+def test_box_join_equals_nested_loop(spark, broadcasts, hot, task_pairs, sizes):
+    (la, lc), (ra, rc) = boxes(*sizes[:1], "l", 1, hot), boxes(*sizes[1:], "r", 2, hot)
     axes = [Axis("lx1", "lx2", "rx1", "rx2", 2.0), Axis("ly1", "ly2", "ry1", "ry2", 3.0)]
     got = box_join(spark.createDataFrame(la, lc), spark.createDataFrame(ra, rc), axes, task_pairs=task_pairs)
     pairs = [(r.lid, r.rid) for r in got.select("lid", "rid").collect()]
@@ -44,9 +53,9 @@ def most_pairs(ls, rs, keys):
 
 def test_crowded_cell_is_cut_into_pieces(spark):
     """200,000 rows a side in one cell: no task gets much more than its pairs."""
-    left = spark.range(200_000).select(F.col("id").alias("l"), F.lit(0.25).alias("lx"))
+    left = spark.range(200_000).select(F.col("id").alias("l"), F.lit(0.25).alias("lx"), F.lit(0.75).alias("lh"))
     right = spark.range(200_000).select(F.col("id").alias("r"), F.lit(0.5).alias("rx"))
-    ls, rs, keys = listed(left, right, [Axis("lx", "lx", "rx", "rx", 1e6)])
+    ls, rs, keys, _ = listed(left, right, [Axis("lx", "lh", "rx", "rx", 1e6)])
     assert most_pairs(ls, rs, keys) == 200_000**2
     pl, pr, on, tasks = pieces(ls, rs, keys, 4_000_000)
     assert most_pairs(pl, pr, on) < 6_000_000 and tasks >= 10_000
@@ -60,18 +69,18 @@ def test_boxes_long_on_one_axis_stay_small_on_the_others(spark):
     )
     side = lambda t: boxes_.select(F.col("id").alias(t), *[c.alias(f"{t}{n}") for n, c in (("x1", F.col("x")), ("x2", F.col("x") + 1), ("y1", F.col("y")), ("y2", F.col("y") + 1), ("t1", F.col("s")), ("t2", F.col("e")))])
     axes = [Axis(f"l{c}1", f"l{c}2", f"r{c}1", f"r{c}2", 1.0) for c in "txy"]
-    ls, rs, keys = listed(side("l"), side("r"), axes)
+    ls, rs, keys, _ = listed(side("l"), side("r"), axes)
     assert most_pairs(ls, rs, keys) < 1000
 
 
-def test_levels_have_no_end(spark):
+def test_levels_have_no_end(spark, broadcasts):
     """Extents from nothing to 2^60 and infinity; each row is listed in two cells per axis and level at most."""
     inf = float("inf")
     rows = [(0, 0.0, 0.0), (1, -1.0, 2.0**60), (2, 5.0, 5.0 + 2.0**-30), (3, -inf, inf), (4, 2.0**40, 2.0**47), (5, -(2.0**46), 2.0**46)]
     left = spark.createDataFrame(rows, "l int, l1 double, l2 double")
     right = spark.createDataFrame(rows, "r int, r1 double, r2 double")
     axes = [Axis("l1", "l2", "r1", "r2", 1.0)]
-    ls, _, keys = listed(left, right, axes)
+    ls, _, keys, _ = listed(left, right, axes)
     assert ls.groupBy("l", "_m0").count().agg(F.max("count")).first()[0] <= 2
     got = {(r.l, r.r) for r in box_join(left, right, axes).select("l", "r").collect()}
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] <= b[2] and b[1] <= a[2]}
@@ -81,6 +90,7 @@ def test_box_join_empty_null_and_equal(spark):
     left = spark.createDataFrame([(1, 0.0, 1.0, "a"), (2, None, 1.0, "a")], "lid int, l1 double, l2 double, lk string")
     right = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, 0.5, 0.5, "b")], "rid int, r1 double, r2 double, rk string")
     axes = [Axis("l1", "l2", "r1", "r2", 1.0)]
+    assert listed(left.limit(0), right, axes) is None
     assert [tuple(r) for r in box_join(left, right, axes, equal=[("lk", "rk")]).select("lid", "rid").collect()] == [(1, 1)]
     assert box_join(left, right.limit(0), axes).count() == 0
 
@@ -96,7 +106,7 @@ def cloud(n, seed, clustered):
 
 @pytest.mark.parametrize("clustered", [False, True])
 @pytest.mark.parametrize("max_dist", [None, 4.0])
-def test_knn_points(spark, clustered, max_dist):
+def test_knn_points(spark, broadcasts, clustered, max_dist):
     q, d, k = cloud(60, 1, clustered), cloud(400, 2, clustered), 5
     qd = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(q)], "q long, x double, y double")
     dd = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(d)], "d long, u double, v double")
@@ -204,7 +214,7 @@ def test_version_history_hot_key_and_deletes(spark):
     assert got == want
 
 
-def test_moving_points_against_steps(spark):
+def test_moving_points_against_steps(spark, broadcasts):
     rng = random.Random(6)
     pts = [(i, rng.uniform(-30, 30), rng.choice([0.0, 1.5, -2.0, 0.1]), rng.uniform(-30, 30), rng.choice([0.0, 1.0, -3.0]), rng.uniform(0, 5)) for i in range(60)]
     rects = [(j, x := rng.uniform(-30, 20), x + 8, y := rng.uniform(-30, 20), y + 6, 0.0, rng.choice([5.0, 20.0])) for j in range(15)]
