@@ -163,11 +163,26 @@ WMOM = (
 @query(
     "agg_principal_axes",
     f"WITH {LP}{WMOM}{EIG3} SELECT l_returnflag, n, round(mx, 6) AS mx, round(my, 6) AS my, round(mz, 6) AS mz, "
-    "round(e1, 4) AS e1, round(e2, 4) AS e2, round(e3, 4) AS e3 FROM eig",
+    "round(e1, 4) AS e1, round(e2, 4) AS e2, round(e3, 4) AS e3, TRUE AS axes_fit FROM eig",
 )
 def agg_principal_axes(spark, sf):
-    out = agg.principal_axes(_line_points(spark, sf), ["l_returnflag"], XYZ, F.col("w"))
+    """Also whether each axis is a unit vector that the covariance only stretches, by its value."""
+    pts = _line_points(spark, sf)
+    out = agg.principal_axes(pts, ["l_returnflag"], XYZ, F.col("w"))
+    mom = agg.moments(pts, ["l_returnflag"], XYZ, F.col("w")).select("l_returnflag", *[f"c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
+    out = out.join(mom, "l_returnflag")
+    tests = []
+    for i in range(3):
+        v = [F.col("axes")[i][j] for j in range(3)]
+        tests.append(F.abs(v[0] * v[0] + v[1] * v[1] + v[2] * v[2] - 1) < 1e-9)
+        for a in XYZ:
+            row = sum((F.col("c" + "".join(sorted(a + b))) * v[j] for j, b in enumerate(XYZ)), start=F.lit(0.0))
+            tests.append(F.abs(row - F.col("values")[i] * v[XYZ.index(a)]) < 1e-6 * F.col("values")[0])
+    fit = tests[0]
+    for t in tests[1:]:
+        fit = fit & t
     return out.select(
+        fit.alias("axes_fit"),
         "l_returnflag",
         "n",
         *[rnd(f"m{c}").alias(f"m{c}") for c in XYZ],

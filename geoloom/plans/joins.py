@@ -194,15 +194,15 @@ def _ray_sql(r) -> str:
     (ox, oy, oz), (dx, dy, dz) = r["origin"], r["dir"]
     t = f"((x - {ox}) * {dx} + (y - {oy}) * {dy} + (z - {oz}) * {dz})"
     d2 = f"(pow(x - {ox} - {t} * {dx}, 2) + pow(y - {oy} - {t} * {dy}, 2) + pow(z - {oz} - {t} * {dz}, 2))"
-    return (
-        f"SELECT {r['id']} AS ray_id, (SELECT round(sqrt(MIN({d2})), 5) FROM pts WHERE {d2} < 900) AS dist"
-    )
+    near = f"(SELECT l_orderkey, l_linenumber, l_partkey, {d2} AS d2 FROM pts WHERE {d2} < 900 ORDER BY d2, l_orderkey, l_linenumber, l_partkey LIMIT 1)"
+    return f"SELECT {r['id']} AS ray_id, l_orderkey, l_linenumber, l_partkey, round(sqrt(d2), 5) AS dist FROM (SELECT 1) LEFT JOIN {near} ON TRUE"
 
 
 @query("nearest_to_ray", with_sql("pts") + " UNION ALL ".join(_ray_sql(r) for r in RAYS))
 def nearest_to_ray(spark, sf):
     pts = B.points(spark, sf).withColumn("pid", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
-    return joins.nearest_to_rays(pts, "xyz", "pid", RAYS, 30.0).select("ray_id", rnd("dist", 5).alias("dist"))
+    near = joins.nearest_to_rays(pts, "xyz", "pid", RAYS, 30.0)
+    return near.select("ray_id", "point_id.l_orderkey", "point_id.l_linenumber", "point_id.l_partkey", rnd("dist", 5).alias("dist"))
 
 
 @query(

@@ -138,3 +138,13 @@ def test_grid_triangles_without_slivers(spark):
     trimmed = mesh.triangulate_grid(grid, "col", "row", "vid", ["x", "y", "z"], slivers=False)
     touching = full.where("v0 = 55 or v1 = 55 or v2 = 55").count()
     assert full.count() == 162 and trimmed.count() == 162 - touching
+
+
+def test_normals_of_a_slanted_plane(spark):
+    rng = np.random.default_rng(7)
+    xy = rng.uniform(-5, 5, (300, 2))
+    n = np.array([0.36, -0.48, 0.8])
+    z = -(xy @ n[:2]) / n[2]
+    df = spark.createDataFrame([(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z))], "id long, x double, y double, z double")
+    for r in aggregates.point_normals(df, "id", ["x", "y", "z"], 8).collect():
+        assert np.allclose([r.nx, r.ny, r.nz], n, atol=1e-6) and abs(r.spread) < 1e-9
