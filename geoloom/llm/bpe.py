@@ -42,8 +42,12 @@ ROWS = "bucket int, family long, block long, a binary, b binary, c binary"
 _NAMES = ["bucket", "family", "block", "a", "b", "c"]
 
 
+#: Numbers below it take one byte at a position; others a class byte and two more.
+SHORT = 200
+
+
 def _squeeze(values) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes() if isinstance(values, np.ndarray) else values)
+    return zstandard.ZstdCompressor(level=9).compress(values.tobytes() if isinstance(values, np.ndarray) else values)
 
 
 def _restore(blob: bytes, dtype=None):
@@ -60,6 +64,27 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(_restore(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _ranks(ranks: np.ndarray) -> bytes:
+    """Word numbers by position, frequent words low: a byte for most, two more for the rest."""
+    if len(ranks) and ranks.max() >= SHORT + ((256 - SHORT) << 16):
+        return b"\0" + _planes(ranks)
+    long = ranks[ranks >= SHORT] - SHORT
+    first = ranks.copy()
+    first[ranks >= SHORT] = SHORT + (long >> 16)
+    parts = [_squeeze(v.astype(np.uint8)) for v in (first, long & 255, (long >> 8) & 255)]
+    return b"\1" + np.array([len(v) for v in parts], "<u8").tobytes() + b"".join(parts)
+
+
+def _from_ranks(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return _from_planes(blob[1:]).astype(np.int64)
+    at = 25 + np.concatenate(([0], np.cumsum(np.frombuffer(blob[1:25], "<u8").astype(np.int64))))
+    first, low, high = (_restore(blob[i:j], np.uint8).astype(np.int64) for i, j in zip(at[:-1], at[1:]))
+    long = first >= SHORT
+    first[long] = SHORT + ((first[long] - SHORT) << 16 | high << 8 | low)
+    return first
+
+
 def _row(bucket: int, block: int, a: bytes, b: bytes, c: bytes | None) -> pa.RecordBatch:
     values = [[bucket], [block // GROUP if bucket >= 0 else block], [block], [a], [b], [c]]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -100,7 +125,7 @@ class _Block:
         rank[order] = np.arange(len(order))
         known = np.array([d is not None for d in self.ids])
         doc = np.array([d or 0 for d in self.ids], np.int64)
-        yield _row(-1, block, _squeeze(np.concatenate([doc, known.astype(np.int64), size])), _planes(rank[codes]), None)
+        yield _row(-1, block, _squeeze(np.concatenate([doc, known.astype(np.int64), size])), _ranks(rank[codes]), None)
         words = [w.encode() for w in self.number]
         bucket = np.fromiter((crc32(w) % BUCKETS for w in words), np.int64, len(words))
         for k in range(BUCKETS):
@@ -170,7 +195,7 @@ def _join(rows: list[dict], tokenizer: str) -> pa.RecordBatch:
     pieces, digits = _pieces(tokenizer)
     head = next(r for r in rows if r["bucket"] < 0)
     doc, known, size = _restore(head["a"], np.int64).reshape(3, -1)
-    codes = _from_planes(head["b"])
+    codes = _from_ranks(head["b"])
     blocks = [(_from_planes(r["a"]), _from_planes(r["b"]).astype(np.int64), _from_planes(r["c"])) for r in rows if r["bucket"] >= 0]
     n = sum(len(b[2]) for b in blocks)
     pool = np.concatenate([np.zeros(0, "<u4"), *[b[0] for b in blocks]])
