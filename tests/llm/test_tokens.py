@@ -38,6 +38,13 @@ def test_word_ids_of_any_text(words, texts):
     check_words(words, texts)
 
 
+@pytest.mark.parametrize("top", [1, 199, 200, 70_000, 3_000_000, 4_000_000])
+def test_word_numbers_come_back(top):
+    numbers = np.concatenate([np.random.default_rng(top).integers(0, top + 1, 1000), [top]])
+    assert (bpe._from_ranks(bpe._ranks(numbers)) == numbers).all()
+    assert len(bpe._from_ranks(bpe._ranks(numbers[:0]))) == 0
+
+
 def slow_codes(tokenizer, text):
     ids = tokenizer.encode(text or "", add_special_tokens=False).ids
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
