@@ -3,7 +3,7 @@
 Words cannot be shuffled one by one within the disk allowance, so they travel by blocks.  A block
 is some 32 MB of text; it keeps, for every position, the number of the word that stands there, and
 sends its distinct words, dealt by hash into buckets, to the tables.  A table holds each distinct
-word of up to 64 blocks once, and each is encoded once; the ids go back to the block, where they
+word of the blocks of 64 partitions once, and each is encoded once; the ids go back to the block, where they
 are joined to the positions.  Decoding joins the ids to the pieces of the vocabulary, which is a
 table of fixed size.
 """
@@ -35,8 +35,9 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 
 BLOCK_CHARS = 32 << 20
 BUCKETS = 64
-#: Blocks that share tables.
+#: Partitions whose blocks share tables.  A block's number is its partition, shifted, and its place there.
 GROUP = 64
+SHIFT = 32
 
 ROWS = "bucket int, family long, block long, a binary, b binary, c binary"
 _NAMES = ["bucket", "family", "block", "a", "b", "c"]
@@ -86,7 +87,7 @@ def _from_ranks(blob: bytes) -> np.ndarray:
 
 
 def _row(bucket: int, block: int, a: bytes, b: bytes, c: bytes | None) -> pa.RecordBatch:
-    values = [[bucket], [block // GROUP if bucket >= 0 else block], [block], [a], [b], [c]]
+    values = [[bucket], [(block >> SHIFT) // GROUP], [block], [a], [b], [c]]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], _NAMES)
 
@@ -136,7 +137,7 @@ class _Block:
 
 
 def _split(batches: Iterator[pa.RecordBatch], special: list[str]) -> Iterator[pa.RecordBatch]:
-    base, held = TaskContext.get().partitionId() << 32, _Block(special)
+    base, held = TaskContext.get().partitionId() << SHIFT, _Block(special)
     for batch in batches:
         for part in slices(batch, "t"):
             for doc, text in zip(part.column("id").to_pylist(), part.column("t").to_pylist()):
@@ -248,8 +249,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     special = special_words(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     split = rows.mapInArrow(tidy(lambda batches: _split(batches, special)), ROWS)
-    by_word = split.repartition("bucket", "family").sortWithinPartitions("bucket", "family", "block")
+    # dealt by number, as the few and large groups would share partitions if they were dealt by hash
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.shiftright("block", SHIFT) + F.col("block").bitwiseAND((1 << SHIFT) - 1) * (tasks // 2 + 1)
+    table = F.when(F.col("bucket") >= 0, F.col("bucket") + F.col("family") * BUCKETS).otherwise(own)
+    by_word = split.repartitionById(tasks, F.pmod(table, F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", "family", "block")
     coded = by_word.mapInArrow(tidy(lambda batches: _encode(batches, tokenizer)), ROWS)
-    by_block = coded.repartition("block").sortWithinPartitions("block", "bucket")
+    by_block = coded.repartitionById(tasks, F.pmod(own, F.lit(tasks)).cast("int")).sortWithinPartitions("block", "bucket")
     out = by_block.mapInArrow(tidy(lambda batches: _assemble(batches, tokenizer)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
