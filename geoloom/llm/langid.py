@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import slices, tidy
+from geoloom.llm.columns import lowest_hashes
 
 #: Bytes of a window, and bytes by which windows overlap so that no filter misses a border.
 WINDOW, OVERLAP = 256, 4
@@ -177,7 +178,7 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Net | None:
     """A network from at most ``rows`` documents with text and language."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).where("t is not null and y is not null")
-    picked = known.orderBy(F.xxhash64("id"), "id", "t", "y").limit(rows).toPandas()
+    picked = lowest_hashes(known, "id", ["t", "y"], rows).toPandas()
     return train(picked["t"].tolist(), picked["y"].tolist())
 
 

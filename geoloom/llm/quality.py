@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import SPACE, buffers, cover, gram_hashes, hashes, slices, split, tidy
+from geoloom.llm.columns import lowest_hashes
 from geoloom.llm.trees import Forest, train
 
 WINDOW = 5
@@ -118,7 +119,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Forest:
     """Trees from at most ``rows`` labelled documents; without labels every document gets 0.5."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    known = lowest_hashes(known.groupBy("id").agg(F.max("y").alias("y")), "id", [], rows)
     # at most `rows` ids and labels are sent to all executors
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")
     table = statistics(picked, "id", "t").join(F.broadcast(known), "id").toPandas().sort_values(["id", *STATS])
