@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import slices, tidy
+from geoloom.llm.arrow_text import SLICE_BYTES, slices, tidy
 from geoloom.llm.tokens import WordIds
 from geoloom.session import checkpoint
 
@@ -27,6 +27,8 @@ LENGTH = 4096
 END_ID = 1
 #: Text whose new words are encoded together.
 WORDS_BYTES = 10 << 20
+#: Words that a worker remembers, and those it has at hand where it must not hold much.
+MANY_WORDS, FEW_WORDS = 800_000, 100_000
 #: Free tokens up to which a sequence counts as nearly full.
 SLACK = 8
 #: Items and pieces that a task packs at once.
@@ -41,22 +43,22 @@ MEMBER_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start"
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer: str) -> WordIds:
-    return WordIds(tokenizer)
+def _encoder(tokenizer: str, words: int) -> WordIds:
+    return WordIds(tokenizer, words)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:
     """Token pieces of every document as unpacked sequences of one member each.
 
-    With ``remember`` a worker keeps the words it has met for its next task, which saves time; without,
-    it gives their memory back, which suits workers that go on to other work.
+    With ``remember`` a worker takes large slices and keeps the words it has met for its next task, which
+    saves time; without, it holds little and gives that back, which suits workers that do other work too.
     """
     end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, MANY_WORDS if remember else FEW_WORDS)
         for batch in batches:
-            for part in slices(batch, "t", WORDS_BYTES):
+            for part in slices(batch, "t", WORDS_BYTES if remember else SLICE_BYTES):
                 rows: list[tuple] = []
                 ids, begin = encode(part.column("t"))
                 for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):

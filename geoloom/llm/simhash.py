@@ -13,6 +13,7 @@ is left; what meets then is linked without comparing pairs.  Both steps are exac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,8 @@ PAIRWISE = 64
 #: Fingerprints under one variant whose balls are kept in one task; larger groups are
 #: shuffled on the whole midpoint.
 LOCAL_BALL = 20_000
+#: Midpoints that a task holds at once.
+BALL_ROWS = 500_000
 
 
 def text_fingerprint(text: str | None, width: int = 4) -> int:
@@ -66,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(tidy(run), "id long, fp long")
 
 
+@cache
 def _masks(bits: int) -> np.ndarray:
     """All 32-bit masks with at most ``bits`` ones."""
     return np.array([sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(32), k)], np.uint64)
@@ -113,8 +117,27 @@ def _stars(mid: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mid, fp = mid[order], fp[order]
     head = np.concatenate(([True], mid[1:] != mid[:-1])) if len(mid) else np.zeros(0, bool)
     low = fp[np.flatnonzero(head)][np.cumsum(head) - 1]
-    link = np.unique(np.stack([low, fp], 1)[low != fp], axis=0)
-    return link[:, 0], link[:, 1]
+    link = low != fp
+    return low[link], fp[link]
+
+
+def _local_links(fp: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a group by its midpoints, a class of midpoints at a time, so that memory is bounded."""
+    classes = max(1, -(-len(fp) * len(_masks(2)) // BALL_ROWS))
+    xs, ys = [], []
+    for c in range(classes):
+        mids, fps = [], []
+        for at in range(0, len(fp), 1024):
+            mid, of = _midpoints(fp[at : at + 1024], key)
+            if classes > 1:
+                mine = (mid * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(classes) == c
+                mid, of = mid[mine], of[mine]
+            mids.append(mid)
+            fps.append(of)
+        x, y = _tree(*_stars(np.concatenate(mids), np.concatenate(fps)))
+        xs.append(x)
+        ys.append(y)
+    return _tree(np.concatenate(xs), np.concatenate(ys))
 
 
 def _tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +191,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(fp) <= PAIRWISE:
             x, y = _close_pairs(np.sort(fp), key)
         elif len(fp) <= LOCAL_BALL:
-            x, y = _tree(*_stars(*_midpoints(fp, key)))
+            x, y = _local_links(fp, key)
         else:
             for at in range(0, len(fp), 4096):
                 yield _rows(1, *_midpoints(fp[at : at + 4096], key))
