@@ -52,9 +52,10 @@ def test_fingerprints(sample, spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c d", 42)
 
 
-@pytest.mark.parametrize("pairwise,ball", [(64, 20_000), (2, 20_000), (2, 3)])
-def test_links_find_every_pair_within_four_bits(spark, monkeypatch, pairwise, ball):
-    """Through compared pairs, local balls and shuffled balls alike."""
+@pytest.mark.parametrize("pairwise,ball,held", [(64, 20_000, 500_000), (2, 20_000, 500_000), (2, 20_000, 3_000), (2, 3, 500_000)])
+def test_links_find_every_pair_within_four_bits(spark, monkeypatch, pairwise, ball, held):
+    """Through compared pairs, local balls at once and by classes, and shuffled balls alike."""
+    monkeypatch.setattr(simhash, "BALL_ROWS", held)
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     monkeypatch.setattr(simhash, "LOCAL_BALL", ball)
     rng, fps = random.Random(5), set()
