@@ -28,7 +28,7 @@ END_ID = 1
 #: Text whose new words are encoded together.
 WORDS_BYTES = 10 << 20
 #: Words that a worker remembers, and those it has at hand where it must not hold much.
-MANY_WORDS, FEW_WORDS = 800_000, 100_000
+MANY_WORDS, FEW_WORDS = 800_000, 50_000
 #: Free tokens up to which a sequence counts as nearly full.
 SLACK = 8
 #: Items and pieces that a task packs at once.
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer, MANY_WORDS if remember else FEW_WORDS)
         for batch in batches:
-            for part in slices(batch, "t", WORDS_BYTES if remember else SLICE_BYTES):
+            for part in slices(batch, "t", WORDS_BYTES if remember else SLICE_BYTES // 2):
                 rows: list[tuple] = []
                 ids, begin = encode(part.column("t"))
                 for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
