@@ -3,33 +3,39 @@
 A page is a stream of tags and texts.  Streams of the same host are aligned one after another into
 a wrapper, an expression without unions: what repeats side by side becomes a repeated group, what
 one page has and another has not becomes an optional group, and texts that differ become slots.
-The wrapper then says of every text slot whether it is main text, from the containers it stands in
-and from how it varies between pages.  Pages are matched against the wrapper of their host.
+Every page of a host takes part: pages of the same structure are put together first, then the
+structures are aligned in rounds.  The wrapper says of every container path of the host whether its
+texts vary between pages, and which containers hold the main text of which pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.arrow_text import slices, tidy
-from geoloom.session import checkpoint_root
+from geoloom.session import checkpoint, checkpoint_root
 
-#: Pages of a host that its wrapper is inferred from, at most.
-SAMPLE = 8
-#: Tokens of a repeated group, at most.
-PERIOD = 16
+#: Wrappers of a host that a round aligns in one group, on average.
+FAN_IN = 16
+#: Tokens of the structures that a task holds before it sends them on.
+HELD_NODES = 1 << 18
 #: Share of a host's varying text that the main container must hold where no tag names it.
 MAIN_SHARE = 0.6
 
@@ -89,43 +95,57 @@ def _stream(toks: list[tuple[str, str]]) -> list[int]:
 
 
 class Node:
-    """A tag, a text or a repeated group; ``group`` numbers the optional group it belongs to."""
+    """A tag, a text or a repeated group; ``group`` numbers the optional group it belongs to.
 
-    __slots__ = ("body", "chars", "group", "key", "keep", "text")
+    ``text`` is the hash of a text, None where texts differ; ``paths`` has the characters of a text
+    and those of them in links, by the container path that they have on their page.
+    """
+
+    __slots__ = ("body", "group", "key", "keep", "paths", "text")
 
-    def __init__(self, key: str, text: str | None = None, body: list[Node] | None = None, chars: int = 0):
-        self.key, self.text, self.body, self.chars = key, text, body, chars
+    def __init__(self, key: str, text: int | None = None, body: list[Node] | None = None, paths: dict[str, list[int]] | None = None):
+        self.key, self.text, self.body, self.paths = key, text, body, paths
         self.group: int | None = None
         self.keep = False
 
 
 def _merge(a: Node, b: Node) -> None:
     """b's evidence into a, which has the same key."""
-    a.chars += b.chars
     if a.text != b.text:
         a.text = None
+    for path, (chars, linked) in (b.paths or {}).items():
+        mine = a.paths.setdefault(path, [0, 0])
+        mine[0] += chars
+        mine[1] += linked
     for x, y in zip(a.body or (), b.body or ()):
         _merge(x, y)
 
 
 def fold_repeats(nodes: list[Node]) -> list[Node]:
-    """Repetitions side by side as groups, shortest period first, until none is left."""
-    for period in range(1, PERIOD + 1):
-        keys, out, i = [n.key for n in nodes], [], 0
-        while i < len(nodes):
-            j = i + period
-            while keys[i : i + period] == keys[j : j + period] and j + period <= len(nodes):
-                j += period
-            if j == i + period or not any(k[0] in "#(" for k in keys[i : i + period]):
-                out.append(nodes[i])
-                i += 1
-                continue
+    """Repetitions side by side as groups, shortest period first, whatever the period."""
+    names: dict[str, int] = {}
+    number = lambda nodes: np.array([names.setdefault(n.key, len(names)) for n in nodes], np.int64)
+    keys, period = number(nodes), 1
+    while 2 * period <= len(nodes):
+        same = np.flatnonzero(np.diff(np.concatenate(([0], keys[:-period] == keys[period:], [0]))))
+        # runs of places that equal the place a period later; a repetition needs a whole period of them
+        runs = [(x, y) for x, y in zip(same[::2].tolist(), same[1::2].tolist()) if y - x >= period]
+        out, done = [], 0
+        for x, y in runs:
+            i = max(x, done)
+            times = (y - i) // period + 1
             body = nodes[i : i + period]
-            for k in range(i + period, j):
+            if times < 2 or not any(n.key[0] in "#(" for n in body):
+                continue
+            for k in range(i + period, i + times * period):
                 _merge(body[(k - i) % period], nodes[k])
+            out += nodes[done:i]
             out.append(Node("(" + "".join(n.key for n in body) + ")+", body=body))
-            i = j
-        nodes = out
+            done = i + times * period
+        if done:
+            nodes = out + nodes[done:]
+            keys = number(nodes)
+        period += 1
     return nodes
 
 
@@ -134,8 +154,12 @@ def _fold_known(nodes: list[Node], groups: list[Node]) -> list[Node]:
     for g in sorted(groups, key=lambda g: -len(g.body)):
         want, out, i = [n.key for n in g.body], [], 0
         while i < len(nodes):
-            if [n.key for n in nodes[i : i + len(want)]] == want:
-                out.append(Node(g.key, body=nodes[i : i + len(want)]))
+            part = nodes[i : i + len(want)]
+            if [n.key for n in part] == want and len({n.group for n in part}) == 1:
+                out.append(Node(g.key, body=part))
+                out[-1].group = part[0].group
+                for n in part:
+                    n.group = None
                 i += len(want)
             else:
                 out.append(nodes[i])
@@ -145,31 +169,49 @@ def _fold_known(nodes: list[Node], groups: list[Node]) -> list[Node]:
 
 
 def page_nodes(page: str) -> list[Node]:
-    toks = tokens(page)
-    nodes = [Node(toks[i][0], toks[i][1].strip() if toks[i][0] == "#" else None, None, len(toks[i][1].strip())) for i in _stream(toks)]
+    toks, path, nodes = tokens(page), _Path(), []
+    for i in _stream(toks):
+        key, text = toks[i]
+        if key == "#":
+            text = text.strip()
+            nodes.append(Node(key, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")), None, {path.name(): [len(text), len(text) * path.links]}))
+        else:
+            path.step(key)
+            nodes.append(Node(key))
     return fold_repeats(nodes)
 
 
 def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The wrapper made to cover one more page."""
+    """The wrapper made to cover one more page, or another wrapper."""
     repeats = lambda nodes: [n for n in nodes if n.body]
     page = _fold_known(page, repeats(wrapper))
     wrapper = _fold_known(wrapper, repeats(page))
-    fresh = max((n.group for n in wrapper if n.group is not None), default=-1) + 1
     out: list[Node] = []
+    fresh, last = -1, None
+
+    def put(n: Node, belongs: tuple) -> None:
+        """A node that is optional here; those that come and go together are one group."""
+        nonlocal fresh, last
+        if belongs != last:
+            fresh, last = fresh + 1, belongs
+        n.group = fresh
+        out.append(n)
+
     matcher = SequenceMatcher(None, [n.key for n in wrapper], [n.key for n in page], autojunk=False)
-    for what, a, b, c, d in matcher.get_opcodes():
+    for block, (what, a, b, c, d) in enumerate(matcher.get_opcodes()):
         if what == "equal":
             for x, y in zip(wrapper[a:b], page[c:d]):
                 _merge(x, y)
-            out += wrapper[a:b]
+                if x.group is None and y.group is None:
+                    out.append(x)
+                    last = None
+                else:
+                    put(x, (block, x.group, y.group))
             continue
         for n in wrapper[a:b]:
-            n.group = fresh if n.group is None else n.group
+            put(n, (block, "wrapper", n.group))
         for n in page[c:d]:
-            n.group = fresh + 1
-        fresh += 2
-        out += wrapper[a:b] + page[c:d]
+            put(n, (block, "page", n.group))
     return out
 
 
@@ -183,12 +225,19 @@ class _Path:
     def __init__(self) -> None:
         self.open: list[str] = []
         self.links = 0
+        self._name: str | None = ""
+
+    def name(self) -> str:
+        if self._name is None:
+            self._name = "\0".join(self.open)
+        return self._name
 
     def step(self, key: str) -> None:
         name = _name(key)
         if name == "a":
             self.links = int(key[1] != "/")
         elif name in CONTAINERS:
+            self._name = None
             if key[1] != "/":
                 self.open.append(key)
             else:
@@ -222,54 +271,110 @@ def _aside(path: tuple[str, ...]) -> bool:
     return False
 
 
-def _texts(nodes: list[Node], path: _Path, found: list[tuple[Node, tuple[str, ...], int]]) -> None:
+def _texts(nodes: list[Node]) -> Iterator[Node]:
     for n in nodes:
         if n.body:
-            _texts(n.body, path, found)
+            yield from _texts(n.body)
         elif n.key == "#":
-            found.append((n, tuple(path.open), path.links))
-        else:
-            path.step(n.key)
-
-
-def judge(wrapper: list[Node], pages: int) -> dict[str, bool]:
-    """Mark the main texts of a wrapper; returns the verdict for each container path as well."""
-    found: list[tuple[Node, tuple[str, ...], int]] = []
-    _texts(wrapper, _Path(), found)
-    able = [(n, p, link) for n, p, link in found if not _aside(p)]
-    named = [x for x in able if any(map(_is_main, x[1]))]
-    if named:
-        chosen = named
-    else:
-        varies = [(n, p, link) for n, p, link in able if (n.text is None or pages == 1) and not link]
-        total, held = sum(n.chars for n, _, _ in varies), Counter()
-        for n, p, _ in varies:
-            for k in range(len(p) + 1):
-                held[p[:k]] += n.chars
-        best = max((p for p, v in held.items() if v >= MAIN_SHARE * total), key=len, default=())
-        links, text = Counter(), Counter()
-        for n, p, link in able:
-            text[p] += n.chars
-            links[p] += n.chars * link
-        # a container without varying text is part of the frame, and so is one that is mostly links
-        lively = {p for _, p, _ in varies if links[p] <= text[p] / 2}
-        chosen = [x for x in able if x[1][: len(best)] == best and x[1] in lively]
-    for n, _, _ in chosen:
-        n.keep = True
-    verdict: dict[str, bool] = {}
-    for n, p, _ in found:
-        verdict["".join(p)] = verdict.get("".join(p), False) or n.keep
-    return verdict
+            yield n
+
+
+def templates(nodes: list[Node]) -> dict[frozenset, dict[str, list[int]]]:
+    """Characters and those in links by container path, of pages by the set of their paths."""
+    sums: dict[str, list[int]] = {}
+    for n in _texts(nodes):
+        for name, (chars, linked) in n.paths.items():
+            mine = sums.setdefault(name, [0, 0])
+            mine[0] += chars
+            mine[1] += linked
+    return {frozenset(sums): sums}
+
+
+def _add(a: dict[frozenset, dict[str, list[int]]], b: dict[frozenset, dict[str, list[int]]]) -> None:
+    for names, sums in b.items():
+        mine = a.setdefault(names, {})
+        for name, (chars, linked) in sums.items():
+            had = mine.get(name, (0, 0))
+            mine[name] = [had[0] + chars, had[1] + linked]
+
+
+def _parts_of(name: str) -> tuple[str, ...]:
+    return tuple(name.split("\0")) if name else ()
+
+
+@lru_cache(maxsize=65536)
+def _named(name: str) -> bool:
+    """A path whose containers name the main text."""
+    path = _parts_of(name)
+    return any(map(_is_main, path)) and not _aside(path)
+
+
+def _under(name: str, main: str) -> bool:
+    return not main or name == main or name.startswith(main + "\0")
+
+
+def judge(wrapper: list[Node], kinds: dict[frozenset, dict[str, list[int]]], pages: int) -> dict:
+    """Paths with varying text, and the containers of main text, most common first.
+
+    Pages whose containers name the main text need neither.  Of the others, the deepest container
+    with most of their varying text is the first; pages that have none of it give the next, and so
+    on until every page with varying text has its own.  ``pages`` is the number of different pages;
+    of a single one every text counts as varying.
+    """
+    text, links, varies = Counter(), Counter(), Counter()
+    for n in _texts(wrapper):
+        for name, (chars, linked) in n.paths.items():
+            text[name] += chars
+            links[name] += linked
+            if (n.text is None or pages == 1) and chars > linked:
+                varies[name] += chars - linked
+    # a container without varying text is part of the frame, and so is one that is mostly links
+    lively = {name for name in varies if links[name] <= text[name] / 2 and not _aside(_parts_of(name))}
+    mains: list[str] = []
+    rest = [sums for names, sums in kinds.items() if not any(map(_named, names))]
+    while rest := [sums for sums in rest if any(name in lively and not any(_under(name, m) for m in mains) for name in sums) and not any(name in lively and _under(name, m) for name in sums for m in mains)]:
+        total, held = 0.0, Counter()
+        for sums in rest:
+            for name, (chars, linked) in sums.items():
+                if name in lively:
+                    weight = (chars - linked) * varies[name] / max(1, text[name] - links[name])
+                    total += weight
+                    path = _parts_of(name)
+                    for k in range(len(path) + 1):
+                        held["\0".join(path[:k])] += weight
+        mains.append(max((m for m, v in held.items() if v >= MAIN_SHARE * total * (1 - 1e-9)), key=lambda m: (len(_parts_of(m)), m)))
+    for n in _texts(wrapper):
+        n.keep = any(_named(name) or name in lively and any(_under(name, m) for m in mains) for name in n.paths)
+    return {"mains": mains, "paths": sorted(lively)}
 
 
 def infer(pages: list[str]) -> str:
     """The wrapper of some pages of one host, as JSON."""
     wrapper: list[Node] = []
+    kinds: dict[frozenset, dict[str, list[int]]] = {}
     for k, page in enumerate(pages):
         nodes = page_nodes(page)
+        _add(kinds, templates(nodes))
         wrapper = align(wrapper, nodes) if k else nodes
-    verdict = judge(wrapper, len(pages))
-    return json.dumps({"nodes": [_plain(n) for n in wrapper], "paths": verdict})
+    verdict = judge(wrapper, kinds, len(set(pages)))
+    return json.dumps({"nodes": [_plain(n) for n in wrapper], **verdict})
+
+
+def _packed(nodes: list[Node], kinds: dict[frozenset, dict[str, list[int]]]) -> bytes:
+    def plain(n: Node) -> tuple:
+        return n.key, n.text, n.paths, n.group, [plain(x) for x in n.body] if n.body else None
+
+    return zlib.compress(pickle.dumps(([plain(n) for n in nodes], list(kinds.values())), pickle.HIGHEST_PROTOCOL), 1)
+
+
+def _unpacked(data: bytes) -> tuple[list[Node], dict[frozenset, dict[str, list[int]]]]:
+    def node(key: str, text: int | None, paths: dict | None, group: int | None, body: list | None) -> Node:
+        n = Node(key, text, [node(*x) for x in body] if body else None, paths)
+        n.group = group
+        return n
+
+    nodes, kinds = pickle.loads(zlib.decompress(data))
+    return [node(*x) for x in nodes], {frozenset(sums): sums for sums in kinds}
 
 
 def _plain(n: Node) -> list:
@@ -278,7 +383,8 @@ def _plain(n: Node) -> list:
 
 @lru_cache(maxsize=4096)
 def _load(wrapper: str) -> dict:
-    return json.loads(wrapper)
+    rules = json.loads(wrapper)
+    return {"mains": rules["mains"], "paths": frozenset(rules["paths"])}
 
 
 def _match(nodes: list, keys: list[str], i: int, marks: list[tuple[int, bool]]) -> int | None:
@@ -318,15 +424,20 @@ def _match(nodes: list, keys: list[str], i: int, marks: list[tuple[int, bool]])
     return i
 
 
-def _by_path(keys: list[str], paths: dict[str, bool]) -> Iterator[tuple[int, bool]]:
-    """Verdicts for a page that doesn't match: by container path, or by what its containers say."""
-    path = _Path()
+def _by_path(keys: list[str], rules: dict) -> list[int]:
+    """Places of the main texts of a page."""
+    path, at = _Path(), []
     for i, key in enumerate(keys):
-        if key != "#":
+        if key == "#":
+            at.append((i, path.name()))
+        else:
             path.step(key)
-            continue
-        known = paths.get("".join(path.open))
-        yield i, (any(map(_is_main, path.open)) and not _aside(tuple(path.open))) if known is None else known
+    if own := [i for i, name in at if _named(name)]:
+        return own
+    for main in rules["mains"]:
+        if own := [i for i, name in at if name in rules["paths"] and _under(name, main)]:
+            return own
+    return []
 
 
 def extract(page: str | None, wrapper: str) -> str:
@@ -336,10 +447,7 @@ def extract(page: str | None, wrapper: str) -> str:
     toks, rules = tokens(page), _load(wrapper)
     places = _stream(toks)
     keys = [toks[i][0] for i in places]
-    marks: list[tuple[int, bool]] = []
-    if _match(rules["nodes"], keys, 0, marks) != len(keys):
-        marks = list(_by_path(keys, rules["paths"]))
-    kept = {places[i] for i, keep in marks if keep}
+    kept = {places[i] for i in _by_path(keys, rules)}
     out = []
     for i, (key, text) in enumerate(toks):
         if i in kept:
@@ -354,20 +462,93 @@ def host(url_col: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper) of every host, inferred from at most ``sample`` of its pages.
+_PARTS = "host string, sig binary, lo long, hi long, nodes binary"
 
-    The sample is the page with the lowest hash in each of ``sample`` hash classes, so it is picked
-    by an aggregate that combines before the shuffle, however many pages a host has.
-    """
-    order = F.xxhash64(url_col, html_col)
-    rows = pages.where(F.col(html_col).isNotNull()).select(host(url_col).alias("host"), F.pmod(order, F.lit(sample)).alias("class"), F.struct(order.alias("o"), F.col(html_col).alias("html")).alias("page"))
-    picked = rows.groupBy("host", "class").agg(F.min("page").alias("page")).select("host", "class", "page.html")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [infer(group.sort_values("class")["html"].tolist())]})
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages put together by host and structure, as far as a task can hold them."""
+    held: dict[tuple[str, bytes], list] = {}
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        cols = [[k[0] for k in held], [k[1] for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()], [_packed(*v[2:]) for v in held.values()]]
+        types = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "sig", "lo", "hi", "nodes"])
+
+    for batch in batches:
+        for part in slices(batch, "t"):
+            for where, page, order in zip(part.column("host").to_pylist(), part.column("t").to_pylist(), part.column("o").to_pylist()):
+                nodes = page_nodes(page)
+                sig = hashlib.blake2b("\0".join(n.key for n in nodes).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                same = held.get((where, sig))
+                if same is None:
+                    held[where, sig] = [order, order, nodes, templates(nodes)]
+                    size += len(nodes)
+                else:
+                    same[0], same[1] = min(same[0], order), max(same[1], order)
+                    _add(same[3], templates(nodes))
+                    for x, y in zip(same[2], nodes):
+                        _merge(x, y)
+                if size > HELD_NODES:
+                    yield rows()
+                    held, size = {}, 0
+    if held:
+        yield rows()
 
-    return picked.groupBy("host").applyInPandas(one, "host string, wrapper string")
+
+def _joined(group: pd.DataFrame, put) -> pd.DataFrame:
+    group = group.sort_values("sig", kind="stable")
+    wrapper, kinds = _unpacked(group["nodes"].iloc[0])
+    for data in group["nodes"].iloc[1:]:
+        nodes, more = _unpacked(data)
+        _add(kinds, more)
+        wrapper = put(wrapper, nodes)
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "sig": [group["sig"].iloc[0]], "lo": [group["lo"].min()], "hi": [group["hi"].max()], "nodes": [_packed(wrapper, kinds)]})
+
+
+def _same(group: pd.DataFrame) -> pd.DataFrame:
+    """Parts of one structure as one: nothing to align."""
+
+    def put(a: list[Node], b: list[Node]) -> list[Node]:
+        for x, y in zip(a, b):
+            _merge(x, y)
+        return a
+
+    return _joined(group, put)
+
+
+def _aligned(group: pd.DataFrame) -> pd.DataFrame:
+    return _joined(group, align)
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c = batch.to_pydict()
+        out = [json.dumps(judge(*_unpacked(n), 1 if lo == hi else 2)) for n, lo, hi in zip(c["nodes"], c["lo"], c["hi"])]
+        yield pa.RecordBatch.from_arrays([pa.array(c["host"], pa.string()), pa.array(out, pa.string())], ["host", "wrapper"])
+
+
+def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper) of every host, inferred from all of its pages; of the wrapper, what ``judge`` says.
+
+    Tasks put pages of the same host and structure together before the shuffle, which loses nothing:
+    a slot is either the same text everywhere or not, and characters add up.  Then the different
+    structures of a host are aligned, some at a time, until each host has one wrapper.
+    """
+    rows = pages.where(F.col(html_col).isNotNull()).select(host(url_col).alias("host"), F.col(html_col).alias("t"), F.xxhash64(html_col).alias("o"))
+    parts = checkpoint(rows.mapInArrow(tidy(_structures), _PARTS).groupBy("host", "sig").applyInPandas(_same, _PARTS))
+    turn = 0
+    while True:
+        many = checkpoint(parts.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
+        if many.isEmpty():
+            break
+        # the seed changes by round, so that wrappers which met none meet others
+        bucket = F.when(F.col("n") <= FAN_IN, 0).otherwise(F.pmod(F.xxhash64("sig", F.lit(turn)), F.ceil(F.col("n") / FAN_IN)))
+        open_ = parts.join(many, "host").select("*", bucket.cast("long").alias("bucket")).drop("n")
+        met = open_.groupBy("host", "bucket").applyInPandas(lambda g: _aligned(g.drop(columns="bucket")), _PARTS)
+        parts = checkpoint(parts.join(many, "host", "left_anti").unionByName(met))
+        turn += 1
+    return parts.select("host", "lo", "hi", "nodes").mapInArrow(tidy(_judged), "host string, wrapper string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

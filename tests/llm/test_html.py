@@ -64,3 +64,24 @@ def test_odd_rows(spark):
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
     named = df.selectExpr("*", "1 AS id", "2 AS t", "3 AS host", "4 AS wrapper", "5 AS class", "6 AS page")
     assert html.main_text(named).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_every_page_of_a_host_counts(spark):
+    """A rare template without telling names, and a two-page host, are told apart by all their pages."""
+
+    def page(k, box):
+        return f'<html><body><div class="top"><p>Notice of the house, the same on every page of it</p></div><div class="{box}"><h1>T {k}</h1><p>Words of page {k} only, {k * k} of them.</p></div></body></html>'
+
+    rows = [(k, "http://many.example.org/x", page(k, "rare" if k % 50 == 7 else "usual")) for k in range(200)]
+    rows += [(1000 + 2 * h + i, f"http://h{h}.example.org/", page(h + i, "usual")) for h in range(24) for i in range(2)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, _, p in rows:
+        k = int(re.search("<h1>T ([0-9]+)", p)[1])
+        assert got[i] == f"T {k} Words of page {k} only, {k * k} of them.", i
+
+
+def test_repeats_of_any_period():
+    row = "".join(f"<i class='c{chr(97 + k)}'>{{}}</i>" for k in range(12))
+    nodes = html.page_nodes("<p>x</p>" + (row * 3).format(*range(36)) + "<p>y</p>")
+    assert [n.key[0] for n in nodes] == list("<#<(<#<")
+    assert len(nodes[3].body) == 36 and all(n.text is None for n in nodes[3].body if n.key == "#")
