@@ -1,11 +1,11 @@
 """Personal data by fixed patterns and by bootstrapped contexts.
 
 The fixed patterns find e-mail addresses, IP addresses, payment cards and phone numbers.  These
-are the seeds.  Every other token that looks like an identifier (it has an @ or at least four
-digits) is a candidate.  The words before and after a token, together with its shape, are its
-lexical patterns.  Spark scores the graph of patterns and instances in rounds: a pattern is as
-good as the instances it is seen with, an instance as good as its patterns, and patterns that are
-nearly always seen with known identifiers find new ones.
+are the seeds.  Every other token with a digit or an @ is a candidate, and so are numbers written
+with spaces.  The words before and after a token are its lexical patterns; what kinds its own
+characters allow is a check apart from them.  Spark scores the graph of patterns and instances in
+rounds: a pattern is as good as its known identifiers against what speaks against it, an instance
+as good as its patterns, and good patterns find instances that their kind's check allows.
 """
 
 from __future__ import annotations
@@ -35,10 +35,17 @@ _DIGITS = re.compile("[0-9]+")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HEAD, _TAIL = "\"'([{<`*#$%&!=:;,", "\"')]}>`*#$%&!?.,:;="
-_SHAPE = [(re.compile("[0-9]+"), "9"), (re.compile("[a-z]+"), "a"), (re.compile("[^9a@._+()-]+"), "x")]
+#: Numbers in groups, and the coarse forms of the kinds; dates and decimals are no phone numbers.
+_RUN = re.compile(r"(?:\+\x20?)?\(?[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+")
+_MAIL_FORM = re.compile(r"[^@\s]*[^\W_][^@\s]*@[^@\s]*[^\W_][^@\s]*")
+_IP_FORM = re.compile(r"[0-9]+(\.[0-9]+){3}")
+_IP6_FORM = re.compile(r"[0-9a-f]{0,4}(:[0-9a-f]{0,4}){3,7}")
+_CARD_FORM = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE_FORM = re.compile(r"\+?[\x20().0-9/-]+")
+_NO_PHONE = re.compile(r"[0-9]+\.[0-9]+|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}")
 
 ROUNDS = 3
-#: A pattern must be seen with so many different known identifiers, and with few others.
+#: A pattern must be seen with so many different known identifiers, and with little against it.
 MIN_SEEDS = 3
 ACCEPT = 0.9
 #: Words on either side that make up a pattern.
@@ -94,20 +101,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(token: str) -> str:
-    """Digits to 9, letters to a, with the number of digits and whether there are letters."""
-    out = token.lower()
-    n = sum(c.isdigit() for c in out)
-    for pattern, to in _SHAPE:
-        out = pattern.sub(to, out)
-    return f"{out}/{n}"
+def forms(token: str) -> tuple[int, int]:
+    """(kinds that the characters allow, those of them whose fixed check fails), as bits."""
+    n = sum(c in "0123456789" for c in token)
+    if "@" in token:
+        return (1 if len(token) <= 320 and _MAIL_FORM.fullmatch(token) else 0), 0
+    if _IP_FORM.fullmatch(token):
+        allowed, refused = 2, 2
+    else:
+        allowed, refused = (2 if n and len(token) <= 39 and _IP6_FORM.fullmatch(token) else 0), 0
+    if 12 <= n <= 19 and _CARD_FORM.fullmatch(token):
+        allowed |= 4
+        refused |= 4 * (n >= 14)
+    if 7 <= n <= 15 and _PHONE_FORM.fullmatch(token) and not _NO_PHONE.fullmatch(token) and not allowed & 2:
+        allowed |= 8
+    return allowed, refused
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, patterns) of the seeds and the candidates of a text."""
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, int, int, list[str]]]:
+    """(start, end, kind or -1, instance, allowed, refused, patterns) of the seeds and the candidates of a text."""
     found = [(a, b, k) for a, k, b in spans]
     taken = sorted((a, b) for a, _, b in spans)
-    k = 0
+    runs = _spaced(text, taken)
+    k = r = 0
     # a candidate has a digit or an @, so only the words around those are looked at
     spot = re.compile("[0-9@]")
     m = spot.search(text)
@@ -123,12 +139,30 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
         b = a + len(left.rstrip(_TAIL))
         while k < len(taken) and taken[k][1] <= a:
             k += 1
+        while r < len(runs) and runs[r][1] <= a:
+            r += 1
         free = k == len(taken) or taken[k][0] >= b
-        inner = text[a:b]
-        if free and b > a and ("@" in inner or sum(c in "0123456789" for c in inner) >= 4):
+        # a group of a spaced number is a candidate only if it could be an identifier by itself
+        if free and b > a and (r == len(runs) or runs[r][0] >= b or forms(text[a:b].lower())[0]):
             found.append((a, b, -1))
         m = spot.search(text, end)
-    return [(a, b, kind, text[a:b].lower(), _patterns(text, a, b)) for a, b, kind in sorted(found)]
+    found += [(a, b, -1) for a, b in runs]
+    return [(a, b, kind, text[a:b].lower(), *forms(text[a:b].lower()), _patterns(text, a, b)) for a, b, kind in sorted(found)]
+
+
+def _spaced(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Numbers written with spaces that could be identifiers and touch no seed."""
+    out, k = [], 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if text[a] == "(" and ")" not in m[0]:
+            a += 1
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+        if whole and b - a <= 40 and " " in text[a:b] and (k == len(taken) or taken[k][0] >= b) and forms(text[a:b])[0]:
+            out.append((a, b))
+    return out
 
 
 def _is_space(c: str) -> bool:
@@ -138,22 +172,21 @@ def _is_space(c: str) -> bool:
 def _patterns(text: str, a: int, b: int) -> list[str]:
     before = [w.lower() for w in _WORD.findall(text[max(0, a - 80) : a])[-REACH:]]
     after = [w.lower() for w in _WORD.findall(text[b : b + 80])[:REACH]]
-    form = shape(text[a:b])
-    out = [f"{' '.join(before)} _ {form}"] if len(before) == REACH else []
+    out = [f"{' '.join(before)} _"] if len(before) == REACH else []
     if before and after:
-        out.append(f"{before[-1]} _ {after[0]} {form}")
+        out.append(f"{before[-1]} _ {after[0]}")
     if len(after) == REACH:
-        out.append(f"_ {' '.join(after)} {form}")
+        out.append(f"_ {' '.join(after)}")
     return out
 
 
-_FOUND = "id long, row long, spans array<struct<s:int,k:int,e:int>>, seen array<struct<s:int,e:int,k:int,instance:string,patterns:array<string>>>"
+_FOUND = "id long, row long, spans array<struct<s:int,k:int,e:int>>, seen array<struct<s:int,e:int,k:int,instance:string,allowed:int,refused:int,patterns:array<string>>>"
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """Base spans, seeds and candidates of every row, in one pass over the texts."""
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-    seen_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    seen_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32()), ("instance", pa.string()), ("allowed", pa.int32()), ("refused", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +195,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = Non
                 for text in part.column("t").to_pylist():
                     mine = base_spans(text) if text else []
                     spans.append([{"s": a, "k": k, "e": b} for a, k, b in mine])
-                    seen.append([dict(zip(("s", "e", "k", "instance", "patterns"), m)) for m in mentions(text, mine)] if text else [])
+                    seen.append([dict(zip(("s", "e", "k", "instance", "allowed", "refused", "patterns"), m)) for m in mentions(text, mine)] if text else [])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("row"), pa.array(spans, spans_type), pa.array(seen, seen_type)], ["id", "row", "spans", "seen"]
                 )
@@ -176,24 +209,33 @@ def learn(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, ac
     """(instance, kind): candidates that good patterns point to.
 
     Starts from seeds with score 1 and others with score 0.  The score of a pattern for a kind is
-    the summed score of its different instances over their number plus one; it counts if it
-    reaches ``accept`` and the sum reaches ``min_seeds``.  An instance's score is the chance that
-    one of its good patterns is right.
+    the summed score of its different instances over that sum, what speaks against the kind and
+    one; it counts if it reaches ``accept`` and the sum reaches ``min_seeds``.  Against a kind
+    speak identifiers of other kinds that it would allow, and candidates that its form doesn't
+    allow or whose fixed check fails; other candidates say nothing.  An instance's score is the
+    chance that one of its good patterns is right, for kinds that its form allows.
     """
     m = found.select(F.explode("seen").alias("m")).select("m.*")
-    edges = checkpoint(m.select("instance", F.explode("patterns").alias("pattern"), F.col("k").alias("kind")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    # patterns without enough seeds can never count, so most of the graph goes at once
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    graph = checkpoint(edges.join(size.select("pattern", "n"), "pattern"))
+    seen = m.select("instance", F.explode("patterns").alias("pattern"), F.col("k").alias("kind"), "allowed", "refused")
+    edges = checkpoint(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("allowed").alias("allowed"), F.max("refused").alias("refused")))
+    allows = [F.col("allowed").bitwiseAND(1 << k) != 0 for k in range(len(KINDS))]
+    fails = [F.col("refused").bitwiseAND(1 << k) != 0 for k in range(len(KINDS))]
+    could = [F.count_if((F.col("kind") == k) | ((F.col("kind") < 0) & allows[k])) for k in range(len(KINDS))]
+    against = [F.count_if(F.when(F.col("kind") >= 0, (F.col("kind") != k) & allows[k]).otherwise(~allows[k] | fails[k])) for k in range(len(KINDS))]
+    # a pattern whose instances would not do for any kind if all were right never counts, so most of the graph goes at once
+    size = edges.groupBy("pattern").agg(F.array(*could).alias("could"), F.array(*against).alias("against"))
+    size = size.where(F.exists(F.arrays_zip("could", "against"), lambda x: (x.could >= min_seeds) & (x.could / (x.could + x.against + 1) >= accept)))
+    graph = checkpoint(edges.join(size.select("pattern", "against"), "pattern"))
     seeds = graph.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     scores = seeds
     for _ in range(rounds):
-        good = (
+        mass = (
             graph.drop("kind").join(scores, "instance").groupBy("pattern", "kind")
-            .agg((F.sum("score") / (F.max("n") + 1)).alias("trust"), F.sum("score").alias("mass"))
-            .where((F.col("trust") >= accept) & (F.col("mass") >= min_seeds))
+            .agg(F.sum("score").alias("mass"), F.element_at(F.first("against"), F.col("kind") + 1).alias("counter"))
+            .where(F.col("mass") >= min_seeds)
         )
-        by_pattern = graph.where("kind < 0").drop("kind").join(good, "pattern").groupBy("instance", "kind")
+        good = mass.select("pattern", "kind", (F.col("mass") / (F.col("mass") + F.col("counter") + 1)).alias("trust")).where(F.col("trust") >= accept)
+        by_pattern = graph.where("kind < 0").drop("kind").join(good, "pattern").where("shiftright(allowed, kind) & 1 = 1").groupBy("instance", "kind")
         told = by_pattern.agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
         scores = checkpoint(seeds.unionByName(told.select("instance", "kind", "score")))
     named = scores.join(seeds.select("instance").distinct(), "instance", "left_anti").where(F.col("score") >= accept)

@@ -81,3 +81,28 @@ def test_odd_rows(odd_docs, no_docs, crowded_names, make_docs):
     twice = make_docs([(1, "at 10.1.1.1 now"), (1, "at 10.1.1.1 now"), (None, "é 10.1.1.1")])
     assert sorted(r.spans for r in pii.report(twice).collect()) == ["ip:2:10", "ip:3:11", "ip:3:11"]
     assert {r.text for r in pii.mask(twice).collect()} == {"at [IP] now", "é [IP]"}
+
+
+def test_contexts_find_other_forms_of_a_kind(make_docs):
+    """Local phones, e-mails without a domain and short cards where known ones stand; a pattern with other numbers finds none."""
+    valid = [n for n in range(4111111111110000, 4111111111112000) if slow_luhn(str(n))]
+    docs = [(k, f"just call me on +1 555 010 {1000 + k} after lunch {k}") for k in range(30)]
+    docs += [(100 + k, f"please write to user{k}@example.org about it {k}") for k in range(30)]
+    docs += [(200 + k, f"pay by card number {n} before friday") for k, n in enumerate(valid[:30])]
+    docs += [(300 + k, f"we saw item +1 555 020 {1000 + k} in stock") for k in range(30)] + [(400 + k, f"we saw item {k} in stock") for k in range(30)]
+    want = {}
+    for k in range(15):
+        for base, text, kind, token in (
+            (500, "just call me on {} after lunch", "phone", f"555-010-{9900 + k}"),
+            (600, "just call me on {} after lunch", "phone", f"(555) 010 {9900 + k}"),
+            (700, "please write to {} about it", "email", f"root{k}@localhost"),
+            (800, "pay by card number {} before friday", "card", f"42222222222{10 + k}"),
+            (900, "we saw item {} in stock", "", f"555-030-{9900 + k}"),
+        ):
+            docs.append((base + k, text.format(token)))
+            a = docs[-1][1].index(token)
+            want[base + k] = f"{kind}:{a}:{a + len(token)}" if kind else ""
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(docs)).collect()}
+    assert {i: got[i] for i in want} == want
+    masked = {r.doc_id: r.text for r in pii.mask(make_docs(docs)).collect()}
+    assert masked[600] == "just call me on [PHONE] after lunch"
