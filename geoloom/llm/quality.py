@@ -117,12 +117,16 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Forest:
-    """Trees from at most ``rows`` labelled documents; without labels every document gets 0.5."""
+    """Trees from at most ``rows`` labelled documents; without labels every document gets 0.5.
+
+    Of rows that repeat a labelled id, the one with the lowest statistics is taken.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
     known = lowest_hashes(known.groupBy("id").agg(F.max("y").alias("y")), "id", [], rows)
     # at most `rows` ids and labels are sent to all executors
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")
-    table = statistics(picked, "id", "t").join(F.broadcast(known), "id").toPandas().sort_values(["id", *STATS])
+    single = statistics(picked, "id", "t").groupBy("id").agg(F.min(F.struct(*STATS, *MORE)).alias("s")).select("id", "s.*")
+    table = single.join(F.broadcast(known), "id").toPandas().sort_values("id")
     s = {k: table[k].to_numpy(np.int64) for k in STATS + MORE}
     good = ~base_failed(s)
     return train(features(s)[good], table["y"].to_numpy(float)[good], MONOTONE)

@@ -82,3 +82,14 @@ def test_odd_rows(odd_docs, no_docs, crowded_names, model, spark):
     assert quality.keep(crowded_names, model).columns == crowded_names.columns
     nobody = quality.fit(odd_docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.assess(odd_docs, nobody).collect()} == {0.5}
+
+
+def test_repeated_labelled_ids_count_once(spark, make_docs, monkeypatch):
+    """However often a labelled id is repeated, one row of it is sent to the driver."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y, monotone: seen.append((x.tolist(), y.tolist())))
+    texts = [(i, " ".join(f"w{i}x{k}y{j}" for j in range(12 + k % 7))) for i in (1, 2) for k in range(50)]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    for rows in (texts, texts[::-1]):
+        quality.fit(make_docs(rows), labels)
+    assert len(seen[0][0]) == 2 and seen[0][1] == [0.0, 1.0] and seen[0] == seen[1]
