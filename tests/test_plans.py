@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
+from smallest import SF
 
 QUERIES = entry.queries()
 

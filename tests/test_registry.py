@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import norm, oracle, rows
-from conftest import SF
+from smallest import SF
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
