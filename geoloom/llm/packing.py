@@ -1,8 +1,9 @@
 """Best-fit packing of tokenized documents in rounds.
 
-Round one packs the pieces that lie in one partition by best fit, longest first.  Sequences that
-are full but for a few tokens are done.  The others are dealt out to fewer partitions, where they
-are the items of the next round, until one partition holds what is left or a round gains nothing.
+Round one packs the pieces that lie in one partition by best fit, longest first.  Sequences with
+less room than the shortest of all sequences needs are done, as nothing can join them.  The others
+are dealt out to fewer partitions, where they are the items of the next round, until one partition
+holds what is left or a round saves less than one sequence per partition.
 A sequence carries its members (at most as many as it has tokens), so no join is needed to place
 them, and a task holds a bounded number of items at a time.
 """
@@ -19,46 +20,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.arrow_text import SLICE_BYTES, slices, tidy
+from geoloom.llm.arrow_text import slices, tidy
 from geoloom.llm.tokens import WordIds
 from geoloom.session import checkpoint
 
 LENGTH = 4096
 END_ID = 1
 #: Text whose new words are encoded together.
-WORDS_BYTES = 10 << 20
-#: Words that a worker remembers, and those it has at hand where it must not hold much.
-MANY_WORDS, FEW_WORDS = 800_000, 50_000
-#: Free tokens up to which a sequence counts as nearly full.
-SLACK = 8
+WORDS_BYTES = 4 << 20
+#: Bytes of words that a worker remembers, in each of two generations.
+MEMORY_BYTES = 48 << 20
 #: Items and pieces that a task packs at once.
 ITEMS = 60_000
 PIECES = 1_000_000
-#: A round that saves a smaller share of its sequences is the last.
-GAIN = 0.002
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
-BINS = f"sequence_id bigint, done boolean, fill int, members array<{MEMBER}>"
+BINS = f"sequence_id bigint, fill int, members array<{MEMBER}>"
 MEMBER_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer: str, words: int) -> WordIds:
-    return WordIds(tokenizer, words)
+def _encoder(tokenizer: str) -> WordIds:
+    """A worker keeps its words for its next task."""
+    return WordIds(tokenizer, MEMORY_BYTES)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:
-    """Token pieces of every document as unpacked sequences of one member each.
-
-    With ``remember`` a worker takes large slices and keeps the words it has met for its next task, which
-    saves time; without, it holds little and gives that back, which suits workers that do other work too.
-    """
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Token pieces of every document as unpacked sequences of one member each."""
     end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, MANY_WORDS if remember else FEW_WORDS)
+        encode = _encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "t", WORDS_BYTES if remember else SLICE_BYTES // 2):
+            for part in slices(batch, "t", WORDS_BYTES):
                 rows: list[tuple] = []
                 ids, begin = encode(part.column("t"))
                 for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
@@ -67,16 +61,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     rows += [(doc, k, s, min(length, n - s), zlib.crc32(own[s : s + length]), 0) for k, s in enumerate(range(0, n, length))]
                 columns = zip(*rows)
                 members = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEMBER_TYPE)], fields=list(MEMBER_TYPE))
-                yield _bins(np.arange(len(rows) + 1), members, np.zeros(len(rows), bool), np.arange(len(rows)))
-        if not remember:
-            del encode
-            _encoder.cache_clear()
+                yield _bins(np.arange(len(rows) + 1), members, np.arange(len(rows)))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(tidy(run), BINS)
 
 
-def _bins(offsets: np.ndarray, members: pa.StructArray, done: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+def _bins(offsets: np.ndarray, members: pa.StructArray, number: np.ndarray) -> pa.RecordBatch:
     """Sequences of consecutive members; each member gets its place in its sequence."""
     size = members.field("length").to_numpy(zero_copy_only=False)
     upto = np.concatenate(([0], np.cumsum(size)))
@@ -84,7 +75,7 @@ def _bins(offsets: np.ndarray, members: pa.StructArray, done: np.ndarray, number
     place = upto[:-1] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
     fields = [members.field(f.name) for f in MEMBER_TYPE][:-1] + [pa.array(place, pa.int64())]
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(MEMBER_TYPE)))
-    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(done), pa.array(fill, pa.int32()), lists], ["sequence_id", "done", "fill", "members"])
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(fill, pa.int32()), lists], ["sequence_id", "fill", "members"])
 
 
 def best_fit(size: list[int], room_at_all: int) -> list[int]:
@@ -119,9 +110,8 @@ def _pack(held: list[pa.RecordBatch], length: int, base: int) -> pa.RecordBatch:
     order = np.argsort(place, kind="stable")
     take = np.repeat(first[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(count.sum())
     sizes = np.bincount(place, weights=count).astype(np.int64)
-    fill = np.bincount(place, weights=rows.column("fill").to_numpy())
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    return _bins(offsets, members.take(pa.array(take)), fill >= length - SLACK, base + np.arange(len(sizes)))
+    return _bins(offsets, members.take(pa.array(take)), base + np.arange(len(sizes)))
 
 
 def _round(bins: DataFrame, level: int, length: int) -> DataFrame:
@@ -145,28 +135,26 @@ def _round(bins: DataFrame, level: int, length: int) -> DataFrame:
     return bins.mapInArrow(tidy(run), BINS)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, remember: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Place every token piece of ``docs`` in a sequence of at most ``length`` tokens.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.  A document is its token
     ids and the id 1, so a null or empty text is one token long; only longer documents than a
     sequence are cut.  Every row is a document of its own, repeated rows and null ids included.
-    No rows give no rows.  Other columns are ignored.  For ``remember`` see ``pieces``.
+    No rows give no rows.  Other columns are ignored.
     """
-    level, parts = 1, []
-    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length, remember), level, length))
-    before = None
+    level, parts, tasks, opened = 1, [], None, 0
+    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length), level, length))
     while True:
-        parts.append(bins.where("done"))
-        left = bins.where("not done")
-        n = left.count()
-        tasks = -(-n // ITEMS)
-        if n < 2 or before == 1 or (before and n > (1 - GAIN) * items):
-            parts.append(left)
+        total, shortest = bins.agg(F.count("*"), F.min("fill")).first()
+        fits = F.col("fill") + (shortest or 0) <= length
+        n = bins.where(fits).count()
+        if n < 2 or tasks and (tasks == 1 or opened - total < tasks):
+            parts.append(bins)
             break
-        level, items, before = level + 1, n, tasks
-        dealt = left.repartition(tasks, F.xxhash64("sequence_id", F.lit(level)))
-        bins = checkpoint(_round(dealt, level, length))
+        parts.append(bins.where(~fits))
+        level, tasks, opened = level + 1, -(-n // ITEMS), n
+        bins = checkpoint(_round(bins.where(fits).repartition(tasks, F.xxhash64("sequence_id", F.lit(level))), level, length))
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)

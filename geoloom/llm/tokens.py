@@ -14,6 +14,11 @@ import regex
 
 from geoloom.llm.arrow_text import SPACE, buffers, split
 
+#: New words that go through the tokenizer as one text; its own records of a text take many times its size.
+TOGETHER = 8_000
+#: Bytes that one remembered word takes: its letters, its ids and a place in a table.
+WORD_COST = 230
+
 #: Letters and ASCII marks after them: two parts for the tokenizer, which nothing joins.
 _MARKED = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]+)")
 
@@ -35,12 +40,12 @@ class WordIds:
 
     New words of some texts are encoded together: words of letters only, which the tokenizer never
     parts, go through it as one text, and the pieces that end a word tell where the next one begins.
-    The words met last are remembered, in two generations of ``limit`` words, so memory is bounded
+    The words met last are remembered, in two generations of about ``limit`` bytes, so memory is bounded
     and frequent words stay.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
-        self.tokenizer, self.limit = load(path), limit
+    def __init__(self, path: str, limit: int = 48 << 20):
+        self.tokenizer, self.limit, self.held = load(path), limit, 0
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
@@ -61,9 +66,9 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
-        if len(self.known) > self.limit:
-            self.old, self.known = self.known, {}
-        known, old, parts, plain = self.known, self.old, [], set()
+        if self.held > self.limit:
+            self.old, self.known, self.held = self.known, {}, 0
+        known, old, parts, plain, before = self.known, self.old, [], set(), len(self.known)
         for word in words:
             if word in known:
                 continue
@@ -87,11 +92,14 @@ class WordIds:
                     plain.add(core)
         if plain:
             names = list(plain)
-            known.update(zip(names, self._letters(names)))
+            for at in range(0, len(names), TOGETHER):
+                some = names[at : at + TOGETHER]
+                known.update(zip(some, self._letters(some)))
         for word, core, mark in parts:
             if mark and mark not in known:
                 known[mark] = self.ids(mark)
             known[word] = known[core] + known[mark] if mark else known[core]
+        self.held += WORD_COST * (len(known) - before)
         return list(map(known.__getitem__, words))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

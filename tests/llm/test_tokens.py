@@ -18,7 +18,7 @@ TEXT = st.text("aBé'., \n\t1!<|>́\x1c ", max_size=30)
 
 @pytest.fixture(scope="module")
 def words():
-    return WordIds(WORDS, limit=50)
+    return WordIds(WORDS, limit=10_000)
 
 
 def check_words(words, texts):
