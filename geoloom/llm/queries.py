@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, chat, chunks, html, langid, packing, pii, quality, simhash, substring
+from geoloom.llm import bpe, chat, chunks, html, langid, linededup, packing, periodic, pii, quality, simhash, substring, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,37 @@ def op2_chat(spark, sf_dir):
 @query("op5_html")
 def op5_html(spark, sf_dir):
     return html.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query(
+    "op12_lines",
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+      FROM documents
+    ), k AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM l
+    ), again AS (
+      SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+    ), marked AS (
+      SELECT k.*, coalesce(k.doc_id <> again.holder, FALSE) AS gone FROM k LEFT JOIN again ON k.key = again.key
+    )
+    SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op12_lines(spark, sf_dir):
+    return linededup.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_runs")
+def op13_runs(spark, sf_dir):
+    return periodic.collapse(table(spark, sf_dir, "documents"), rewrite=periodic.copied_tail, texts=False)
