@@ -166,8 +166,8 @@ def _dropped(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
     A line that makes up more than one in ``HOT`` of all pairs is looked up in a table of less than
     ``HOT`` rows in every task; the others meet their holder by hash.
     """
-    sizes = pairs.groupBy("h").count()
-    hot = sizes.join(F.broadcast(pairs.agg(F.count("*").alias("all"))), F.col("count") * HOT > F.col("all")).select("h")
+    many = pairs.count() // HOT
+    hot = pairs.groupBy("h").count().where(F.col("count") > many).select("h")
     hot = stored(hot.join(repeated, "h"), "hot-lines")
     cold = pairs.join(F.broadcast(hot.select("h")), "h", "left_anti").join(repeated, "h")
     lost = pairs.join(F.broadcast(hot), "h").unionByName(cold).where(F.col("did") < F.col("holder"))

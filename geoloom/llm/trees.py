@@ -1,8 +1,9 @@
 """Gradient-boosted trees for yes/no labels, in numpy.
 
 Trees are grown level by level on binned features, with logistic loss.  Features named in
-``monotone`` may only push the score one way: a split that would break it is not taken, and
-children keep to the side of the middle between them.  A trained model is a set of flat arrays.
+``monotone`` may only push the score one way: weights are held to the bounds of their node before
+splits are compared, a split that would break the direction is not taken, and children keep to their
+side of the middle between them.  A trained model is a set of flat arrays.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def train(
             node, rows, level, low, high = todo.pop()
             g, h = grad[rows].sum(), hess[rows].sum()
             weight = float(np.clip(g / (h + smooth), low, high))
-            best = _split(code[rows], grad[rows], hess[rows], edges, monotone, min_rows, smooth) if level else None
+            best = _split(code[rows], grad[rows], hess[rows], edges, monotone, min_rows, smooth, low, high) if level else None
             if best is None:
                 nodes.value[node] = rate * weight
                 margin[rows] += rate * weight
@@ -105,10 +106,11 @@ def train(
     return Forest(*arrays, np.array(roots), depth, base)
 
 
-def _split(code, grad, hess, edges, monotone, min_rows, smooth):
-    """(feature, bin, middle weight) of the best allowed split, or None."""
+def _split(code, grad, hess, edges, monotone, min_rows, smooth, low, high):
+    """(feature, bin, middle weight) of the best allowed split, or None; all weights lie in [low, high]."""
     g, h, n = grad.sum(), hess.sum(), len(code)
-    own, best, found = g * g / (h + smooth), 1e-6, None
+    worth = lambda g, h, w: 2 * g * w - (h + smooth) * w * w
+    own, best, found = worth(g, h, np.clip(g / (h + smooth), low, high)), 1e-6, None
     for f, edge in enumerate(edges):
         if not len(edge):
             continue
@@ -116,8 +118,8 @@ def _split(code, grad, hess, edges, monotone, min_rows, smooth):
         gl = np.cumsum(np.bincount(code[:, f], grad, size))[:-1]
         hl = np.cumsum(np.bincount(code[:, f], hess, size))[:-1]
         nl = np.cumsum(np.bincount(code[:, f], minlength=size))[:-1]
-        wl, wr = gl / (hl + smooth), (g - gl) / (h - hl + smooth)
-        gain = gl * wl + (g - gl) * wr - own
+        wl, wr = (np.clip(a / (b + smooth), low, high) for a, b in ((gl, hl), (g - gl, h - hl)))
+        gain = worth(gl, hl, wl) + worth(g - gl, h - hl, wr) - own
         ok = (nl >= min_rows) & (n - nl >= min_rows) & ((wr - wl) * monotone.get(f, 0) >= 0)
         gain = np.where(ok, gain, -np.inf)
         at = int(np.argmax(gain))

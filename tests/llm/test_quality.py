@@ -73,6 +73,44 @@ def test_monotone_forest():
     assert ((forest.score(x) > 0.5) == y).mean() > 0.8
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_monotone_on_many_lines(seed):
+    """Features that act on each other, steps and noise; the score is followed along both features from many points."""
+    rng = np.random.default_rng(seed)
+    x = rng.random((3000, 3))
+    push = np.sin(7 * x[:, 0] + 5 * x[:, 1]) * np.where(x[:, 2] > 0.5, 3, -2) + 2 * (x[:, 0] > x[:, 1]) * x[:, 2]
+    y = (push + rng.standard_normal(3000) > 0.4).astype(float)
+    for rounds in (1, 10, 60):
+        forest = train(x, y, {0: 1, 1: -1}, rounds=rounds, depth=4)
+        for f, side in ((0, 1), (1, -1)):
+            points = np.repeat(rng.random((150, 3)), 60, axis=0)
+            points[:, f] = np.tile(np.linspace(0, 1, 60), 150)
+            assert (side * np.diff(forest.margin(points).reshape(150, 60)) >= -1e-12).all()
+
+
+def test_first_tree_equals_brute_force():
+    """One round of depth one: every cut of every feature, with the weights written out."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (200, 4)).astype(float)
+    y = (x[:, 2] + 2 * rng.standard_normal(200) > 4).astype(float)
+    for monotone in ({}, {2: -1}, {2: 1, 3: -1}):
+        p = y.mean()
+        best = (1e-6, None)
+        for f in range(4):
+            for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
+                go = x[:, f] <= cut
+                if min(go.sum(), (~go).sum()) < 10:
+                    continue
+                g, h = [(y - p)[s].sum() for s in (go, ~go)], [p * (1 - p) * s.sum() for s in (go, ~go)]
+                w = [a / (b + 1) for a, b in zip(g, h)]
+                gain = sum(a * b for a, b in zip(g, w)) - sum(g) ** 2 / (sum(h) + 1)
+                if (w[1] - w[0]) * monotone.get(f, 0) >= 0 and gain > best[0] + 1e-9:
+                    best = (gain, f, cut, w)
+        _, f, cut, w = best
+        want = np.log(p / (1 - p)) + 0.2 * np.where(x[:, f] <= cut, w[0], w[1])
+        assert np.allclose(train(x, y, monotone, rounds=1, depth=1).margin(x), want)
+
+
 def test_odd_rows(odd_docs, no_docs, crowded_names, model, spark):
     rows = quality.assess(odd_docs, model).collect()
     assert len(rows) == odd_docs.count()
