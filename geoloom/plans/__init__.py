@@ -9,6 +9,7 @@ MODULES = (
     "aggregates",
     "windows",
     "meshes",
+    "surfaces",
     "graphs",
     "tiles",
     "files",
