@@ -175,7 +175,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield _dealt(batch.take(pa.array(head)), (part[head] - 1) % len(first), True)
 
     dealt = rows.mapInArrow(tidy(deal), "part int, guest boolean, o long, id long, t string")
-    placed = dealt.repartition(int(tasks), "part").sortWithinPartitions("part", "guest", "o", "t")
+    # a range to a task: by hash some tasks would get several ranges and others none
+    placed = dealt.repartitionById(int(tasks), "part").sortWithinPartitions("part", "guest", "o", "t")
     return placed.mapInArrow(tidy(_walk), _OUT).withColumnRenamed("id", id_col)
 
 

@@ -15,18 +15,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geoloom.llm.arrow_text import slices, tidy
-from geoloom.llm.columns import lowest_hashes
 
 #: Bytes of a window, and bytes by which windows overlap so that no filter misses a border.
 WINDOW, OVERLAP = 256, 4
 EMBED = 6
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
-#: Documents that are trained on, at most; those with the lowest hashes.
+#: Documents that are trained on, at most, as many of each language; those with the lowest hashes.
 TRAIN_ROWS = 3000
-TRAIN_WINDOWS = 3  # of each document
+#: Windows of each of them, at most; picked by the hash as well.
+TRAIN_WINDOWS = 3
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 
 _LETTER = regex.compile(r"\p{L}")
@@ -98,18 +99,25 @@ def windows_of(raw: np.ndarray) -> np.ndarray:
     return raw[begin[:, None] + np.arange(WINDOW)]
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Net | None:
-    """Fit the network with Adam; None without any language."""
+def some_windows(text: str, count: int, seed: int) -> np.ndarray:
+    """At most ``count`` windows of a text."""
+    every = windows_of(np.frombuffer(text.encode(), np.uint8))
+    return every[np.random.default_rng(seed).permutation(len(every))[:count]]
+
+
+def train(texts: list[str], langs: list[str], seed: int = 7, windows: int = TRAIN_WINDOWS) -> Net | None:
+    """Fit the network to windows of texts; None without any language."""
+    cut = [some_windows(text, windows, k) for k, text in enumerate(texts)]
+    return learn(cut, langs, seed)
+
+
+def learn(cut: list[np.ndarray], langs: list[str], seed: int = 7) -> Net | None:
+    """Fit the network with Adam to the windows of each text; None without any language."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, lang in zip(texts, langs):
-        all_ = windows_of(np.frombuffer(text.encode(), np.uint8))
-        take = rng.permutation(len(all_))[:TRAIN_WINDOWS]
-        xs.append(all_[take])
-        ys += [names.index(lang)] * len(take)
+    xs, ys = cut, [names.index(lang) for own, lang in zip(cut, langs) for _ in own]
     x, y = np.concatenate(xs), np.array(ys)
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     total = FILTERS * len(WIDTHS)
@@ -175,11 +183,31 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
     return names, score
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Net | None:
-    """A network from at most ``rows`` documents with text and language."""
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS
+) -> Net | None:
+    """A network from at most ``rows`` documents with text and language and ``windows`` windows of each.
+
+    Every language has the same part of the rows, so rare ones are learned too; of more than ``rows``
+    languages the most frequent ones are.  Only the windows are sent to the driver.
+    """
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).where("t is not null and y is not null")
-    picked = lowest_hashes(known, "id", ["t", "y"], rows).toPandas()
-    return train(picked["t"].tolist(), picked["y"].tolist())
+    # at most `rows` languages are sent to all executors
+    many = known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(rows)
+    each = max(1, rows // max(1, many.count()))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    # about twice as many rows as are wanted go on from where they are read
+    near = known.join(F.broadcast(many), "y").withColumn("h", place).where(F.col("h") * F.col("n") <= 2.0 * each * (1 << 31))
+    rank = Window.partitionBy("y").orderBy("h", "id", "t")
+    picked = near.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= each).select("id", "h", "y", "t")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [some_windows(t, windows, h).tobytes() for t, h in zip(batch.column("t").to_pylist(), batch.column("h").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(own, pa.binary())], ["id", "y", "w"])
+
+    got = sorted((r.id is not None, r.id or 0, r.y, bytes(r.w)) for r in picked.mapInArrow(cut, "id long, y string, w binary").collect())
+    return learn([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for *_, w in got], [y for _, _, y, _ in got])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -74,3 +74,15 @@ def test_odd_rows(odd_docs, no_docs, crowded_names, net, make_docs):
     assert langid.identify(crowded_names, net).columns == ["doc_id", "held_out", "lang_pred", "score"]
     nothing = langid.fit(odd_docs)  # no languages
     assert {r.lang_pred for r in langid.identify(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with one row in 500 has its part of a sample that is much smaller than the table."""
+    common, rare = "the cat sat on the mat and then it went off ", "zzyx qwrk vvlp zzyx wrkk qqjx "
+    rows = [(k, (common if k % 500 else rare) * (3 + k % 5), "aa" if k % 500 else "bb") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs, rows=20)
+    assert net.names == ["aa", "bb"]
+    assert langid.predict(net, [rare * 4, common * 4])[0] == ["bb", "aa"]
+    again = langid.fit(docs.repartition(9), rows=20)
+    assert all((a == b).all() for a, b in zip(net.params(), again.params()))
