@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geom as G
 from geoloom.operators import loops as L
+from geoloom.operators import regions as R
 from geoloom.operators import surface as S
 from geoloom.operators.filters import face_points
-from geoloom.operators.mesh import corner_vectors
+from geoloom.operators.mesh import corner_vectors, edge_lengths
 from geoloom.plans import bindings as B
 from geoloom.plans.meshes import TOPO, recursive
 from geoloom.plans.registry import query, rnd, table
@@ -85,3 +86,22 @@ def mesh_fill_holes(spark, sf):
     whole = faces.select("fid", "v0", "v1", "v2").unionByName(added.withColumn("fid", F.lit(-1).cast("bigint")))
     left = L.border_edges(whole).groupBy(F.expr("greatest(s, d) div 500").alias("mesh_id")).agg(F.count("*").alias("n_open"))
     return total.join(left, "mesh_id", "left").select("mesh_id", "ax", "ay", "az", F.coalesce("n_open", F.lit(0).cast("bigint")).alias("n_open"))
+
+
+# distance and seed as one number, so that the least of both is one minimum
+@query(
+    "mesh_seed_regions",
+    recursive(
+        TOPO + ", lnk AS (SELECT uedge.a AS s, uedge.b AS d, CAST(16 * (pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS BIGINT) AS w FROM uedge JOIN vert p ON p.vid = uedge.a JOIN vert q ON q.vid = uedge.b), "
+        "way AS (SELECT s, d, w FROM lnk UNION ALL SELECT d, s, w FROM lnk), "
+        "reach(id, lab) USING KEY (id) AS (SELECT vid AS id, vid AS lab FROM vert WHERE vid % 60 = 7 UNION "
+        "SELECT l.d AS id, MIN(r.lab + l.w * 1000000000) AS lab FROM reach r JOIN way l ON r.id = l.s LEFT JOIN recurring.reach o ON o.id = l.d "
+        "WHERE o.id IS NULL OR r.lab + l.w * 1000000000 < o.lab GROUP BY l.d) "
+        "SELECT id, CAST(lab // 1000000000 AS BIGINT) AS dist, CAST(lab % 1000000000 AS BIGINT) AS seed FROM reach"
+    ),
+)
+def mesh_seed_regions(spark, sf):
+    """Squared edge lengths in sixteenths as weights, so that sums are whole."""
+    verts = B.vertices(spark, sf).select("vid", "x", "y", "z")
+    links = edge_lengths(B.faces(spark, sf), verts).select("a", "b", F.round(F.col("l2") * 16).cast("bigint").alias("w"))
+    return R.seed_regions(links, verts.where("vid % 60 = 7"))
