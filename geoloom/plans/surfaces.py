@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from geoloom.functions import geom as G
 from geoloom.operators import loops as L
 from geoloom.operators import regions as R
+from geoloom.operators import simplify as P
 from geoloom.operators import surface as S
 from geoloom.operators.filters import face_points
-from geoloom.operators.mesh import corner_vectors, edge_lengths
+from geoloom.operators.mesh import corner_vectors, corners, edge_lengths, edges
 from geoloom.plans import bindings as B
-from geoloom.plans.meshes import TOPO, recursive
+from geoloom.plans.meshes import NX, NY, NZ, TOPO, TRI, recursive
 from geoloom.plans.registry import query, rnd, table
 
 # cells with eight voxels, their corners k (bits: axes) and values
@@ -105,3 +106,52 @@ def mesh_seed_regions(spark, sf):
     verts = B.vertices(spark, sf).select("vid", "x", "y", "z")
     links = edge_lengths(B.faces(spark, sf), verts).select("a", "b", F.round(F.col("l2") * 16).cast("bigint").alias("w"))
     return R.seed_regions(links, verts.where("vid % 60 = 7"))
+
+
+# the faces at each end, an edge at a time; a face at both ends counts twice
+SIDES = (
+    "side AS (SELECT fid, v0 AS s, v1 AS d FROM tri UNION ALL SELECT fid, v1, v2 FROM tri UNION ALL SELECT fid, v2, v0 FROM tri), "
+    "e AS (SELECT least(s, d) AS a, greatest(s, d) AS b, COUNT(*) AS n FROM side GROUP BY ALL) "
+)
+
+
+@query(
+    "mesh_quadric_errors",
+    TRI + f", {SIDES}, pl AS (SELECT *, {NX} AS nx, {NY} AS ny, {NZ} AS nz FROM tri), "
+    "cor AS (SELECT unnest([v0, v1, v2]) AS vid, ax, ay, az, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM pl), "
+    "m AS (SELECT e.a, e.b, (p.x + q.x) / 2 AS mx, (p.y + q.y) / 2 AS my, (p.z + q.z) / 2 AS mz FROM e JOIN vert p ON p.vid = e.a JOIN vert q ON q.vid = e.b), "
+    "ends AS (SELECT *, unnest([a, b]) AS vid FROM m) "
+    "SELECT a, b, round(SUM(pow((mx - ax) * nx + (my - ay) * ny + (mz - az) * nz, 2) / size / 2), 5) + 0.0 AS error FROM ends JOIN cor USING (vid) GROUP BY a, b",
+)
+def mesh_quadric_errors(spark, sf):
+    """Quadric error of both ends' faces in the middle of each edge."""
+    faces, verts = B.faces(spark, sf), B.vertices(spark, sf).select("vid", "x", "y", "z")
+    known = verts.join(P.vertex_quadrics(faces, verts), "vid")
+    whole = face_points(faces, verts).select("fid", "v0", "v1", "v2")
+    e = edge_lengths(whole, verts).select("a", "b")
+    for t in "ab":
+        e = e.join(known.select(*[F.col(c).alias(t if c == "vid" else f"{t}_{c}") for c in known.columns]), t)
+    middle = [(F.col(f"a_{c}") + F.col(f"b_{c}")) / 2 for c in "xyz"]
+    error = P.quadric_error(middle, [F.col(f"a_{q}") + F.col(f"b_{q}") for q in P.Q])
+    return e.select("a", "b", rnd(error, 5).alias("error"))
+
+
+# collapses keep the border, and with it the area vector, and what is connected how; so the twin reads the mesh as it was
+@query(
+    "mesh_simplify",
+    TRI + f", {SIDES}, k AS (SELECT a // 500 AS mesh_id, COUNT(*) AS ne, COUNT(*) FILTER (WHERE n = 1) AS n_border FROM e GROUP BY 1), "
+    "u AS (SELECT vid // 500 AS mesh_id, COUNT(DISTINCT vid) AS nv FROM (SELECT unnest([v0, v1, v2]) AS vid FROM tri) GROUP BY 1), "
+    f"f AS (SELECT mesh_id, COUNT(*) AS nf, SUM({NX}) / 2 AS ax, SUM({NY}) / 2 AS ay, SUM({NZ}) / 2 AS az FROM tri GROUP BY 1) "
+    "SELECT CAST(f.mesh_id AS BIGINT) AS mesh_id, round(ax, 4) + 0.0 AS ax, round(ay, 4) + 0.0 AS ay, round(az, 4) + 0.0 AS az, CAST(nv - ne + nf AS BIGINT) AS euler, CAST(n_border AS BIGINT) AS n_border "
+    "FROM f JOIN k USING (mesh_id) JOIN u USING (mesh_id)",
+)
+def mesh_simplify(spark, sf):
+    """Area vector, Euler number and border edges by mesh of what is left at five sixths of the faces."""
+    faces, verts = B.faces(spark, sf), B.vertices(spark, sf).select("vid", "x", "y", "z")
+    few, less = P.simplify(faces, verts, faces.count() * 5 // 6)
+    a, b, c = corner_vectors()
+    area = G.cross(G.sub(b, a), G.sub(c, a))
+    vectors = face_points(less, few).groupBy("mesh_id").agg(F.count("*").alias("nf"), *[rnd(F.sum(v) / 2, 4).alias(f"a{x}") for x, v in zip("xyz", area)])
+    e = edges(less).groupBy(F.expr("a div 500").alias("mesh_id")).agg(F.count("*").alias("ne"), F.count_if(F.col("n") == 1).alias("n_border"))
+    used = corners(less).select("vid").distinct().groupBy(F.expr("vid div 500").alias("mesh_id")).agg(F.count("*").alias("nv"))
+    return vectors.join(e, "mesh_id").join(used, "mesh_id").select("mesh_id", "ax", "ay", "az", (F.col("nv") - F.col("ne") + F.col("nf")).alias("euler"), "n_border")
