@@ -10,6 +10,7 @@ MODULES = (
     "windows",
     "meshes",
     "surfaces",
+    "twoviews",
     "graphs",
     "tiles",
     "files",
