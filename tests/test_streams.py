@@ -53,27 +53,6 @@ def test_live_set_over_restarts(own, tmp_path):
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_boxes_and_queries_of_any_size(own, tmp_path):
-    """Boxes and queries from a point to 10^6 cells and more on one or both axes meet as they should, once."""
-    rng = random.Random(9)
-    rows = []
-    for seq in range(400):
-        op = rng.choice(["insert", "insert", "insert", "delete", "query"])
-        x, y = rng.uniform(-200, 200), rng.uniform(-200, 200)
-        w, h = (rng.choice([0.0, 0.5, 1.0, 3.0, 60.0, 900.0, 9e3, 3e6]) for _ in range(2))
-        rows.append((seq, op, 10_000 + seq if op == "query" else rng.randint(0, 30), x + w, y, x, y + h))
-    got = run_in_parts(own, tmp_path, rows, "seq long, op string, id long, x1 double, y1 double, x2 double, y2 double", lambda s: oplog.live_set_answers(s, 1.0, shares=1), parts=1)
-    want, live = [], {}
-    for _, op, i, x2, y1, x1, y2 in rows:
-        if op == "insert":
-            live[i] = (x1, y1, x2, y2)
-        elif op == "delete":
-            live.pop(i, None)
-        else:
-            want += [(i, j) for j, b in live.items() if b[0] <= x2 and x1 <= b[2] and b[1] <= y2 and y1 <= b[3]]
-    assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
-
-
 def test_closed_boxes_leave_the_state(own, tmp_path):
     """One object that moves all the time: the cells hold one open box in the end."""
     rows = [(seq, "insert", 1, float(seq % 7) * 10, 0.0, float(seq % 7) * 10 + 1, 1.0) for seq in range(60)] + [(60, "query", 99, -5.0, -5.0, 100.0, 100.0)]
