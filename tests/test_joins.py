@@ -279,3 +279,24 @@ def test_knn_vectors_visited_limit(spark):
         got = np.array([r.value for r in sorted(rows, key=lambda r: (r.qid, r["rank"]))]).reshape(-1, 3)
         assert (got >= want - 1e-9).all()
         assert np.allclose(got, want) == exact
+
+
+def test_knn_vectors_write_no_list_of_queries_and_leaves(spark, monkeypatch):
+    """Where pivots tell little apart a query sees nearly all leaves; what is written stays at a row per query or vector."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (300, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "did long, dvec array<double>")
+    written = []
+
+    def spy(df):
+        out = checkpoint(df)
+        written.append(out.count())
+        return out
+
+    checkpoint = knn.checkpoint
+    monkeypatch.setattr(knn, "checkpoint", spy)
+    rows = knn_vectors(d.toDF("qid", "qvec"), d, 3, exclude_same_id=True, block_rows=16).collect()
+    d2 = ((base[:, None] - base[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    assert {(r.qid, r.nid) for r in rows} == {(i, int(j)) for i in range(300) for j in np.argsort(d2[i], kind="stable")[:3]}
+    assert max(written) <= 300
