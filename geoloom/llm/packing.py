@@ -40,19 +40,21 @@ MEMBER_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start"
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer: str) -> WordIds:
+def _encoder(tokenizer: str, remembered: int) -> WordIds:
     """A worker keeps its words for its next task."""
-    return WordIds(tokenizer, MEMORY_BYTES)
+    return WordIds(tokenizer, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, together: int = WORDS_BYTES, remembered: int = MEMORY_BYTES
+) -> DataFrame:
     """Token pieces of every document as unpacked sequences of one member each."""
     end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, remembered)
         for batch in batches:
-            for part in slices(batch, "t", WORDS_BYTES):
+            for part in slices(batch, "t", together):
                 rows: list[tuple] = []
                 ids, begin = encode(part.column("t"))
                 for doc, a, b in zip(part.column("id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
@@ -135,16 +137,20 @@ def _round(bins: DataFrame, level: int, length: int) -> DataFrame:
     return bins.mapInArrow(tidy(run), BINS)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, together: int = WORDS_BYTES, remembered: int = MEMORY_BYTES
+) -> DataFrame:
     """Place every token piece of ``docs`` in a sequence of at most ``length`` tokens.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.  A document is its token
     ids and the id 1, so a null or empty text is one token long; only longer documents than a
     sequence are cut.  Every row is a document of its own, repeated rows and null ids included.
-    No rows give no rows.  Other columns are ignored.
+    No rows give no rows.  Other columns are ignored.  A worker encodes the new words of ``together`` bytes
+    of text at once and remembers about twice ``remembered`` bytes of words; less of both takes less memory
+    and more time.
     """
     level, parts, tasks, opened = 1, [], None, 0
-    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length), level, length))
+    bins = checkpoint(_round(pieces(docs, tokenizer, id_col, text_col, length, together, remembered), level, length))
     while True:
         total, shortest = bins.agg(F.count("*"), F.min("fill")).first()
         fits = F.col("fill") + (shortest or 0) <= length

@@ -12,6 +12,10 @@ from geoloom.llm.queries import tokenizer_path
 from geoloom.session import checkpoint_root
 
 
+#: Text that a packing worker encodes at once, and words that it remembers.
+PACKING_BYTES = 1 << 20
+REMEMBERED_BYTES = 16 << 20
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,7 +47,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, each with its sequence and place."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    # the stages before leave executors with a full heap, so workers get by with less than on their own
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), together=PACKING_BYTES, remembered=REMEMBERED_BYTES)
 
 
 STAGES = [
