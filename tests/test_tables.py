@@ -12,6 +12,7 @@ from geoloom.operators import cover, graph, ordering
 from geoloom.operators import mesh as M
 from geoloom.operators import smooth as S
 from geoloom.operators import tiles as T
+from geoloom.session import planned_bytes, range_partitions
 from geoloom.streaming import oplog
 
 
@@ -256,3 +257,13 @@ def test_streamed_live_set_in_several_batches(spark):
         assert {(r.query_id, r.id) for r in out.collect()} == want
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_partitions_of_a_join_follow_the_tables_read(spark, tmp_path):
+    """The planner takes joins for products, which asked for thousands of partitions for small tables."""
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("id AS k", "id % 7 AS v").write.parquet(path)
+    df = spark.read.parquet(path)
+    for n in "abc":
+        df = df.join(spark.read.parquet(path).toDF("k", n), "k")
+    assert planned_bytes(df) > 1 << 40 and range_partitions(df) == spark.sparkContext.defaultParallelism
