@@ -45,8 +45,8 @@ def _fits(words: Column, kinds: Sequence[str]) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ink and their words."""
-    return spark.read.text(path).where(F.trim("value") != "").withColumn("w", fields())
+    """Lines with ink and their words, which are split once for all tests and columns that read them."""
+    return spark.read.text(path).where(F.trim("value") != "").select("value", F.inline(F.array(F.struct(fields().alias("w")))))
 
 
 def _kept_apart(lines: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:

@@ -85,3 +85,9 @@ def test_mesh_ids_keep_their_type(spark, tmp_path, kind):
     assert back.dtypes == verts.dtypes and sorted(back.collect()) == sorted(verts.collect())
     assert back_faces.count() == 10
     assert len([p for p in (tmp_path / "mesh" / "vertices").iterdir() if p.name.startswith("bucket=")]) == 8
+
+
+def test_words_of_a_line_are_split_once(spark, tmp_path):
+    bounds, rest = text.read_mesh_bounds(spark, put(spark, tmp_path, "a 1 2 3 4 5 6", "b 1 2"))
+    assert bounds._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {(r.name, r.minx, r.maxz) for r in bounds.collect()} == {("a", 1.0, 6.0), (None, 1.0, 6.0)} and bad(rest) == ["b 1 2"]
