@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import joins, knn, temporal
+from geoloom.operators import joins, knn, matching, temporal
 from geoloom.operators.gridjoin import Axis, box_join, listed, pieces
 from geoloom.operators.knn import knn_points, knn_vectors
 
@@ -300,3 +300,46 @@ def test_knn_vectors_write_no_list_of_queries_and_leaves(spark, monkeypatch):
     np.fill_diagonal(d2, np.inf)
     assert {(r.qid, r.nid) for r in rows} == {(i, int(j)) for i in range(300) for j in np.argsort(d2[i], kind="stable")[:3]}
     assert max(written) <= 300
+
+
+@pytest.mark.parametrize("crowd", [False, True])
+def test_guided_matches_write_no_list_of_pairs(spark, monkeypatch, crowd):
+    """Against all pairs, null and equal ids of competitors included; of a crowd only the two best per row are written."""
+    rng = np.random.default_rng(9)
+    n, eye, epipolar, written = 60, [1, 0, 0, 0, 1, 0, 0, 0, 1], [0, -1, -1, 1, 0, 4, 1, -4, 0], []
+
+    def spy(df):
+        out = checkpoint(df)
+        written.append(out.count())
+        return out
+
+    checkpoint = matching.checkpoint
+    monkeypatch.setattr(matching, "checkpoint", spy)
+    monkeypatch.setattr(matching, "PAIRS", 400)
+    sides = []
+    for tag in "ab":
+        vec = rng.integers(0, 300, (n, 4))
+        at = np.full((n, 2), 3.0) if crowd else rng.integers(0, 40, (n, 2)).astype(float)
+        ids = [None if i == 5 else 7 if i == 8 else i for i in range(n)]
+        rows = [(i, v.tolist(), *p.tolist()) for i, v, p in zip(ids, vec, at)]
+        sides.append((ids, vec, at, spark.createDataFrame(rows, f"{tag}_id long, {tag}_vec array<int>, {tag}x double, {tag}y double")))
+    (ai, av, ap, a), (bi, bv, bp, b) = sides
+    got = {(r.a_id, r.b_id) for r in matching.guided_matches(a, b, 4, eye, epipolar, 12.0, 9.0, 2.0, 0.999).collect()}
+    f = np.array(epipolar, dtype=float).reshape(3, 3)
+    lines = np.column_stack([ap, np.ones(n)]) @ f.T
+    gate = ((ap[:, None] - bp[None]) ** 2).sum(2) <= 144
+    gate &= np.abs(lines @ np.column_stack([bp, np.ones(n)]).T) / np.hypot(lines[:, 0], lines[:, 1])[:, None] <= 9.0
+    dot = av @ bv.T
+
+    def choices(me, other, dots, may):
+        out = set()
+        for i in set(me) - {None}:
+            own = [(-dots[x, y], -1 if other[y] is None else other[y]) for x in range(n) if me[x] == i for y in range(n) if may[x, y]]
+            angle = [float(np.arccos(min(-d / 512**2, 1.0))) for d, _ in sorted(own)[:2]] + [1e30]
+            if own and angle[0] < 2.0 and angle[0] < angle[1] * 0.999:
+                out.add((i, sorted(own)[0][1]))
+        return out
+
+    want = choices(ai, bi, dot, gate) & {(y, x) for x, y in choices(bi, ai, dot.T, gate.T)}
+    assert got == {p for p in want if -1 not in p} and got
+    assert max(written) <= 4 * 2 * n * (-(-n // 20))
