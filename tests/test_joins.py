@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import joins, knn, matching, temporal
+from geoloom.operators import gridjoin, joins, knn, matching, temporal
 from geoloom.operators.gridjoin import Axis, box_join, listed, pieces
 from geoloom.operators.knn import knn_points, knn_vectors
 
@@ -62,6 +62,35 @@ def test_crowded_cell_is_cut_into_pieces(spark):
     assert pl.count() == 200_000 * 100
 
 
+def test_what_is_dealt_out_follows_the_rows(spark):
+    """Twice the rows in one cell are four times the pairs: pieces grow, and so twice as much is dealt, in as many tasks."""
+    dealt, numbers = [], []
+    for n in (100_000, 200_000):
+        left = spark.range(n).select(F.col("id").alias("l"), F.lit(0.25).alias("lx"), F.lit(0.75).alias("lh"))
+        right = spark.range(n).select(F.col("id").alias("r"), F.lit(0.5).alias("rx"))
+        ls, rs, keys, _ = listed(left, right, [Axis("lx", "lh", "rx", "rx", 1e6)])
+        pl, pr, on, tasks = pieces(ls, rs, keys, None)
+        dealt.append(pl.count() + pr.count())
+        numbers.append(tasks)
+        assert most_pairs(pl, pr, on) < 1.5 * n * n / tasks
+    assert dealt[1] < 2.3 * dealt[0] and numbers[1] < 1.1 * numbers[0]
+
+
+def test_pieces_of_streamed_pairs_lose_none(spark, monkeypatch):
+    """Cells cut to a share of the pairs, copies and nulls included."""
+    monkeypatch.setattr(gridjoin, "TASK_PAIRS", 50)
+    monkeypatch.setattr(gridjoin, "STREAM_TASKS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (la, lc), (ra, rc) = boxes(300, "l", 1, True), boxes(200, "r", 2, True)
+        la, ra = [*la, *la[:40], (900, None, 1.0, 0.0, 1.0)], [*ra, *ra[:40]]
+        got = joins.boxes_join(spark.createDataFrame(la, lc), spark.createDataFrame(ra, rc), [("lx1", "lx2", "rx1", "rx2"), ("ly1", "ly2", "ry1", "ry2")])
+        pairs = [(r.lid, r.rid) for r in got.select("lid", "rid").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(pairs) == sorted((a[0], b[0]) for a in la if a[1] is not None for b in ra if meet(a, b))
+
+
 def test_boxes_long_on_one_axis_stay_small_on_the_others(spark):
     """Open in time, one unit wide in 1000 x 1000: cells hold neighbours in space only."""
     boxes_ = spark.range(20_000).select(
