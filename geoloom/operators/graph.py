@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import checkpoint
+from geoloom.session import checkpoint, range_partitions, stored
+
+#: Links that one task is meant to see; graphs with fewer are left to the planner.
+TASK_LINKS = 1_000_000
+#: Links from which on a vertex is a hub, in larger graphs: its links are not dealt to one task.
+HUB_LINKS = 100_000
 
 
 def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,9 +30,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star rounds (Kiveris et al., 2014): each edge set is rewritten
     so that vertices hang from ever lower ids; it stops when only stars are left.
     """
-    links = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    while not _all_stars(links):
-        links = checkpoint(_small_star(_large_star(links)))
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    # dealt by bytes, as the tasks of a shuffle do not follow the table
+    links = checkpoint(links.repartition(range_partitions(links), "u", "v").distinct())
+    while True:
+        n, done = _all_stars(links)
+        if done:
+            break
+        if n <= TASK_LINKS:
+            links = checkpoint(_small_star(_large_star(links, 1), 1))
+        else:
+            tasks = n // TASK_LINKS + 1
+            links = checkpoint(_small_star(stored(_large_star(links, tasks), "links"), tasks))
     # every remaining edge is (vertex, root); roots are lowest ids
     return (
         links.select(F.col("u").alias("id"), F.col("v").alias("comp"))
@@ -37,33 +51,53 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-def _all_stars(links: DataFrame) -> bool:
-    """Every vertex hangs from one lower vertex, and that one hangs from nothing."""
+def _all_stars(links: DataFrame) -> tuple[int, bool]:
+    """How many links, and whether every vertex hangs from one lower vertex, and that one from nothing."""
     n = links.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u"), F.count_if(F.col("u") < F.col("v")).alias("up")).first()
     if n["n"] != n["u"] or n["up"]:
-        return False
-    return links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        return n["n"], False
+    # what vertices hang from, each once: a root that holds half the graph is one row
+    return n["n"], links.select("v").distinct().join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _lowest(directed: DataFrame) -> DataFrame:
-    return directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+
 
+def _with_lowest(directed: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(``directed`` with the lowest id m at and around its u, (u, m) of every u).
 
-def _large_star(links: DataFrame) -> DataFrame:
+    With more than one task, links are dealt to that many by u.  Those of hubs are not: there are at most as many hubs
+    as links divided by ``HUB_LINKS``, so their lowest ids go to every task.
+    """
+    low = _lowest(directed)
+    if tasks == 1:
+        return directed.join(low.select("u", "m"), "u"), low.select("u", "m")
+    low = stored(low, "lowest")
+    hubs = F.broadcast(low.where(F.col("_n") >= HUB_LINKS).select("u", F.col("m").alias("_hub")))
+    marked = directed.join(hubs, "u", "left")
+    rest = low.where(F.col("_n") < HUB_LINKS).select("u", "m").repartition(tasks, "u")
+    others = marked.where("_hub is null").select("u", "v").repartition(tasks, "u").join(rest, "u")
+    at_hubs = marked.where("_hub is not null").select("u", "v", F.col("_hub").alias("m"))
+    return others.unionByName(at_hubs), low.select("u", "m")
+
+
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
     """Connect every larger neighbour of u to the lowest id around u."""
     flip = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
     full = links.unionByName(flip)
-    out = full.join(_lowest(full), "u").where(F.col("v") > F.col("u"))
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out, _ = _with_lowest(full, tasks)
+    return out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     """Connect u and its smaller neighbours to the lowest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
-    moved = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    found, low = _with_lowest(down, tasks)
+    moved = found.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = low.where(F.col("u") != F.col("m")).select("u", F.col("m").alias("v"))
-    return moved.unionByName(own).distinct()
+    out = moved.unionByName(own)
+    return (out.repartition(tasks, "u", "v") if tasks > 1 else out).distinct()
 
 
 def label_all(ids: DataFrame, id_col: str, edges: DataFrame, a: str, b: str) -> DataFrame:

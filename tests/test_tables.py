@@ -109,6 +109,32 @@ def test_point_normals(spark):
         assert r.n == 12 and np.allclose([r.nx, r.ny, r.nz], n, atol=1e-6)
 
 
+@pytest.fixture(params=[False, True])
+def small_tasks(monkeypatch, request):
+    """With graphs left to the planner, and with links dealt to tasks and hubs apart."""
+    if request.param:
+        monkeypatch.setattr(graph, "TASK_LINKS", 40)
+        monkeypatch.setattr(graph, "HUB_LINKS", 20)
+
+
+def test_links_of_a_hub_are_not_dealt_to_one_task(spark, monkeypatch):
+    """A star of 20,000 links: no task of the joins sees a tenth of them."""
+    monkeypatch.setattr(graph, "TASK_LINKS", 1000)
+    monkeypatch.setattr(graph, "HUB_LINKS", 1000)
+    star = spark.range(20_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v"))
+    flip = star.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    met, low = graph._with_lowest(star.unionByName(flip), 20)
+    most = met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert met.count() == 40_000 and most < 8000
+    assert met.where("m <> 0").count() == 0 and low.count() == 20_001
+
+
+def test_components_in_small_tasks(spark, small_tasks):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1001 + i) for i in range(150)] + [(7, 7), (None, 3), (5000, 1100)]
+    got = {r.id: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 1000 for i in range(1000, 1151)} | {5000: 1000}
+
+
 def test_components_chain_star_and_random(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 200)] + [(1000, 1001 + i) for i in range(150)]
