@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geom as G
 from geoloom.operators.gridjoin import Axis, box_join
+from geoloom.session import stored
 
 
 def window_filter(df: DataFrame, lows: Sequence[str], highs: Sequence[str], box: Sequence[tuple[float, float]]) -> DataFrame:
@@ -109,7 +110,8 @@ def on_triangle(p: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c
 def inside_mesh(points: DataFrame, pid: str, axes: Sequence[str], tri: DataFrame, mesh: str | None = None) -> DataFrame:
     """Points inside closed surfaces: an odd number of faces lies in direction +x.
 
-    Only faces whose (y, z) bounds hold the point are met, through the grid join.  A ray through an
+    Only faces whose (y, z) bounds hold the point are met, through the grid join, and only by points between the
+    ends of their surface on x, so what is counted per point and mesh follows the boxes of the meshes.  A ray through an
     edge or a corner meets the faces there by a half-open rule, so each crossing counts once.  Points
     on a face are inside.  With ``mesh`` the faces of different meshes are counted apart, and a point
     in any of them is inside.
@@ -120,9 +122,14 @@ def inside_mesh(points: DataFrame, pid: str, axes: Sequence[str], tri: DataFrame
     shape = tri.select(
         (F.col(mesh) if mesh else F.lit(0)).alias("_mesh"),
         *[f"{t}{c}" for t in "abc" for c in "xyz"],
-        lo("y").alias("_ly"), hi("y").alias("_hy"), lo("z").alias("_lz"), hi("z").alias("_hz"),
+        lo("x").alias("_lx"), hi("x").alias("_hx"), lo("y").alias("_ly"), hi("y").alias("_hy"), lo("z").alias("_lz"), hi("z").alias("_hz"),
     )
-    size = shape.agg(F.avg(F.col("_hy") - F.col("_ly")), F.avg(F.col("_hz") - F.col("_lz"))).first()
+    # a hair wider, so that rounding loses no point on a face
+    slack = (F.abs(F.min("_lx")) + F.abs(F.max("_hx")) + 1.0) * 1e-9
+    ends = shape.groupBy("_mesh").agg((F.min("_lx") - slack).alias("_sx"), (F.max("_hx") + slack).alias("_ex"))
+    shape = shape.drop("_lx", "_hx").join(ends.withColumnRenamed("_mesh", "_of"), F.col("_mesh").eqNullSafe(F.col("_of"))).drop("_of")
+    shape = stored(shape, "faces")  # counted and joined
+    size = shape.agg(F.avg(F.col("_ex") - F.col("_sx")), F.avg(F.col("_hy") - F.col("_ly")), F.avg(F.col("_hz") - F.col("_lz"))).first()
     probe = points.select(F.col(pid).alias("_pid"), F.col(px).alias("_px"), F.col(py).alias("_py"), F.col(pz).alias("_pz"))
     a, b, c = (G.cols(f"{t}x", f"{t}y", f"{t}z") for t in "abc")
     p = G.cols("_px", "_py", "_pz")
@@ -134,7 +141,7 @@ def inside_mesh(points: DataFrame, pid: str, axes: Sequence[str], tri: DataFrame
     hits = box_join(
         probe,
         shape,
-        [Axis("_py", "_py", "_ly", "_hy", size[0] or 1.0), Axis("_pz", "_pz", "_lz", "_hz", size[1] or 1.0)],
+        [Axis("_px", "_px", "_sx", "_ex", size[0] or 1.0), Axis("_py", "_py", "_ly", "_hy", size[1] or 1.0), Axis("_pz", "_pz", "_lz", "_hz", size[2] or 1.0)],
     )
     seen = hits.select("_pid", "_mesh", F.coalesce(crosses, F.lit(False)).alias("_hit"), on_triangle(p, a, b, c).alias("_on"))
     each = seen.groupBy("_pid", "_mesh").agg(F.count_if("_hit").alias("_n"), F.max("_on").alias("_on"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import aggregates, joins, knn, mesh, temporal, voxel
+from geoloom.operators import aggregates, filters, joins, knn, mesh, temporal, voxel
 from geoloom.operators.filters import inside_mesh
 
 # fixed values: the corners (bits x, y, z) of the two triangles on each side of a cube
@@ -36,6 +36,23 @@ def test_points_of_a_lattice_in_a_cube(spark, flipped):
     assert got == {p[0] for p in pts if all(0 <= v <= 1 for v in p[1:])}
 
 
+def test_points_outside_on_x_meet_no_face(spark, monkeypatch):
+    """A row of cubes along x: a point is compared with the faces of the cube it is in, not with all it looks at."""
+    met = []
+    join = filters.box_join
+
+    def counted(*a, **kw):
+        met.append(join(*a, **kw))
+        return met[-1]
+
+    monkeypatch.setattr(filters, "box_join", counted)
+    rows = [r for i in range(20) for r in cube(i, (3.0 * i, 0.0, 0.0), 1.0)]
+    df = spark.createDataFrame([(i, 3.0 * i + x, 0.5, 0.25) for i in range(20) for x in (0.5,)] + [(100, 2.0, 0.5, 0.25), (101, 3.0, 0.5, 0.25)], "id int, x double, y double, z double")
+    got = {r.id for r in inside_mesh(df, "id", ["x", "y", "z"], spark.createDataFrame(rows, FACES), "mesh").collect()}
+    assert got == {*range(20), 101}
+    assert met[0].count() <= 21 * 12
+
+
 def test_meshes_are_counted_apart(spark):
     rows = cube(1, (0.0, 0.0, 0.0), 2.0) + cube(2, (1.0, 0.0, 0.0), 2.0)
     df = spark.createDataFrame([(1, 1.5, 1.0, 1.0), (2, 2.5, 1.0, 1.0), (3, 3.5, 1.0, 1.0)], "id int, x double, y double, z double")
