@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from geoloom.functions import geom as G
 from geoloom.operators.knn import knn_points
-from geoloom.operators.ordering import running_sums
-from geoloom.session import with_scalars
+from geoloom.operators.ordering import running_sums, with_order
+from geoloom.session import stored, with_scalars
 
 Keys = Sequence[str]
 
@@ -122,13 +122,27 @@ def weighted_median(df: DataFrame, keys: Keys, value: str, weight: str, tie: Key
     the total decides; s = (half - weight before) / own weight blends with the row before.
     """
     src = df.withColumn("_w", F.greatest(F.col(weight).cast("double"), F.lit(1e-30)))
-    ranked = running_sums(src, keys, [F.desc(value), *tie], {"_cum": "_w"})
-    halves = src.groupBy(*keys).agg((F.sum("_w") / 2).alias("_half"))
-    j = ranked.join(halves, list(keys))
+    ordered = with_order(src, [*keys, F.desc(value), *tie])
+    # sums of the partitions, at most a row per partition and key: they tell where half of the weight is reached
+    per = ordered.groupBy("_part", *keys).agg(F.sum("_w").alias("_sum"), F.min(value).alias("_least"))
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        "_part", *keys, "_sum", (F.sum("_sum").over(every) / 2).alias("_half"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_carry"), F.min("_least").over(earlier).alias("_above"),
+    )
+    # rows are summed in another order than partitions, so one that comes as close as rounding is looked at too
+    near = F.lit(1e-9) * F.col("_half")
+    at = per.where((F.col("_carry") <= F.col("_half") + near) & (F.col("_carry") + F.col("_sum") >= F.col("_half") - near))
+    at = stored(at.drop("_sum").withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), "halves")
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], F.col("_part") == F.col("_at_part"))
+    inside = ordered.join(F.broadcast(at.withColumnRenamed("_part", "_at_part")), same)
+    local = Window.partitionBy("_part", *keys).orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
+    j = inside.withColumn("_cum", F.coalesce(F.sum("_w").over(local), F.lit(0.0)) + F.col("_carry"))
     reached = F.col("_cum") + F.col("_w") >= F.col("_half")
     got = j.groupBy(*keys).agg(
         F.min(F.when(reached, F.struct("_cum", F.col(value).alias("v"), "_w"))).alias("_at"),
-        F.min(F.when(~reached, F.col(value))).alias("_prev"),
+        F.least(F.min(F.when(~reached, F.col(value))), F.min_by("_above", "_part")).alias("_prev"),
         F.first("_half").alias("_half"),
     )
     s = (F.col("_half") - F.col("_at._cum")) / F.col("_at._w")

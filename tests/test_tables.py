@@ -109,6 +109,31 @@ def test_point_normals(spark):
         assert r.n == 12 and np.allclose([r.nx, r.ny, r.nz], n, atol=1e-6)
 
 
+def test_weighted_median_looks_at_the_partitions_that_hold_the_half(spark, monkeypatch):
+    """Two keys over many partitions: few partitions are summed row by row."""
+    kept = []
+    store = agg.stored
+
+    def spy(df, name):
+        kept.append(store(df, name))
+        return kept[-1]
+
+    monkeypatch.setattr(agg, "stored", spy)
+    monkeypatch.setattr(ordering, "range_partitions", lambda df: 16)
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 3 else "b", i, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.permutation(4000), rng.integers(1, 9, 4000)))]
+    rows += [("c", 9000, 5.0, 2.0), ("d", 9001, None, 1.0), (None, 9002, 1.0, 1.0), ("e", 9003, 4.0, None), ("e", 9004, 2.0, 3.0)]
+    got = {r.k: r.wmedian for r in agg.weighted_median(spark.createDataFrame(rows, "k string, id long, v double, w double"), ["k"], "v", "w", ["id"]).collect()}
+    assert kept[0].count() <= 8 and set(got) == set("abcde")
+    for k in "ab":
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: -r[2])
+        half, cum = sum(r[3] for r in own) / 2, np.cumsum([r[3] for r in own])
+        i = int(np.argmax(cum >= half))
+        s = (half - (cum[i] - own[i][3])) / own[i][3]
+        assert np.isclose(got[k], s * own[i][2] + (1 - s) * own[i - 1][2])
+    assert got["c"] == 5.0 and got["d"] is None and np.isclose(got["e"], 3.0)
+
+
 @pytest.fixture(params=[False, True])
 def small_tasks(monkeypatch, request):
     """With graphs left to the planner, and with links dealt to tasks and hubs apart."""
