@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import checkpoint, range_partitions, stored
+from geoloom.session import checkpoint, stored
 
 #: Links that one task is meant to see; graphs with fewer are left to the planner.
 TASK_LINKS = 1_000_000
@@ -30,9 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star rounds (Kiveris et al., 2014): each edge set is rewritten
     so that vertices hang from ever lower ids; it stops when only stars are left.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    # dealt by bytes, as the tasks of a shuffle do not follow the table
-    links = checkpoint(links.repartition(range_partitions(links), "u", "v").distinct())
+    links = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     while True:
         n, done = _all_stars(links)
         if done:
