@@ -372,3 +372,26 @@ def test_guided_matches_write_no_list_of_pairs(spark, monkeypatch, crowd):
     want = choices(ai, bi, dot, gate) & {(y, x) for x, y in choices(bi, ai, dot.T, gate.T)}
     assert got == {p for p in want if -1 not in p} and got
     assert max(written) <= 4 * 2 * n * (-(-n // 20))
+
+
+def test_equal_patches_meet_as_one_row(spark):
+    """Copies, ids that repeat, and patches without a normal; pairs by brute force, rows of the search by the distinct patches."""
+    from geoloom.operators import patches as P
+
+    rows = [(i, float(i % 3), 0.0, 0.0, 0.0, 0.0, 1.0, 0.5) for i in range(120)] + [(5, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5), (500, 0.0, 0.0, 0.0, None, 0.0, 1.0, 0.5), (None, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, nx double, ny double, nz double, scale double")
+    got = sorted(map(tuple, P.patch_neighbours(df, "id", 1.1, 0.33, 1.2).collect()))
+    flat = [(r[0], r[1]) for r in rows if r[0] is not None and r[4] is not None]
+    assert got == sorted((a, b) for a, x in flat for b, y in flat if a < b and abs(x - y) <= 1.2)
+    blocks = P._blocks(df, "id").collect()
+    assert sum(len(r["ids"]) for r in blocks) == 121 and len(blocks) <= 6
+
+
+def test_points_are_sought_in_touched_cells_only(spark):
+    """A box one cell wide meets points in at most two cells an axis, also where points are many."""
+    from geoloom.operators.gridjoin import Axis, listed
+
+    points = spark.range(400).selectExpr("id", "id % 20 + 0.5 as x", "id div 20 + 0.5 as y")
+    boxes = spark.range(10).selectExpr("id as b", "2.0 * id as x1", "2.0 * id + 2 as x2", "3.0 as y1", "5.0 as y2")
+    left, right, *_ = listed(points, boxes, [Axis("x", "x", "x1", "x2", 2.0), Axis("y", "y", "y1", "y2", 2.0)])
+    assert left.count() <= 400 and right.count() <= 40
