@@ -100,3 +100,35 @@ def test_sessions_over_restarts(own, tmp_path):
                 start, n = b, 0
     found = got.select(F.unix_seconds("start"), F.unix_seconds("end"), "cell", "n").where("cell < 2")
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_queries_meet_only_boxes_that_were_open(monkeypatch):
+    """Boxes that follow each other: a cell compares its queries with those open meanwhile, and takes a query as it comes."""
+    import numpy as np
+    import pandas as pd
+
+    n, sizes, floor = 4000, [], np.floor
+    monkeypatch.setattr(np, "floor", lambda v: sizes.append(v.size) or floor(v))
+    share = oplog.CellShare(10.0)
+    share._boxes = type("Held", (), {"iterator": lambda self: iter(())})()
+    opened = pd.DataFrame({"id": np.arange(n), "since": 4 * np.arange(n), "x1": 1.0, "y1": 1.0, "x2": 2.0, "y2": 2.0})
+    end = {(i, 4 * i): 4 * i + 2 for i in range(n) if i != 7}
+    asked = pd.DataFrame({"id": 10_000 + np.arange(n), "seq": 4 * np.arange(n) + 1, "x1": 0.0, "y1": 0.0, "x2": 5.0, "y2": 5.0}).sample(frac=1, random_state=1)
+    got = pd.concat(list(share._answers((0, 0, 0), opened, end, asked)))
+    want = {(10_000 + i, i) for i in range(n)} | {(10_000 + i, 7) for i in range(7, n)}
+    assert len(got) == len(want) and set(zip(got["query_id"], got["id"])) == want
+    assert sum(sizes) < n * n / 2
+
+
+def test_only_changes_are_keyed_by_id(own, tmp_path):
+    """Queries have no state: the changes hold a row for each object and none for a query."""
+    rows = [(0, "insert", 1, 0.0, 0.0, 1.0, 1.0)] + [(s, "query", 100 + s, 0.0, 0.0, 5.0, 5.0) for s in range(1, 40)]
+    rows += [(40, "query", None, 0.0, 0.0, 5.0, 5.0), (41, "delete", 1, None, None, None, None)]
+    schema = "seq long, op string, id long, x1 double, y1 double, x2 double, y2 double"
+    own.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = oplog.live_set_answers(own.readStream.schema(schema).parquet(str(tmp_path / "in")), 10.0)
+    got = oplog.run_to_table(stream, str(tmp_path / "run"))
+    assert sorted(map(tuple, got.collect())) == [(100 + s, 1) for s in range(1, 40)]
+    changes = own.read.format("statestore").option("operatorId", 1).option("stateVarName", "last").load(str(tmp_path / "run" / "state"))
+    assert [r.key.id for r in changes.collect()] == [1]
+    assert "Union" in stream._jdf.queryExecution().analyzed().toString()
