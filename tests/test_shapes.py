@@ -165,3 +165,29 @@ def test_normals_of_a_slanted_plane(spark):
     df = spark.createDataFrame([(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z))], "id long, x double, y double, z double")
     for r in aggregates.point_normals(df, "id", ["x", "y", "z"], 8).collect():
         assert np.allclose([r.nx, r.ny, r.nz], n, atol=1e-6) and abs(r.spread) < 1e-9
+
+
+def test_far_queries_do_not_meet_all_boxes(spark, monkeypatch):
+    """Queries far above a slab of boxes, with copies, ids that repeat and a box without bounds, against brute force."""
+    rng = np.random.default_rng(5)
+    n, m = 3000, 20
+    low = np.c_[rng.uniform(0, 50, (n, 2)), rng.uniform(0, 10, n)].round(1)
+    high = low + rng.integers(1, 4, n)[:, None]
+    low[1], high[1] = low[0], high[0]
+    boxes = [(i % 2990, *map(float, low[i]), *map(float, high[i])) for i in range(n)] + [(9999, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    at = np.c_[rng.uniform(0, 50, (m, 2)), rng.uniform(60, 90, m)].round(1)
+    at[0] = low[0]
+    asked = [(q, *map(float, at[q])) for q in range(m)] + [(None, 0.0, 0.0, 0.0)]
+    written, stored = [], knn.stored
+    monkeypatch.setattr(knn, "stored", lambda df, name: written.append((name, stored(df, name))) or written[-1][1])
+    b = spark.createDataFrame(boxes, "b long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    q = spark.createDataFrame(asked, "q long, x double, y double, z double")
+    got = knn.nearest_boxes_join(q, b, "q", ["x", "y", "z"], "b", ["x1", "y1", "z1"], ["x2", "y2", "z2"], 3).collect()
+    want = []
+    for i in range(m):
+        d2 = (np.maximum(np.maximum(low - at[i], at[i] - high), 0) ** 2).sum(1)
+        rank = [int((d2 < v).sum()) + 1 for v in d2]
+        want += [(i, j % 2990, rank[j]) for j in range(n) if rank[j] <= 3]
+    assert sorted((r.q, r.b, r.rank) for r in got) == sorted(want)
+    near = [df.count() for name, df in written if name == "near"]
+    assert near and max(near) < n * m / 4
