@@ -4,8 +4,11 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from geoloom.operators import regions
 from geoloom.operators.regions import seed_regions
+from geoloom.session import bucketed
 
 
 def nearest(edges, seeds):
@@ -49,3 +52,18 @@ def test_no_edges_and_negative_weights(spark):
     assert got(spark, [(1, 2, 1)], []) == set()
     with pytest.raises(ValueError):
         got(spark, [(1, 2, -1)], [1])
+
+
+def test_edges_stay_in_their_buckets(spark):
+    """What is joined by the key it was written by is not shuffled again."""
+    rows = spark.range(5000).select((F.col("id") % 700).alias("s"), F.col("id").alias("w"))
+    links, front = bucketed(rows, "links", "s"), bucketed(rows.groupBy("s").agg(F.min("w").alias("least")), "front", "s")
+    met = front.hint("merge").join(links, "s")
+    assert met.count() == 5000 and "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("links_", "front_"))]
+
+
+def test_hubs_are_not_dealt_by_vertex(spark, monkeypatch):
+    monkeypatch.setattr(regions, "HUB_LINKS", 50)
+    edges = [(0, k, 1 + k % 5) for k in range(1, 300)] + [(k, k + 1, 1) for k in range(1, 299)]
+    assert got(spark, edges, [150, 299, 900]) == nearest(edges, [150, 299, 900])
