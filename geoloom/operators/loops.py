@@ -1,20 +1,23 @@
 """Border loops of a mesh in order, and filling of the holes they go round.
 
 A border edge is a face side without a face across.  Places on a loop come from pointer doubling: in
-every round an edge learns what lies twice as far back, by one join on edge ids.  The number of rounds
-is the logarithm of the longest loop, and as every edge is its own key a loop with a third of all edges
-is spread like any other.
+every round an edge learns what lies twice as far back, the least edge there and how far back that is.  The
+number of rounds is the logarithm of the longest loop, and as every edge is its own key a loop with a third of
+all edges is spread like any other.  Edges stay in their buckets: a round shuffles questions and answers
+of loops that are not known yet, and loops that are known leave the rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import geom as G
 from geoloom.operators.mesh import directed_edges, edges
-from geoloom.session import stored
+from geoloom.session import bucketed, stored
 
 
 def border_edges(faces: DataFrame) -> DataFrame:
@@ -41,35 +44,36 @@ def border_loops(faces: DataFrame) -> DataFrame:
     to their left.  A border that does not close, as in meshes whose faces turn different ways, is a chain:
     it is named by its first edge.
     """
-    linked = stored(_linked(border_edges(faces)), "border")
-    name = F.struct("s", "d")
-    rows = linked.select(name.alias("e"), F.when(F.col("p").isNotNull(), F.struct(F.col("p").alias("s"), F.col("s").alias("d"))).alias("back"), name.alias("least"))
+    linked = _linked(border_edges(faces))
     # an edge that nothing precedes ends the walk back, so a chain is led by it
-    rows = stored(rows.withColumn("open", F.col("back").isNull()), "border")
-    jump = rows
-    while True:
-        far = jump.select(F.col("e").alias("back"), F.col("back").alias("back2"), F.col("least").alias("least2"), F.col("open").alias("open2"))
-        met = jump.join(far, "back", "left")
-        lower = F.when(F.col("open"), F.col("least")).when(F.col("open2"), F.col("least2")).otherwise(F.least("least", "least2"))
-        step = met.select(
-            "e",
-            F.when(~F.col("open"), F.col("back2")).alias("back"),
-            F.coalesce(lower, "least").alias("least"),
-            (F.col("open") | F.coalesce("open2", F.lit(False))).alias("open"),
-            ((F.coalesce(lower, "least") != F.col("least")) | (F.coalesce("open2", F.lit(False)) & ~F.col("open"))).alias("moved"),
-        )
-        jump = stored(step, "border")
-        if jump.where("moved").isEmpty():
-            break
-    # cut every loop at its least edge and count the steps back to it
-    named = rows.select("e", "back").join(jump.select("e", "least"), "e")
-    head = F.col("e") == F.col("least")
-    walk = stored(named.select("e", "least", F.when(~head, F.col("back")).alias("back"), F.when(head, 0).otherwise(1).cast("bigint").alias("place")), "walk")
-    while not walk.where("back is not null").isEmpty():
-        far = walk.select(F.col("e").alias("back"), F.col("back").alias("back2"), F.col("place").alias("more"))
-        step = walk.join(far, "back", "left").select("e", "least", F.col("back2").alias("back"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
-        walk = stored(step, "walk")
-    return walk.select(F.col("least.s").alias("loop_s"), F.col("least.d").alias("loop_d"), "place", F.col("e.s").alias("s"), F.col("e.d").alias("d"))
+    open_ = F.col("p").isNull()
+    back = [F.col("p").alias("bs"), F.when(~open_, F.col("s")).alias("bd")]
+    none = F.lit(0).cast("bigint").alias("place")
+    jump = bucketed(linked.select("s", "d", *back, F.col("s").alias("ls"), F.col("d").alias("ld"), none, open_.alias("done"), open_.alias("open")), "border", "s", "d")
+    settled, span = [], 1
+    while not jump.where("not done").isEmpty():
+        there = jump.select(F.col("s").alias("bs"), F.col("d").alias("bd"), F.struct("bs", "bd", "ls", "ld", "place", "done", "open").alias("far"))
+        told = jump.where("not done").select("s", "d", "bs", "bd").join(there, ["bs", "bd"]).select("s", "d", "far")
+        met = jump.where("not done or open").join(told, ["s", "d"], "left")
+        mine, other = F.struct("ls", "ld"), F.struct("far.ls", "far.ld")
+        # an edge that is known on both halves was met twice, so the loop is shorter than both
+        same = (F.col("ls") == F.col("far.ls")) & (F.col("ld") == F.col("far.ld"))
+        take = ~same & (F.col("far.done") | (other < mine))
+        new = {
+            "bs": F.col("far.bs"),
+            "bd": F.col("far.bd"),
+            "ls": F.when(take, F.col("far.ls")).otherwise(F.col("ls")),
+            "ld": F.when(take, F.col("far.ld")).otherwise(F.col("ld")),
+            "place": F.when(take, F.col("far.place") + span).otherwise(F.col("place")),
+            "done": F.col("far.done") | same,
+            "open": F.col("far.open"),
+        }
+        step = met.select("s", "d", *[F.when(F.col("done"), F.col(c)).otherwise(v).alias(c) for c, v in new.items()])
+        # edges of a loop are known within one round of each other, so those that were known before are not asked again
+        settled.append(jump.where("done and not open"))
+        jump, span = bucketed(step, "border", "s", "d"), 2 * span
+    rows = reduce(DataFrame.unionByName, settled, jump)
+    return rows.select(F.col("ls").alias("loop_s"), F.col("ld").alias("loop_d"), "place", "s", "d")
 
 
 def _angle_cost() -> Column:

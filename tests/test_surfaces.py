@@ -89,6 +89,19 @@ def test_one_loop_with_most_edges(spark):
     assert got == walked([(s, d) for _, _, _, s, d in got])
 
 
+def test_known_loops_leave_the_rounds(spark, monkeypatch):
+    """Many triangles and one band: rounds after the first few hold the band alone."""
+    held = []
+    keep = L.bucketed
+    monkeypatch.setattr(L, "bucketed", lambda df, *a: held.append(keep(df, *a)) or held[-1])
+    n = 200
+    rows = [(2 * i, i, (i + 1) % n, n + i) for i in range(n)] + [(2 * i + 1, (i + 1) % n, n + (i + 1) % n, n + i) for i in range(n)]
+    rows += [(1000 + i, 1000 + 3 * i, 1002 + 3 * i, 1001 + 3 * i) for i in range(300)]
+    got = {tuple(r) for r in L.border_loops(spark.createDataFrame(rows, "fid long, v0 long, v1 long, v2 long")).collect()}
+    assert got == walked([(s, d) for _, _, _, s, d in got]) and len(got) == 2 * n + 900
+    assert held[0].count() == 2 * n + 900 and held[-2].count() == 2 * n
+
+
 def test_filled_mesh_is_closed(spark, sphere):
     _, verts, faces = sphere
     gone = [r.vid for r in verts.orderBy(F.xxhash64("vid")).limit(3).collect()]
