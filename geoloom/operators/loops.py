@@ -19,6 +19,9 @@ from geoloom.functions import geom as G
 from geoloom.operators.mesh import directed_edges, edges
 from geoloom.session import bucketed, stored
 
+#: Places of a loop, at most, that are kept together while its hole is filled.
+BLOCK = 1024
+
 
 def border_edges(faces: DataFrame) -> DataFrame:
     """(s, d): sides of faces that no other face shares, turned so that a hole lies to their left."""
@@ -84,19 +87,28 @@ def _angle_cost() -> Column:
     return F.when(size > 0, 1 - G.dot(to("a"), to("c")) / size).otherwise(F.lit(3.0))
 
 
-def _around(ring: DataFrame, key: list[str], value: str, *more: Column | str) -> DataFrame:
-    """The rows of ``ring`` with ``value`` of the places before (back) and after (on).
+def _around(ring: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``ring`` with ``value`` of the places before (back) and after (on).
 
-    Every place tells its neighbours, so one aggregate by place does it and no loop is gathered in a task.
+    Neighbours are found inside a block of places; the first and last rows of the blocks, which are few, tell
+    the blocks next to them.  No loop is gathered in a task, and what is written by block stays where it is.
     """
-    own = F.struct(F.lit(0).alias("k"), "place", F.struct("n", *more).alias("r"))
-    kind = ring.select(F.struct("n", *more).alias("r")).schema["r"].dataType
-    none = F.lit(None).cast(kind).alias("r")
-    there = lambda k: F.struct(F.lit(k).alias("k"), F.pmod(F.col("place") + k, F.col("n")).alias("place"), none)
-    told = ring.select(*key, value, F.inline(F.array(own, there(1), there(-1))))
-    role = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    got = told.groupBy(*key, "place").agg(role(0, "r").alias("r"), role(0, value).alias(value), role(1, value).alias("back"), role(-1, value).alias("on"))
-    return got.select(*key, "place", "r.*", value, "back", "on")
+    at = [*key, "block"]
+    ends = ring.groupBy(*at).agg(F.min(F.struct("place", value)).alias("first"), F.max(F.struct("place", value)).alias("last"))
+    order, all_ = Window.partitionBy(*key).orderBy("block"), Window.partitionBy(*key)
+    # the last block of a loop goes on with the first
+    before = F.coalesce(F.lag("last").over(order), F.max("last").over(all_))
+    after = F.coalesce(F.lead("first").over(order), F.min("first").over(all_))
+    ends = ends.select(*at, before.getField(value).alias("before"), after.getField(value).alias("after"))
+    own = Window.partitionBy(*at).orderBy("place")
+    inner = ring.withColumn("_back", F.lag(value).over(own)).withColumn("_on", F.lead(value).over(own))
+    return inner.join(ends, at).select(*ring.columns, F.coalesce("_back", "before").alias("back"), F.coalesce("_on", "after").alias("on"))
+
+
+def _marked(ring: DataFrame, at: list[str], some: DataFrame) -> DataFrame:
+    """``ring`` with ``marked`` for the places in ``some``, which are told to blocks."""
+    told = some.groupBy(*at).agg(F.collect_set("place").alias("_marks"))
+    return ring.join(told, at, "left").withColumn("marked", F.coalesce(F.array_contains("_marks", F.col("place")), F.lit(False))).drop("_marks")
 
 
 def fill_holes(faces: DataFrame, verts: DataFrame, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -109,38 +121,49 @@ def fill_holes(faces: DataFrame, verts: DataFrame, max_edges: int | None = None)
     is a vertex of the mesh; added vertices have a vid below 0.  Chains stay open.
     """
     loops = border_loops(faces)
-    size = loops.groupBy("loop_s", "loop_d").agg(F.count("*").alias("n"))
-    first = loops.where("place = 0").select("loop_s", "loop_d", F.col("s").alias("begin"))
-    last = loops.join(size, ["loop_s", "loop_d"]).where("place = n - 1").select("loop_s", "loop_d", F.col("d").alias("end"))
-    closed = size.join(first, ["loop_s", "loop_d"]).join(last, ["loop_s", "loop_d"]).where("begin = end and n >= 3")
+    sizes = loops.groupBy("loop_s", "loop_d").agg(F.count("*").alias("n"), F.min_by("s", "place").alias("begin"), F.max_by("d", "place").alias("end"))
+    closed = sizes.where("begin = end and n >= 3")
     if max_edges is not None:
         closed = closed.where(F.col("n") <= max_edges)
     key = ["loop_s", "loop_d"]
     place_of = verts.select(F.col("vid").alias("b"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("at"))
     ring = loops.join(closed.select(*key, "n"), key).select(*key, "place", "n", F.col("s").alias("b")).join(place_of, "b")
     # written tables here as well, because checkpoints carry what is known about columns along and planning would slow down with each round
-    ring = stored(ring.select(*key, "place", "n", F.struct("b", "at").alias("v")), "rings")
-    used = stored(edges(faces).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(True).alias("taken")), "sides")
-    added = None
+    at = [*key, "block"]
+    ring = bucketed(ring.select(*key, F.floor(F.col("place") / BLOCK).alias("block"), "place", "n", F.struct("b", "at").alias("v")), "rings", *at)
+    # an ear is closed between vertices of its ring, so sides with another end are never asked for
+    sides = edges(faces).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    for c in ("lo", "hi"):
+        sides = sides.join(ring.where("n > 3").select(F.col("v.b").alias(c)), c, "left_semi")
+    sides = bucketed(sides.select("lo", "hi"), "sides", "lo", "hi")
+    added = brought = None
     while not ring.where("n > 3").isEmpty():
-        ears = _around(ring.where("n > 3"), key, "v").select(*key, "place", "n", *[F.col(x).alias(t) for x, t in (("back", "a"), ("v", "b"), ("on", "c"))])
-        ears = ears.withColumn("lo", F.least("a.b", "c.b")).withColumn("hi", F.greatest("a.b", "c.b")).join(used, ["lo", "hi"], "left")
-        legal = F.col("taken").isNull() & (F.col("lo") != F.col("hi"))
-        ears = ears.withColumn("w", F.struct(F.when(legal, _angle_cost()).alias("cost"), F.xxhash64("b.b").alias("h"), "place")).drop("taken")
-        near = _around(ears, key, "w", "lo", "hi", F.col("a.b").alias("v0"), F.col("b.b").alias("v1"), F.col("c.b").alias("v2"))
+        ears = _around(ring.where("n > 3"), key, "v").select(*at, "place", "n", *[F.col(x).alias(t) for x, t in (("back", "a"), ("v", "b"), ("on", "c"))])
+        # written before they are asked for, as what follows reads them more than once
+        ears = bucketed(ears.withColumn("lo", F.least("a.b", "c.b")).withColumn("hi", F.greatest("a.b", "c.b")), "ears", *at)
+        asked = ears.select(*at, "place", "lo", "hi")
+        taken = asked.join(sides, ["lo", "hi"], "left_semi")
+        if brought is not None:
+            taken = taken.unionByName(asked.join(brought, ["lo", "hi"], "left_semi"))
+        legal = ~F.col("marked") & (F.col("lo") != F.col("hi"))
+        rank_of = F.struct(F.when(legal, _angle_cost()).alias("cost"), F.xxhash64("b.b").alias("h"), "place").alias("w")
+        ears = _marked(ears, at, taken).select(*at, "place", "n", "lo", "hi", F.col("a.b").alias("v0"), F.col("b.b").alias("v1"), F.col("c.b").alias("v2"), rank_of)
+        near = _around(bucketed(ears, "ranks", *at), key, "w")
         beats = lambda o: F.col(f"{o}.cost").isNull() | (F.col("w") < F.col(o))
         cut = near.where(F.col("w.cost").isNotNull() & beats("back") & beats("on"))
         # two ears of one round must not bring the same side, and a ring of four keeps three
         rank = Window.partitionBy("lo", "hi").orderBy(*key, "place")
         four = Window.partitionBy(*key, F.when(F.col("n") > 4, F.col("place"))).orderBy("w")
         cut = cut.withColumn("one", F.row_number().over(rank)).where("one = 1").withColumn("two", F.row_number().over(four)).where("two = 1")
-        cut = stored(cut.select(*key, "place", "lo", "hi", "v0", "v1", "v2"), "ears")
+        cut = stored(cut.select(*at, "place", "lo", "hi", "v0", "v1", "v2"), "cut")
         if cut.isEmpty():
             break
         new = cut.select("v0", "v1", "v2")
         added = new if added is None else added.unionByName(new)
-        used = stored(used.unionByName(cut.select("lo", "hi", F.lit(True).alias("taken"))), "sides")
-        ring = stored(_renumbered(ring.join(cut.select(*key, "place"), [*key, "place"], "left_anti"), key), "rings")
+        more = cut.select("lo", "hi")
+        brought = more if brought is None else stored(brought.unionByName(more), "brought")
+        left = _marked(ring, at, cut).where("not marked").drop("marked")
+        ring = bucketed(_renumbered(left, key), "rings", *at)
     ring = ring.select(*key, "place", "n", "v.b", "v.at")
     fan_of = ring.where("n > 3")
     middle = fan_of.groupBy(*key).agg(*[F.avg(F.col("at")[k]).alias(c) for k, c in enumerate("xyz")])
@@ -157,15 +180,14 @@ def fill_holes(faces: DataFrame, verts: DataFrame, max_edges: int | None = None)
 def _renumbered(ring: DataFrame, key: list[str]) -> DataFrame:
     """Places from 0 on again and the new size, where some vertices are gone.
 
-    Places are numbered by blocks: how many are left in a block of places is counted first, so a long
-    loop is not sorted in one task.
+    Places are numbered by blocks, which keep their rows: how many are left in a block is counted first, so a
+    long loop is not sorted in one task.
     """
-    block = F.floor(F.col("place") / 4096)
-    rows = ring.withColumn("block", block)
-    counts = rows.groupBy(*key, "block").agg(F.count("*").alias("m"))
+    at = [*key, "block"]
+    counts = ring.groupBy(*at).agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("m").over(Window.partitionBy(*key))
-    counts = counts.select(*key, "block", before.alias("base"), total.alias("n"))
-    inner = F.row_number().over(Window.partitionBy(*key, "block").orderBy("place")) - 1
-    rows = rows.drop("n").withColumn("inner", inner).join(counts, [*key, "block"])
-    return rows.select(*key, (F.col("base") + F.col("inner")).alias("place"), "n", "v")
+    counts = counts.select(*at, before.alias("base"), total.alias("n"))
+    inner = F.row_number().over(Window.partitionBy(*at).orderBy("place")) - 1
+    rows = ring.drop("n").withColumn("inner", inner).join(counts, at)
+    return rows.select(*at, (F.col("base") + F.col("inner")).alias("place"), "n", "v")

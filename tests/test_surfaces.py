@@ -118,6 +118,20 @@ def test_filled_mesh_is_closed(spark, sphere):
     assert kept.isEmpty() and none.isEmpty()
 
 
+def test_holes_of_many_blocks(spark, sphere, monkeypatch):
+    """Small blocks fill the same holes with the same faces, and sides away from the rings are not kept."""
+    _, verts, faces = sphere
+    gone = [r.vid for r in verts.orderBy(F.xxhash64("vid")).limit(3).collect()]
+    open_ = faces.where(~(F.col("v0").isin(gone) | F.col("v1").isin(gone) | F.col("v2").isin(gone))).cache()
+    held, keep = [], L.bucketed
+    monkeypatch.setattr(L, "bucketed", lambda df, name, *a: (held.append((name, keep(df, name, *a))), held[-1][1])[1])
+    _, added = L.fill_holes(open_, verts)
+    once = sorted(tuple(r) for r in added.collect())
+    assert [t.count() for name, t in held if name == "sides"][0] < M.edges(open_).count() / 2
+    monkeypatch.setattr(L, "BLOCK", 2)
+    assert sorted(tuple(r) for r in L.fill_holes(open_, verts)[1].collect()) == once
+
+
 def test_chains_and_empty_meshes(spark):
     empty = spark.createDataFrame([], "fid long, v0 long, v1 long, v2 long")
     assert L.border_loops(empty).isEmpty()
