@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import gridjoin, joins, knn, matching, temporal
+from geoloom.operators import cameras, gridjoin, joins, knn, matching, temporal
 from geoloom.operators.gridjoin import Axis, box_join, listed, pieces
 from geoloom.operators.knn import knn_points, knn_vectors
 
@@ -395,3 +395,17 @@ def test_points_are_sought_in_touched_cells_only(spark):
     boxes = spark.range(10).selectExpr("id as b", "2.0 * id as x1", "2.0 * id + 2 as x2", "3.0 as y1", "5.0 as y2")
     left, right, *_ = listed(points, boxes, [Axis("x", "x", "x1", "x2", 2.0), Axis("y", "y", "y1", "y2", 2.0)])
     assert left.count() <= 400 and right.count() <= 40
+
+
+def test_nearest_cameras_equal_a_ranking_of_all(spark):
+    """Copies, ties, vertices with few cameras and repeated ids; far fewer pairs than the windows hold."""
+    rng = random.Random(9)
+    verts = [(i % 40, rng.randrange(40), float(rng.randrange(40))) for i in range(60)] + [(99, 500, 500.0)]
+    cams = [(i // 2, rng.randrange(30), float(rng.randrange(30))) for i in range(300)] + [(900 + i, 3, 3.0) for i in range(50)] + [(990, 505, 505.0)]
+    v = spark.createDataFrame(verts, "vid long, x long, y double")
+    c = spark.createDataFrame([(*r, r[1] - 12.0, r[1] + 12.0, r[2] - 12.0, r[2] + 12.0) for r in cams], "cam long, cx long, cy double, lx double, hx double, ly double, hy double")
+    see = lambda **more: cameras.cameras_of_vertices(v, ["x", "y"], c, [("lx", "hx"), ("ly", "hy")], [24.0, 24.0], **more).select("vid", "cam", F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy)").alias("d"))
+    near = see(nearest=(4, "cam", ["cx", "cy"])).cache()
+    first = lambda df: sorted(tuple(r) for r in cameras.best_per_key(df, "vid", ["d", "cam"], 4).collect())
+    assert first(near) == first(see())
+    assert near.count() < see().count() / 4
