@@ -409,3 +409,25 @@ def test_nearest_cameras_equal_a_ranking_of_all(spark):
     first = lambda df: sorted(tuple(r) for r in cameras.best_per_key(df, "vid", ["d", "cam"], 4).collect())
     assert first(near) == first(see())
     assert near.count() < see().count() / 4
+
+
+def test_moving_points_are_dealt_by_stages(spark, monkeypatch):
+    """Points that cross hundreds of rectangle widths: what is shuffled follows stages, and pairs equal those of all pairs."""
+    rng = np.random.default_rng(7)
+    rows = [(i, *map(float, rng.uniform(0, 1000, 2)), int(rng.integers(-3, 4)), int(rng.integers(-3, 4)), float(rng.uniform(0, 400))) for i in range(300)]
+    rects = [(i, float(x), float(x) + 1 + (i % 50 == 0) * 300, float(y), float(y) + 1 + i % 3, float(t), float(t) + 40 + i % 7) for i, (x, y, t) in enumerate(rng.uniform(0, 1000, (400, 3)))]
+    rects += [(400, None, 5.0, 1.0, 2.0, 0.0, 9.0), (401, 0.0, 1000.0, 0.0, 1000.0, 0.0, 1000.0)]
+    p = spark.createDataFrame(rows, "pid long, ax double, ay double, vx int, vy int, t_ref double")
+    r = spark.createDataFrame(rects, "rid long, xl double, xh double, yl double, yh double, t1 double, t2 double")
+    dealt, keep = [], temporal.pieces
+    monkeypatch.setattr(temporal, "pieces", lambda ls, *a: dealt.append(ls.count()) or keep(ls, *a))
+    join = lambda: temporal.moving_range_join(p, r, [("ax", "vx"), ("ay", "vy")], "t_ref", [("xl", "xh"), ("yl", "yh")], ("t1", "t2"))
+    got = sorted((x.pid, x.rid) for x in join().collect())
+    crosses = temporal.crosses_during([(F.col("ax"), F.col("vx")), (F.col("ay"), F.col("vy"))], F.col("t_ref"), [F.col("xl"), F.col("yl")], [F.col("xh"), F.col("yh")], F.col("t1"), F.col("t2"))
+    assert got == sorted((x.pid, x.rid) for x in p.crossJoin(r).where(crosses).collect()) and len(got) > 300
+    slices = p.agg(F.sum(F.lit(1000) * F.greatest(F.abs("vx"), F.abs("vy")))).first()[0]
+    assert dealt[0] < slices / 4
+    monkeypatch.setattr(temporal, "STAGES", 3)
+    monkeypatch.setattr(temporal, "RECTS", 5)
+    monkeypatch.setattr(temporal, "TOLD", 7)
+    assert sorted((x.pid, x.rid) for x in join().collect()) == got
