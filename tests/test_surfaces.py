@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,25 @@ def test_chains_and_empty_meshes(spark):
     twisted = spark.createDataFrame([(0, 1, 2, 3), (1, 3, 2, 4), (2, 2, 5, 4), (3, 5, 2, 1)], "fid long, v0 long, v1 long, v2 long")
     rows = L.border_loops(twisted).collect()
     assert len(rows) == L.border_edges(twisted).count()
+
+
+def test_holes_that_touch_are_closed_together(spark, monkeypatch):
+    """Sheets full of holes that share vertices: closed in tasks, with the faces that the rounds over tables give."""
+    rng = np.random.default_rng(3)
+    n = 9
+    verts = [(m * 100 + i * n + j, float(i), float(j), float(rng.integers(0, 4))) for m in range(2) for i in range(n) for j in range(n)]
+    gone = set(rng.choice([m * 100 + i * n + j for m in range(2) for i in range(n - 1) for j in range(n - 1)], 45, replace=False).tolist())
+    quads = [v for v, x, y, _ in verts if x < n - 1 and y < n - 1 and v not in gone]
+    faces = spark.createDataFrame([f for v in quads for f in ((2 * v, v, v + n, v + n + 1), (2 * v + 1, v, v + n + 1, v + 1))], "fid long, v0 long, v1 long, v2 long")
+    verts = spark.createDataFrame([(v, x, y, None if v == 40 else z) for v, x, y, z in verts], "vid long, x double, y double, z double")
+    rounds, keep = [], L.bucketed
+    monkeypatch.setattr(L, "bucketed", lambda df, name, *a: rounds.append(name) or keep(df, name, *a))
+    rows = lambda: [sorted(tuple(r) for r in t.collect()) for t in L.fill_holes(faces, verts)]
+    more, added = rows()
+    assert "ears" not in rounds
+    monkeypatch.setattr(L, "BLOCK", 40)
+    mixed = rows()
+    assert "ears" in rounds
+    assert mixed[1] == added and [r[0] for r in mixed[0]] == [r[0] for r in more]
+    whole = faces.unionByName(spark.createDataFrame(added, "v0 long, v1 long, v2 long").withColumn("fid", F.lit(-1).cast("long")))
+    assert L.border_edges(whole).isEmpty()
