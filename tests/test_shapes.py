@@ -1,6 +1,7 @@
 """Points in meshes, alignments far from the origin, corner areas, regions in time, nearest boxes."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -53,6 +54,27 @@ def test_points_outside_on_x_meet_no_face(spark, monkeypatch):
     assert met[0].count() <= 21 * 12
 
 
+def test_surfaces_are_decided_in_their_cell(spark, monkeypatch):
+    """Points in many cubes at once: no crossing leaves its task, except for large faces and for points that share an id."""
+    met, join = [], filters.box_join
+    monkeypatch.setattr(filters, "box_join", lambda *a, **kw: met.append(join(*a, **kw)) or met[-1])
+    rng = random.Random(11)
+    at = [tuple(float(rng.randrange(6)) for _ in range(3)) for _ in range(60)]
+    cubes = [(o, 1.0 + i % 3) for i, o in enumerate(at)]
+    pts = [(i, *[rng.choice([float(rng.randrange(9)), rng.uniform(0, 9)]) for _ in range(3)]) for i in range(200)]
+    inside = lambda p, boxes: any(all(o[k] <= p[k] <= o[k] + w for k in range(3)) for o, w in boxes)
+    tri = lambda boxes: spark.createDataFrame([r for i, (o, w) in enumerate(boxes) for r in cube(i, o, w)], FACES)
+    ask = lambda rows, boxes: {r.id for r in inside_mesh(spark.createDataFrame(rows, "id int, x double, y double, z double"), "id", ["x", "y", "z"], tri(boxes), "mesh").collect()}
+    monkeypatch.setattr(filters, "POINTS", 7)
+    monkeypatch.setattr(filters, "FACES", 30)
+    assert ask(pts, cubes) == {p[0] for p in pts if inside(p[1:], cubes)}
+    assert sum(m.count() for m in met) == 0
+    # one surface of large faces around the others, and two points with the id 0 outside all
+    large = [*cubes, ((-50.0, -50.0, 4.0), 100.0)]
+    assert ask([*pts, (500, -20.0, 0.0, 8.0), (0, 99.0, 99.0, 99.0)], large) >= {p[0] for p in pts[1:] if inside(p[1:], large)} | {500}
+    assert sum(m.count() for m in met) > 0
+
+
 def test_meshes_are_counted_apart(spark):
     rows = cube(1, (0.0, 0.0, 0.0), 2.0) + cube(2, (1.0, 0.0, 0.0), 2.0)
     df = spark.createDataFrame([(1, 1.5, 1.0, 1.0), (2, 2.5, 1.0, 1.0), (3, 3.5, 1.0, 1.0)], "id int, x double, y double, z double")
